@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import leaks, mixing
 
 
 def queries():
-    return {"op7_mix_sources": mixing.op7_mix_sources}
+    return {"op6_leaks": leaks.op6_leaks, "op7_mix_sources": mixing.op7_mix_sources}
 
 
 def oracle_sql():
