@@ -82,7 +82,7 @@ def _power(n: int) -> list[np.ndarray]:
             done = 1
             while done < size:
                 step = min(done, size - done)
-                out[done : done + step] = out[:step] * (out[done - 1] * base)
+                out[done : done + step] = out[:step] * (out[done - 1 : done] * base)
                 done += step
             _powers[i] = out
     return _powers

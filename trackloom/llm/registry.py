@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import leaks, mixing
+from . import leaks, mixing, quality
 
 
 def queries():
-    return {"op6_leaks": leaks.op6_leaks, "op7_mix_sources": mixing.op7_mix_sources}
+    return {"op5_quality": quality.op5_quality, "op6_leaks": leaks.op6_leaks, "op7_mix_sources": mixing.op7_mix_sources}
 
 
 def oracle_sql():
