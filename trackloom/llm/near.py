@@ -7,8 +7,9 @@ count of w costs the logarithm of w. Two registers agree with a probability equa
 Jaccard similarity. Points come in order of time, so a shingle is done when it passes the document's largest register.
 
 Texts that are equal are one node. ``BANDS`` bands of ``ROWS`` registers collide; each node is compared with the first node of its
-buckets, then, where a bucket still holds several components, members of different components whose registers
-agree well enough are compared too. Links are verified by the exact overlap of the bags.
+buckets. Where a bucket then still holds several components, its members meet members of the two largest for a few rounds, and
+at last all pairs of different components whose sketches agree well enough are compared. Links are
+verified by the exact overlap of the bags; pairs within a component need no link of their own.
 """
 
 from __future__ import annotations
@@ -28,8 +29,10 @@ SHINGLE, SIMILARITY = 5, 0.8
 #: Recall of a pair at 0.8: 1 - (1 - 0.8 ** 5) ** 24 > 0.9999.
 BANDS, ROWS = 24, 5
 SIGNATURE = BANDS * ROWS
-#: Registers agree in fewer places than this in 1 of 10,000 pairs at 0.8 (four standard deviations).
-AGREE = SIMILARITY - 4 * (SIMILARITY * (1 - SIMILARITY) / SIGNATURE) ** 0.5
+#: One bit of each register is kept. Two documents at 0.8 differ in 12 bits of 120 with a deviation of 3.3: in more than these by chance in 1 of 10,000 pairs.
+MOST_DIFFER = 25
+#: Rounds in which members of a bucket meet others of it before all pairs that are still apart do.
+ROUNDS = 4
 
 
 def bags(data: np.ndarray, offsets: np.ndarray, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -76,18 +79,18 @@ def band_keys(registers: np.ndarray) -> np.ndarray:
 
 
 def _sketches(docs: DataFrame) -> DataFrame:
-    """node, keys, registers (16 bits of each) of every document that has words."""
-    schema = T.StructType([T.StructField("node", T.StringType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("registers", T.BinaryType())])
+    """node, keys, bits0, bits1 (a bit of each register) of every document that has words."""
+    schema = T.StructType([T.StructField("node", T.StringType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("bits0", T.LongType()), T.StructField("bits1", T.LongType())])
 
     def task(batches):
         for batch, data, offsets in kernels.slices(batches):
             found = signatures(*bags(data, offsets), batch.num_rows)
             full = np.flatnonzero(np.isfinite(found[:, 0]))
             keys = band_keys(found[full])
-            small = (kernels.mix64(found[full].view(np.uint64)) & np.uint64(0xFFFF)).astype(np.uint16)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(full)), pa.ListArray.from_arrays(np.arange(0, keys.size + 1, BANDS, dtype=np.int32), keys.ravel()), pa.array([r.tobytes() for r in small], pa.binary())], names=schema.names
-            )
+            bit = (kernels.mix64(found[full].view(np.uint64)) & np.uint64(1)).reshape(len(full), 2, SIGNATURE // 2)
+            packed = (bit << np.arange(SIGNATURE // 2, dtype=np.uint64)).sum(axis=2, dtype=np.uint64).view(np.int64)
+            lists = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, BANDS, dtype=np.int32), keys.ravel())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(full)), lists, pa.array(packed[:, 0].copy()), pa.array(packed[:, 1].copy())], names=schema.names)
 
     return docs.select("node", "text").mapInArrow(task, schema)
 
@@ -120,30 +123,50 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
     return joined.select("a", "b", "ta", "tb").mapInArrow(task, schema)
 
 
-def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def _across(members: DataFrame, found: DataFrame) -> DataFrame:
+    """key, node, component of the buckets that hold several components."""
+    own = members.select("key", "node").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    mixed = own.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
+    return checkpointed(own.join(mixed, "key").select("key", "node", "component"))
+
+
+def _grown(found: DataFrame, links: DataFrame) -> DataFrame:
+    """The components after adding links; only the components that a link touches are worked on."""
+    left, right = found.select(F.col("node").alias("a"), F.col("component").alias("ca")), found.select(F.col("node").alias("b"), F.col("component").alias("cb"))
+    lifted = links.join(left, "a", "left").join(right, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    merged = components(lifted, "a", "b")
+    old = found.join(merged.withColumnRenamed("component", "new").withColumnRenamed("node", "component"), "component", "left").select("node", F.coalesce("new", "component").alias("component"))
+    return checkpointed(old.unionByName(merged).groupBy("node").agg(F.min("component").alias("component")))
+
+
+def near_classes(docs: DataFrame, similarity: float = SIMILARITY, rounds: int = ROUNDS) -> DataFrame:
     """(node, component) of the texts that have a near duplicate; ``docs`` has node (md5 of the text) and text."""
     sketches = checkpointed(_sketches(docs).dropDuplicates(["node"]))
     banded = sketches.select("node", F.explode("keys").alias("key"))
     leaders = banded.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader <> last").select("key", "leader")
     members = checkpointed(banded.join(leaders, "key").select("key", "node", "leader"))
-    pairs = members.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
+    tried = members.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     texts = checkpointed(docs.join(members.select("node").distinct(), "node", "left_semi").select("node", "text").dropDuplicates(["node"]))
-    first = checkpointed(_verified(pairs, texts, similarity))
-    found = components(first, "a", "b")
-
-    # Buckets that still hold several components: their members are compared across components.
-    own = members.select("key", "node").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = own.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-    rest = own.join(mixed, "key").join(sketches.select("node", "registers"), "node")
-    a = rest.select("key", F.col("node").alias("a"), F.col("component").alias("ca"), F.col("registers").alias("ra"))
-    b = rest.select("key", F.col("node").alias("b"), F.col("component").alias("cb"), F.col("registers").alias("rb"))
-    hexed = [f"substring(hex({r}), 4 * i + 1, 4)" for r in ("ra", "rb")]
-    agree = F.expr(f"size(filter(sequence(0, {SIGNATURE - 1}), i -> {hexed[0]} = {hexed[1]})) >= {AGREE * SIGNATURE}")
-    across = a.join(b, (a["key"] == b["key"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & agree).select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
-    second = checkpointed(_verified(across, texts, similarity))
-    if second.isEmpty():
-        return found
-    return components(first.unionByName(second), "a", "b")
+    found = components(_verified(tried, texts, similarity), "a", "b")
+
+    # A bucket's other members meet members of its two largest components, others each round.
+    for r in range(rounds):
+        rest = _across(members, found)
+        sizes = rest.groupBy("key", "component").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64(F.lit(r), "node").alias("h"), "node")).alias("one"))
+        two = sizes.withColumn("nr", F.row_number().over(W.partitionBy("key").orderBy(F.desc("n"), "component"))).where("nr <= 2").select("key", F.col("component").alias("other"), F.col("one.node").alias("lead"))
+        pairs = rest.join(two, "key").where("component <> other").select(F.least("lead", "node").alias("a"), F.greatest("lead", "node").alias("b")).distinct()
+        links = checkpointed(_verified(pairs, texts, similarity))
+        if links.isEmpty():
+            break
+        found = _grown(found, links)
+
+    # What is still apart is compared pair by pair, if the sketches agree.
+    rest = _across(members, found).join(sketches.select("node", "bits0", "bits1"), "node")
+    a, b = (rest.select(F.col("key").alias(f"k{x}"), F.col("node").alias(x), F.col("component").alias(f"c{x}"), F.col("bits0").alias(f"{x}0"), F.col("bits1").alias(f"{x}1")) for x in "ab")
+    differ = F.bit_count(F.col("a0").bitwiseXOR(F.col("b0"))) + F.bit_count(F.col("a1").bitwiseXOR(F.col("b1")))
+    apart = a.join(b, (F.col("ka") == F.col("kb")) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (differ <= MOST_DIFFER)).select("a", "b").distinct()
+    links = checkpointed(_verified(apart, texts, similarity))
+    return found if links.isEmpty() else _grown(found, links)
 
 
 def with_node(docs: DataFrame) -> DataFrame:
