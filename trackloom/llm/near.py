@@ -6,7 +6,7 @@ below the shingle's count. The weights are discretised in blocks [0, 1), [1, 2),
 count of w costs the logarithm of w. Two registers agree with a probability equal to the weighted
 Jaccard similarity. Points come in order of time, so a shingle is done when it passes the document's largest register.
 
-Texts that are equal are one node. ``BANDS`` bands of ``ROWS`` registers collide; each node is compared with the first node of its
+Texts that are equal (by a 64-bit hash) are one node. ``BANDS`` bands of ``ROWS`` registers collide; each node is compared with the first node of its
 buckets. Where a bucket then still holds several components, its members meet members of the two largest for a few rounds, and
 at last all pairs of different components whose sketches agree well enough are compared. Links are
 verified by the exact overlap of the bags; pairs within a component need no link of their own.
@@ -32,7 +32,7 @@ SIGNATURE = BANDS * ROWS
 #: One bit of each register is kept. Two documents at 0.8 differ in 12 bits of 120 with a deviation of 3.3: in more than these by chance in 1 of 10,000 pairs.
 MOST_DIFFER = 25
 #: Rounds in which members of a bucket meet others of it before all pairs that are still apart do.
-ROUNDS = 4
+ROUNDS = 3
 
 
 def bags(data: np.ndarray, offsets: np.ndarray, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -80,7 +80,7 @@ def band_keys(registers: np.ndarray) -> np.ndarray:
 
 def _sketches(docs: DataFrame) -> DataFrame:
     """node, keys, bits0, bits1 (a bit of each register) of every document that has words."""
-    schema = T.StructType([T.StructField("node", T.StringType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("bits0", T.LongType()), T.StructField("bits1", T.LongType())])
+    schema = T.StructType([T.StructField("node", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("bits0", T.LongType()), T.StructField("bits1", T.LongType())])
 
     def task(batches):
         for batch, data, offsets in kernels.slices(batches):
@@ -111,7 +111,7 @@ def overlaps(texts_a: pa.Array, texts_b: pa.Array) -> np.ndarray:
 
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) whose texts overlap enough."""
-    schema = T.StructType([T.StructField("a", T.StringType()), T.StructField("b", T.StringType())])
+    schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
     def task(batches):
         for batch in batches:
@@ -140,7 +140,7 @@ def _grown(found: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def near_classes(docs: DataFrame, similarity: float = SIMILARITY, rounds: int = ROUNDS) -> DataFrame:
-    """(node, component) of the texts that have a near duplicate; ``docs`` has node (md5 of the text) and text."""
+    """(node, component) of the texts that have a near duplicate; ``docs`` has node (a hash of the text) and text."""
     sketches = checkpointed(_sketches(docs).dropDuplicates(["node"]))
     banded = sketches.select("node", F.explode("keys").alias("key"))
     leaders = banded.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader <> last").select("key", "leader")
@@ -149,12 +149,12 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, rounds: int =
     texts = checkpointed(docs.join(members.select("node").distinct(), "node", "left_semi").select("node", "text").dropDuplicates(["node"]))
     found = components(_verified(tried, texts, similarity), "a", "b")
 
-    # A bucket's other members meet members of its two largest components, others each round.
+    # The members outside a bucket's largest component meet members of it and of the second, other ones each round.
     for r in range(rounds):
         rest = _across(members, found)
         sizes = rest.groupBy("key", "component").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64(F.lit(r), "node").alias("h"), "node")).alias("one"))
-        two = sizes.withColumn("nr", F.row_number().over(W.partitionBy("key").orderBy(F.desc("n"), "component"))).where("nr <= 2").select("key", F.col("component").alias("other"), F.col("one.node").alias("lead"))
-        pairs = rest.join(two, "key").where("component <> other").select(F.least("lead", "node").alias("a"), F.greatest("lead", "node").alias("b")).distinct()
+        two = sizes.withColumn("nr", F.row_number().over(W.partitionBy("key").orderBy(F.desc("n"), "component"))).withColumn("largest", F.first("component").over(W.partitionBy("key").orderBy(F.desc("n"), "component"))).where("nr <= 2").select("key", "nr", "largest", F.col("component").alias("other"), F.col("one.node").alias("lead"))
+        pairs = rest.join(two, "key").where("component <> other and (nr = 1 or component <> largest)").select(F.least("lead", "node").alias("a"), F.greatest("lead", "node").alias("b")).distinct()
         links = checkpointed(_verified(pairs, texts, similarity))
         if links.isEmpty():
             break
@@ -170,7 +170,7 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, rounds: int =
 
 
 def with_node(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("node", F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
+    return docs.withColumn("node", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -191,7 +191,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
 
 def keep_first(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """One document of each class, the one with the least id, with all its columns; of repeated rows one stays."""
-    base = docs.withColumn("__node", F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
+    base = docs.withColumn("__node", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
     classes = near_classes(base.select(F.col("__node").alias("node"), "text"), similarity)
     nodes = base.groupBy("__node").agg(F.min(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))).alias("__least")).join(classes.withColumnRenamed("node", "__node"), "__node", "left")
     stays = nodes.groupBy(F.coalesce("component", "__node").alias("__c")).agg(F.min(F.struct("__least", "__node")).alias("__first")).select("__first.*")
