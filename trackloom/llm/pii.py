@@ -22,9 +22,11 @@ KINDS = ["email", "ip", "card", "phone"]
 ROUNDS, SUPPORT, CONFIDENCE, DAMPING = 2, 4, 0.6, 2.0
 
 #: Fixed values of the contract. A match is extended to the left as far as it goes, so it starts at the previous match's end or after another character.
-EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+"
+EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++){1,1000}+"
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
-CARD = r"[0-9](?:[\x20-]?[0-9]){11,}"
+#: The matcher recurses for each label of a domain, so 1,000 labels are taken at most.
+#: A chain of digits begins where no digit, nor a digit and one separator, is before it; the bounds keep the matcher's recursion flat.
+CARD = r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){11,18}(?![\x20-]?[0-9])"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 CANDIDATE = r"(?<![^\t-\r\x20])[^\t-\r\x200-9@]*+[0-9@][^\t-\r\x20]*+"
 
@@ -39,7 +41,7 @@ def base_matches(docs: DataFrame) -> DataFrame:
     df = with_matches(df, "email", EMAIL, "__t", gate="@")
     df = with_matches(df, "ip", IP, "__t", gate=".").withColumn("ip", F.expr(f"filter(ip, m -> m.h rlike r'^{_OCTET}(?:\\.{_OCTET}){{3}}$')"))
     df = with_matches(df, "card", CARD, "__t").withColumn(
-        "card", F.expr(f"filter(card, m -> exists(array(translate(m.h, ' -', '')), d -> length(d) <= 19 and {_LUHN}))")
+        "card", F.expr(f"filter(card, m -> exists(array(translate(m.h, ' -', '')), d -> {_LUHN}))")
     )
     df = with_matches(df, "phone", PHONE, "__t", gate="+").withColumn("phone", F.expr("filter(phone, m -> length(regexp_replace(m.h, '[^0-9]', '')) between 9 and 15)"))
     df = with_matches(df, "other", CANDIDATE, "__t")
