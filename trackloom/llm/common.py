@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,13 +23,31 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the folder that the cluster shares.
-
-    ``spark.checkpoint.dir`` names it; a temporary folder is set only where nothing is configured.
-    """
-    spark = df.sparkSession
+def _folder(spark: SparkSession) -> str:
+    """The folder that the cluster shares: ``spark.checkpoint.dir``, or a temporary one where nothing is configured."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return df.checkpoint(eager=True)
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def _release(spark: SparkSession) -> None:
+    """Have the driver collect its garbage, on which Spark removes the shuffle files of finished plans; else they stay on the executors' disks."""
+    spark.sparkContext._jvm.System.gc()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage by a checkpoint in the shared folder; Spark removes it when it is no longer used."""
+    _folder(df.sparkSession)
+    out = df.checkpoint(eager=True)
+    _release(df.sparkSession)
+    return out
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Cut the lineage of a large table by Parquet files in the shared folder: compressed, and only the columns in use are read again."""
+    spark = df.sparkSession
+    path = f"{_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _release(spark)
+    return spark.read.schema(df.schema).parquet(path)

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernels
-from .common import checkpointed
+from .common import checkpointed, written
 from .components import components
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -146,7 +146,7 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, rounds: int =
     leaders = banded.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader <> last").select("key", "leader")
     members = checkpointed(banded.join(leaders, "key").select("key", "node", "leader"))
     tried = members.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-    texts = checkpointed(docs.join(members.select("node").distinct(), "node", "left_semi").select("node", "text").dropDuplicates(["node"]))
+    texts = written(docs.join(members.select("node").distinct(), "node", "left_semi").select("node", "text").dropDuplicates(["node"]))
     found = components(_verified(tried, texts, similarity), "a", "b")
 
     # The members outside a bucket's largest component meet members of it and of the second, other ones each round.

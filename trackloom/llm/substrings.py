@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernels
-from .common import checkpointed, text_or_empty
+from .common import text_or_empty, written
 from .passages import sliding_least
 
 LENGTH, GRAM, BLOCK = 200, 40, 8
@@ -151,31 +151,34 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def repeated_windows(keyed: DataFrame) -> DataFrame:
     """doc, runs: the starts (bytes from 0) and numbers of consecutive windows that start elsewhere, too."""
+    # Each aggregation below uses all columns in its filter, so that Spark deals the rows out once and reads that exchange again.
     dealt = _anchor_rows(keyed).repartition("gram")
-    shared = dealt.groupBy("gram").agg(F.count("*").alias("total")).where("total > 1").select("gram")
-    equal = dealt.groupBy("gram", "whole").agg(F.count("*").alias("n"))
-    known = checkpointed(dealt.join(shared, "gram").join(equal, ["gram", "whole"]))
+    rest = [F.max(c).alias(f"m_{c}") for c in ("doc", "lo", "count", "off")]
+    used = "coalesce(m_doc, m_lo, m_count, m_off) is not null"
+    shared = dealt.groupBy("gram").agg(F.count("*").alias("total"), F.max("whole").alias("m_whole"), *rest).where(f"total > 1 and m_whole is not null and {used}").select("gram")
+    equal = dealt.groupBy("gram", "whole").agg(F.count("*").alias("n"), *rest).where(used).select("gram", "whole", "n")
+    known = written(dealt.join(shared, "gram").join(equal, ["gram", "whole"]))
 
     mixed = known.groupBy("gram").agg(F.min("n").alias("least")).where("least = 1").select("gram")
     reps = known.join(mixed, "gram").groupBy("gram", "whole").agg(F.min(F.struct("doc", "lo", "count", "off", "n")).alias("p")).select("gram", "whole", "p.*")
     lists = reps.groupBy("doc").agg(F.collect_list(F.struct("gram", "whole", "n", "doc", "lo", "count", "off")).alias("w"))
-    stretches = checkpointed(_stretches(keyed.select("doc", "text").join(lists, "doc").select("w", "text")).dropDuplicates(["gram", "whole"]))
+    stretches = written(_stretches(keyed.select("doc", "text").join(lists, "doc").select("w", "text")).dropDuplicates(["gram", "whole"]))
 
     blocks = _blocks(stretches).repartition("core")
-    by_core = blocks.groupBy("gram", "core").agg(F.sum("n").alias("core_n")).where("core_n > 1")
-    by_hull = blocks.where("hull is not null").groupBy("gram", "core", "hull").agg(F.sum("n").alias("hull_n"))
+    by_core = blocks.groupBy("gram", "core").agg(F.sum("n").alias("core_n"), F.max("whole").alias("w"), F.max("block").alias("b"), F.max("hull").alias("h")).where("core_n > 1 and coalesce(w, b, h) is not null").select("gram", "core")
+    by_hull = blocks.groupBy("gram", "core", "hull").agg(F.sum("n").alias("hull_n"), F.max("whole").alias("w"), F.max("block").alias("b")).where("coalesce(w, b) is not null").select("gram", "core", "hull", "hull_n")
     judged = blocks.join(by_core, ["gram", "core"]).join(by_hull, ["gram", "core", "hull"], "left").withColumn("sure", F.coalesce(F.col("hull_n") > 1, F.lit(False)))
-    judged = checkpointed(judged.select("gram", "whole", "n", "block", "core", "sure"))
+    judged = written(judged.select("gram", "whole", "n", "block", "core", "sure"))
     open_cores = judged.where("n = 1 and not sure").select("gram", "core").distinct()
     look = judged.join(open_cores, ["gram", "core"], "left_semi").groupBy("gram", "whole").agg(F.collect_list("block").alias("blocks"))
     windows = _windows(stretches.join(look, ["gram", "whole"]).select("gram", "n", "doc", "lo", "count", "off", "bytes", "blocks")).repartition("name")
-    twice = windows.groupBy("gram", "name").agg(F.sum("n").alias("times")).where("times > 1").select("gram", "name")
-    single = windows.where("n = 1").join(twice, ["gram", "name"], "left_semi").select("doc", "lo", F.lit(1).cast("long").alias("count"))
+    twice = windows.groupBy("gram", "name").agg(F.sum("n").alias("times"), F.max("doc").alias("d"), F.max("lo").alias("l")).where("times > 1 and coalesce(d, l) is not null").select("gram", "name", "times")
+    single = windows.join(twice, ["gram", "name"]).where("n * times = times").select("doc", "lo", F.lit(1).cast("long").alias("count"))
 
     place = stretches.where("n = 1").select("gram", "whole", "doc", "lo", "off")
     sure = judged.where("n = 1 and sure").join(place, ["gram", "whole"]).select("doc", (F.col("lo") + F.col("off") - F.col("block") * BLOCK - (BLOCK - 1)).alias("lo"), F.lit(BLOCK).cast("long").alias("count"))
     whole = known.where("n > 1").select("doc", "lo", "count")
-    return whole.unionByName(sure).unionByName(single).groupBy("doc").agg(F.sort_array(F.collect_set(F.struct("lo", "count"))).alias("runs"))
+    return written(whole.unionByName(sure).unionByName(single).groupBy("doc").agg(F.sort_array(F.collect_set(F.struct("lo", "count"))).alias("runs")))
 
 
 def _cut(rows: DataFrame, output: T.StructType, make) -> DataFrame:
