@@ -139,6 +139,22 @@ def _grown(found: DataFrame, links: DataFrame) -> DataFrame:
     return checkpointed(old.unionByName(merged).groupBy("node").agg(F.min("component").alias("component")))
 
 
+def _sets(texts: DataFrame) -> DataFrame:
+    """node, set: 32-bit hashes of the shingles, each numbered by its occurrence, so that the sets overlap as the bags do."""
+    schema = T.StructType([T.StructField("node", T.LongType()), T.StructField("set", T.ArrayType(T.IntegerType()))])
+
+    def task(batches):
+        for batch, data, offsets in kernels.slices(batches):
+            owner, shingle, count = bags(data, offsets)
+            row = np.repeat(np.arange(len(count)), count)
+            turn = np.arange(len(row)) - np.repeat(np.append(0, np.cumsum(count)[:-1]), count) if len(row) else row
+            value = (kernels.mix64(shingle[row] + turn.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+            at = np.append(0, np.cumsum(np.bincount(owner[row], minlength=batch.num_rows))).astype(np.int32) if len(row) else np.zeros(batch.num_rows + 1, np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(at), pa.array(value))], names=schema.names)
+
+    return texts.select("node", "text").mapInArrow(task, schema)
+
+
 def near_classes(docs: DataFrame, similarity: float = SIMILARITY, rounds: int = ROUNDS) -> DataFrame:
     """(node, component) of the texts that have a near duplicate; ``docs`` has node (a hash of the text) and text."""
     sketches = checkpointed(_sketches(docs).dropDuplicates(["node"]))
@@ -160,11 +176,13 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, rounds: int =
             break
         found = _grown(found, links)
 
-    # What is still apart is compared pair by pair, if the sketches agree.
-    rest = _across(members, found).join(sketches.select("node", "bits0", "bits1"), "node")
-    a, b = (rest.select(F.col("key").alias(f"k{x}"), F.col("node").alias(x), F.col("component").alias(f"c{x}"), F.col("bits0").alias(f"{x}0"), F.col("bits1").alias(f"{x}1")) for x in "ab")
+    # What is still apart is compared within the join on the key, by sketch and then by the sets of numbered shingles, so that only links come out.
+    rest = _across(members, found).join(sketches.select("node", "bits0", "bits1"), "node").join(_sets(texts), "node")
+    a, b = (rest.select(F.col("key").alias(f"k{x}"), F.col("node").alias(x), F.col("component").alias(f"c{x}"), F.col("bits0").alias(f"{x}0"), F.col("bits1").alias(f"{x}1"), F.col("set").alias(f"s{x}")) for x in "ab")
     differ = F.bit_count(F.col("a0").bitwiseXOR(F.col("b0"))) + F.bit_count(F.col("a1").bitwiseXOR(F.col("b1")))
-    apart = a.join(b, (F.col("ka") == F.col("kb")) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (differ <= MOST_DIFFER)).select("a", "b").distinct()
+    sizes = F.size("sa") + F.size("sb")
+    alike = F.size(F.array_intersect("sa", "sb")) * (1 + similarity) >= similarity * sizes - 2
+    apart = a.join(b, (F.col("ka") == F.col("kb")) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (differ <= MOST_DIFFER) & alike).select("a", "b").distinct()
     links = checkpointed(_verified(apart, texts, similarity))
     return found if links.isEmpty() else _grown(found, links)
 
