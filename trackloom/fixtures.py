@@ -143,30 +143,37 @@ def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keypoints(spark: SparkSession, sf_dir: str, damage: bool = True, offsets: bool = True) -> DataFrame:
-    """The packed table: a row for each camera frame, arrays by joint. A frame's joints come from one event, so nothing is shuffled."""
-    x, y, z = _world("place")
-    swap = "case joint " + " ".join(f"when {a} then {b}" for a, b in _SWAP.items()) + " else joint end"
-    place = f"(case when cam = 1 and i % 250 between 20 and 59 then {swap} else joint end)" if damage else "joint"
+    """The packed table: a row for each camera frame, arrays by joint. A frame's joints come from one event, so nothing is shuffled.
+
+    The same numbers as ``keypoints_sql``; each step is computed once for a joint.
+    """
+    names = [f"r{i}{j}" for i in range(3) for j in range(3)] + ["t0", "t1", "t2", "shift_s"]
+    values = ", ".join("(" + ", ".join([str(c), *[number(v) for row in r for v in row], *map(number, t), number(OFFSETS[c])]) + ")" for c, (r, t) in enumerate(POSES))
+    cams = f"select * from (values {values}) as c(cam, {', '.join(names)})"
+    body = [f"array({', '.join(number(b[k]) for b in BODY)})" for k in range(3)]
+    swap = ", ".join(str(_SWAP.get(j, j)) for j in range(23))
+    places = f"if(cam = 1 and i % 250 between 20 and 59, array({swap}), sequence(0, 22))" if damage else "sequence(0, 22)"
     drop = "where not ((i * 7 + cam * 13) % 97 < 2 or (cam = 1 and i between 300 and 320))" if damage else ""
-    t = f"cast(i as double) / 15 + cast((event_id + 3 * cam) % 7 as double) / 1000 + {_case('cam', OFFSETS)}" if offsets else "tau"
-    step1 = f"transform(sequence(0, 22), joint -> {place})"
-    step2 = f"transform(places, place -> named_struct('x', {x}, 'y', {y}, 'z', {z}))"
-    depth = _camera("2", "p.x", "p.y", "p.z")
-    step3 = f"transform(points, p -> named_struct('a', {_camera('0', 'p.x', 'p.y', 'p.z')} / {depth}, 'b', {_camera('1', 'p.x', 'p.y', 'p.z')} / {depth}))"
-    fu, fv = _fisheye("q.a", "q.b")
-    shift = f"(case when cam = 2 and i % 50 = 7 then {number(80.0)} else {number(0.0)} end)" if damage else number(0.0)
-    return from_events(
-        spark,
-        sf_dir,
-        sql(
-            f"""
-            select recording, cam, i, t, transform(rays, q -> {fu} + {shift}) as u, transform(rays, q -> {fv} + {shift}) as v,
-                   transform(sequence(0, 22), joint -> cast(0.5 as double) + cast((i * 7 + joint * 3 + cam) % 50 as double) / 100) as conf
-            from (select *, {step3} as rays from (select *, {step2} as points from (select *, {step1} as places from (
-                  select recording, cam, i, event_id, {t} as t from ({FRAMES}) f cross join (select explode(sequence(0, {CAMERAS - 1})) as cam) c {drop}) a) b) c) d""",
-            "spark",
-        ),
-    )
+    t = "cast(i as double) / 15 + cast((event_id + 3 * cam) % 7 as double) / 1000 + shift_s" if offsets else "tau"
+    shift = f"if(cam = 2 and i % 50 = 7, {number(80.0)}, {number(0.0)})" if damage else number(0.0)
+    k1, k2, k3, k4 = map(number, DISTORTION)
+    row = "(r{0}0 * p.x + r{0}1 * p.y + r{0}2 * p.z + t{0})"
+    steps = [
+        f"select recording, cam, i, {t} as t, {places} as places, {shift} as shift, {tri(200)} as dx, {number(0.8)} * {tri(140)} as dy, {', '.join(names[:-1])} from ({FRAMES}) f cross join ({cams}) c {drop}",
+        f"select *, transform(places, j -> named_struct('x', get({body[0]}, j) + dx, 'y', get({body[1]}, j) + dy, 'z', get({body[2]}, j))) as points from ({{}}) s0",
+        f"select *, transform(points, p -> named_struct('a', {row.format(0)}, 'b', {row.format(1)}, 'c', {row.format(2)})) as seen from ({{}}) s1",
+        "select *, transform(seen, q -> named_struct('a', q.a / q.c, 'b', q.b / q.c)) as flat from ({}) s2",
+        "select *, transform(flat, q -> sqrt(q.a * q.a + q.b * q.b)) as radii from ({}) s3",
+        "select *, transform(radii, r -> atan(r)) as angles from ({}) s4",
+        "select *, transform(angles, a -> a * a) as squares from ({}) s5",
+        f"select *, transform(squares, (s, k) -> if(get(radii, k) = 0, {number(1.0)}, get(angles, k) * (1 + {k1} * s + {k2} * s * s + {k3} * s * s * s + {k4} * s * s * s * s) / get(radii, k))) as scales from ({{}}) s6",
+        f"""select recording, cam, i, t, zip_with(flat, scales, (q, s) -> {number(FOCAL)} * q.a * s + {number(CX)} + shift) as u, zip_with(flat, scales, (q, s) -> {number(FOCAL)} * q.b * s + {number(CY)} + shift) as v,
+            transform(sequence(0, 22), joint -> cast(0.5 as double) + cast((i * 7 + joint * 3 + cam) % 50 as double) / 100) as conf from ({{}}) s7""",
+    ]
+    text = steps[0]
+    for step in steps[1:]:
+        text = step.replace("{}", text)
+    return from_events(spark, sf_dir, sql(text, "spark"))
 
 
 def camera_rows() -> list[dict]:
