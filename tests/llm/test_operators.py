@@ -316,6 +316,26 @@ def test_near_paragraphs_are_linked(spark):
     assert got and all(n >= 2 for n in sizes.values())
 
 
+@pytest.mark.parametrize("part", ["\n\n", "\n"])
+def test_a_paragraph_with_an_inner_word_changed_is_linked_whole(spark, part):
+    base, short = prose(31, 60).split(), prose(32, 29).split()
+    changed, longer = [*base[:30], "changed", *base[31:]], [*short, "more"]
+    texts = [prose(33, 40) + part + " ".join(base) + part + " ".join(short), prose(34, 50) + part + " ".join(longer) + part + " ".join(changed)]
+    got = passages.paragraph_classes(table(spark, texts)).collect()
+    for x, y in ((base, changed), (short, longer)):
+        whole = {texts[r.doc_id].encode()[r.start : r.end].decode(): r for r in got}
+        assert whole[" ".join(x)]["class"] == whole[" ".join(y)]["class"] and not whole[" ".join(x)].removed and whole[" ".join(y)].removed
+
+
+def test_real_paragraphs():
+    texts = [prose(35, 20) + "\n \n" + prose(36, 30) + "\n" + prose(37, 9), prose(38, 11) + "\n" + prose(39, 7), prose(40, 1500), prose(41, 60), "", prose(42, 900) + "\n" + prose(43, 8)]
+    text, start, end, _, a, b, _ = passages.blocks(*kernels.text_bytes(pa.array(texts)))
+    sizes = {i: (b - a)[text == i].tolist() for i in range(len(texts))}
+    assert sizes[0] == [20, 39] and sizes[1] == [11] and sizes[3] == [60] and sizes[4] == []
+    assert len(sizes[2]) > 5 and max(sizes[2]) <= passages.BLOCK and sum(sizes[2]) > 1400
+    assert 900 in sizes[5] and 8 in sizes[5] and len(sizes[5]) > 5
+
+
 def test_large_groups_stay_linear(spark):
     base = prose(40, 120).split()
     texts = [" ".join(base[:i] + [f"v{j}"] + base[i + 1 :]) for j in range(30) for i in (5, 50, 100)] + [" ".join(base)] * 40

@@ -78,13 +78,13 @@ def band_keys(registers: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def _sketches(docs: DataFrame) -> DataFrame:
+def _sketches(docs: DataFrame, bag=bags) -> DataFrame:
     """node, keys, bits0, bits1 (a bit of each register) of every document that has words."""
     schema = T.StructType([T.StructField("node", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("bits0", T.LongType()), T.StructField("bits1", T.LongType())])
 
     def task(batches):
         for batch, data, offsets in kernels.slices(batches):
-            found = signatures(*bags(data, offsets), batch.num_rows)
+            found = signatures(*bag(data, offsets), batch.num_rows)
             full = np.flatnonzero(np.isfinite(found[:, 0]))
             keys = band_keys(found[full])
             bit = (kernels.mix64(found[full].view(np.uint64)) & np.uint64(1)).reshape(len(full), 2, SIGNATURE // 2)
@@ -95,11 +95,11 @@ def _sketches(docs: DataFrame) -> DataFrame:
     return docs.select("node", "text").mapInArrow(task, schema)
 
 
-def overlaps(texts_a: pa.Array, texts_b: pa.Array) -> np.ndarray:
+def overlaps(texts_a: pa.Array, texts_b: pa.Array, bag=bags) -> np.ndarray:
     """Weighted Jaccard similarity of each pair of texts."""
     n = len(texts_a)
-    oa, sa, ca = bags(*kernels.text_bytes(texts_a))
-    ob, sb, cb = bags(*kernels.text_bytes(texts_b))
+    oa, sa, ca = bag(*kernels.text_bytes(texts_a))
+    ob, sb, cb = bag(*kernels.text_bytes(texts_b))
     owner, shingle, count = np.concatenate((oa, ob)), np.concatenate((sa, sb)), np.concatenate((ca, cb))
     order = np.lexsort((shingle, owner))
     owner, shingle, count = owner[order], shingle[order], count[order]
@@ -109,7 +109,7 @@ def overlaps(texts_a: pa.Array, texts_b: pa.Array) -> np.ndarray:
     return np.where(total > 0, common / np.maximum(total, 1), 0)
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame, similarity: float, bag=bags) -> DataFrame:
     """The pairs (a, b) whose texts overlap enough."""
     schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
@@ -117,7 +117,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
         for batch in batches:
             for i in range(0, batch.num_rows, 200):
                 part = batch.slice(i, 200)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], names=["a", "b"]).filter(pa.array(overlaps(part.column(2), part.column(3)) >= similarity))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], names=["a", "b"]).filter(pa.array(overlaps(part.column(2), part.column(3), bag) >= similarity))
 
     joined = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
     return joined.select("a", "b", "ta", "tb").mapInArrow(task, schema)
@@ -139,13 +139,13 @@ def _grown(found: DataFrame, links: DataFrame) -> DataFrame:
     return checkpointed(old.unionByName(merged).groupBy("node").agg(F.min("component").alias("component")))
 
 
-def _sets(texts: DataFrame) -> DataFrame:
+def _sets(texts: DataFrame, bag=bags) -> DataFrame:
     """node, set: 32-bit hashes of the shingles, each numbered by its occurrence, so that the sets overlap as the bags do."""
     schema = T.StructType([T.StructField("node", T.LongType()), T.StructField("set", T.ArrayType(T.IntegerType()))])
 
     def task(batches):
         for batch, data, offsets in kernels.slices(batches):
-            owner, shingle, count = bags(data, offsets)
+            owner, shingle, count = bag(data, offsets)
             row = np.repeat(np.arange(len(count)), count)
             turn = np.arange(len(row)) - np.repeat(np.append(0, np.cumsum(count)[:-1]), count) if len(row) else row
             value = (kernels.mix64(shingle[row] + turn.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32).view(np.int32)
@@ -155,15 +155,15 @@ def _sets(texts: DataFrame) -> DataFrame:
     return texts.select("node", "text").mapInArrow(task, schema)
 
 
-def near_classes(docs: DataFrame, similarity: float = SIMILARITY, rounds: int = ROUNDS) -> DataFrame:
-    """(node, component) of the texts that have a near duplicate; ``docs`` has node (a hash of the text) and text."""
-    sketches = checkpointed(_sketches(docs).dropDuplicates(["node"]))
+def near_classes(docs: DataFrame, similarity: float = SIMILARITY, rounds: int = ROUNDS, bag=bags) -> DataFrame:
+    """(node, component) of the texts that have a near duplicate; ``docs`` has node (a hash of the text) and text, ``bag`` makes the bags."""
+    sketches = checkpointed(_sketches(docs, bag).dropDuplicates(["node"]))
     banded = sketches.select("node", F.explode("keys").alias("key"))
     leaders = banded.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader <> last").select("key", "leader")
     members = checkpointed(banded.join(leaders, "key").select("key", "node", "leader"))
     tried = members.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     texts = written(docs.join(members.select("node").distinct(), "node", "left_semi").select("node", "text").dropDuplicates(["node"]))
-    found = components(_verified(tried, texts, similarity), "a", "b")
+    found = components(_verified(tried, texts, similarity, bag), "a", "b")
 
     # The members outside a bucket's largest component meet members of it and of the second, other ones each round.
     for r in range(rounds):
@@ -171,19 +171,19 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, rounds: int =
         sizes = rest.groupBy("key", "component").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64(F.lit(r), "node").alias("h"), "node")).alias("one"))
         two = sizes.withColumn("nr", F.row_number().over(W.partitionBy("key").orderBy(F.desc("n"), "component"))).withColumn("largest", F.first("component").over(W.partitionBy("key").orderBy(F.desc("n"), "component"))).where("nr <= 2").select("key", "nr", "largest", F.col("component").alias("other"), F.col("one.node").alias("lead"))
         pairs = rest.join(two, "key").where("component <> other and (nr = 1 or component <> largest)").select(F.least("lead", "node").alias("a"), F.greatest("lead", "node").alias("b")).distinct()
-        links = checkpointed(_verified(pairs, texts, similarity))
+        links = checkpointed(_verified(pairs, texts, similarity, bag))
         if links.isEmpty():
             break
         found = _grown(found, links)
 
     # What is still apart is compared within the join on the key, by sketch and then by the sets of numbered shingles, so that only links come out.
-    rest = _across(members, found).join(sketches.select("node", "bits0", "bits1"), "node").join(_sets(texts), "node")
+    rest = _across(members, found).join(sketches.select("node", "bits0", "bits1"), "node").join(_sets(texts, bag), "node")
     a, b = (rest.select(F.col("key").alias(f"k{x}"), F.col("node").alias(x), F.col("component").alias(f"c{x}"), F.col("bits0").alias(f"{x}0"), F.col("bits1").alias(f"{x}1"), F.col("set").alias(f"s{x}")) for x in "ab")
     differ = F.bit_count(F.col("a0").bitwiseXOR(F.col("b0"))) + F.bit_count(F.col("a1").bitwiseXOR(F.col("b1")))
     sizes = F.size("sa") + F.size("sb")
     alike = F.size(F.array_intersect("sa", "sb")) * (1 + similarity) >= similarity * sizes - 2
     apart = a.join(b, (F.col("ka") == F.col("kb")) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (differ <= MOST_DIFFER) & alike).select("a", "b").distinct()
-    links = checkpointed(_verified(apart, texts, similarity))
+    links = checkpointed(_verified(apart, texts, similarity, bag))
     return found if links.isEmpty() else _grown(found, links)
 
 

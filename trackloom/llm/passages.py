@@ -1,4 +1,4 @@
-"""Substring dedup: MinHash banding of paragraphs, exact verification, components.
+"""Substring dedup: equal passages by content cuts; near paragraphs by MinHash banding, exact verification, components.
 
 Repeated passages rarely begin and end with a line, so paragraphs are cut by content: of each ``REACH`` consecutive word pairs the
 one with the least hash starts a paragraph. Equal passages of ``2 * REACH`` words or more, wherever they
@@ -6,9 +6,9 @@ stand, thus contain the same cuts and share a paragraph. Paragraphs of ``MIN_WOR
 repeated paragraphs, ``LEAST_RUN`` words or more in all: one of 52 words keeps 12 at least between its first and last cut, while a
 repeated line of a few words is left to line dedup.
 
-Each has ``BANDS`` MinHash values of its five-word shingles, a band each. Members of a bucket are verified by the exact Jaccard
-similarity of their shingles within the join on the band's key, so that only true links come out of it, and the components of the
-links, with equal paragraphs as one node, are the classes.
+Near repeats are sought among the real paragraphs (``blocks``), whole: those of ``MIN_WORDS`` words or more, of which each has four
+five-word shingles at least; fewer cannot differ at a similarity of 0.8. They are classed as documents are in ``near``, by
+MinHash and exact Jaccard similarity, but over sets of shingles. The paragraphs cut by content are the exact path beside it.
 """
 
 from __future__ import annotations
@@ -20,15 +20,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import kernels
-from .common import checkpointed, text_or_empty, written
-from .components import components
+from . import kernels, near
+from .common import text_or_empty, written
 
 REACH, MIN_WORDS, SHINGLE, SIMILARITY = 20, 8, 5, 0.8
 #: A repeated paragraph counts only in a run of repeated ones that spans so many words.
 LEAST_RUN = 12
-#: Recall of a pair at 0.8: 1 - 0.2 ** 3 = 0.992. Paragraphs of fewer shingles than these are compared for equality only.
-BANDS, LEAST_SHINGLES = 3, 8
+#: Longest paragraph that content cuts leave where a text has no lines; half of it on average.
+BLOCK = 200
 
 
 def sliding_least(values: np.ndarray, w: int) -> np.ndarray:
@@ -68,19 +67,52 @@ def paragraphs(data: np.ndarray, offsets: np.ndarray):
     return owner[a], starts[a], ends[b - 1], kernels.span_hash(kernels.prefix_sums(word), a, b), a, b, word, first
 
 
-def minhashes(word: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """(paragraphs, BANDS) least hashes of the shingles of word ranges."""
-    if not len(a):
-        return np.zeros((0, BANDS), np.uint64)
-    shingle = np.zeros(len(word) - SHINGLE + 1, np.uint64)
-    for j in range(SHINGLE):
-        shingle = shingle * np.uint64(0x9E3779B97F4A7C15) + word[j : j + len(shingle)]
-    cuts = np.stack((a, b - SHINGLE + 1), axis=1).ravel()
-    out = np.empty((len(a), BANDS), np.uint64)
-    for k in range(BANDS):
-        hashed = np.append(kernels.mix64(shingle + np.uint64(0x632BE59BD9B4E019 * (k + 1) & (1 << 64) - 1)), np.uint64(0))
-        out[:, k] = np.minimum.reduceat(hashed, cuts)[::2]
-    return out
+def blocks(data: np.ndarray, offsets: np.ndarray):
+    """(text, start byte, end byte, hash, first word, end word) of the real paragraphs of MIN_WORDS words or more, and each text's first word.
+
+    Paragraphs are parted by blank lines, in a text without blank lines by line ends. A text without either, and also
+    what lies within a paragraph of more than ``2 * BLOCK`` words, is cut by content, as above but over ``BLOCK`` words.
+    """
+    starts, ends = kernels.words(data, offsets)
+    n = len(starts)
+    if not n:
+        z = np.zeros(0, np.int64)
+        return z, z, z, z.view(np.uint64), z, z, z
+    owner = kernels.text_index(starts, offsets)
+    word = kernels.span_hash(kernels.prefix_sums(data), starts, ends)
+    lines = np.append(0, np.cumsum(data == 10))
+    new = np.append(True, owner[1:] != owner[:-1])
+    gap = np.where(new, 0, lines[starts] - lines[np.append(0, ends[:-1])])
+    most = np.zeros(len(offsets), np.int64)
+    np.maximum.at(most, owner, gap)
+    edge = np.append(new | (gap >= 1) & (gap >= np.minimum(most[owner], 2)), True)
+    at = np.flatnonzero(edge)
+    a, b = at[:-1], at[1:]
+    bare, long = most[owner[a]] == 0, b - a > 2 * BLOCK
+    if n >= BLOCK:
+        pair = kernels.mix64(word * np.uint64(0x9E3779B97F4A7C15) + np.append(word[1:], np.uint64(0)))
+        low = (1 << 28) - 1
+        packed = (pair & np.uint64(~low & (1 << 64) - 1)) | (np.uint64(low) - (np.arange(n, dtype=np.uint64) & np.uint64(low)))
+        group = np.cumsum(edge[:-1])
+        inside = (group[: n - BLOCK + 1] == group[BLOCK - 1 :]) & np.repeat(bare | long, b - a)[: n - BLOCK + 1]
+        edge[np.unique((np.uint64(low) - (sliding_least(packed, BLOCK)[inside] & np.uint64(low))).astype(np.int64))] = True
+        whole = ~bare | (np.add.reduceat(edge[:-1].astype(np.int64), a) == 1)
+        a, b = a[whole], b[whole]
+        at = np.flatnonzero(edge)
+        part = ~np.isin(at[:-1], a) | ~np.isin(at[1:], b)
+        a, b = np.concatenate((a, at[:-1][part])), np.concatenate((b, at[1:][part]))
+        order = np.lexsort((b, a))
+        a, b = a[order], b[order]
+    enough = b - a >= MIN_WORDS
+    a, b = a[enough], b[enough]
+    first = np.searchsorted(starts, offsets[:-1])
+    return owner[a], starts[a], ends[b - 1], kernels.mix64(kernels.span_hash(kernels.prefix_sums(word), a, b) + np.uint64(1)), a, b, first
+
+
+def shingle_set(data: np.ndarray, offsets: np.ndarray):
+    """The texts' bags with every count one, so that similarities are those of sets."""
+    owner, shingle, count = near.bags(data, offsets)
+    return owner, shingle, np.ones_like(count)
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -101,39 +133,19 @@ def _units(keyed: DataFrame) -> DataFrame:
     return keyed.select("doc_id", "doc", "rank", "text").mapInArrow(task, schema)
 
 
-def _bands(keyed: DataFrame) -> DataFrame:
-    """key, unit of each band of each paragraph that can have near ones; a unit comes once from each batch."""
-    schema = T.StructType([T.StructField("key", T.LongType()), T.StructField("unit", T.LongType())])
+def _blocks(keyed: DataFrame) -> DataFrame:
+    """A row for each real paragraph, with its text."""
+    schema = T.StructType([keyed.schema["doc_id"], keyed.schema["doc"], keyed.schema["rank"]] + [T.StructField(c, T.LongType()) for c in ("start", "end", "word", "words", "unit")] + [T.StructField("text", T.StringType())])
 
     def task(batches):
-        for _, data, offsets in kernels.slices(batches, "text"):
-            _, _, _, unit, a, b, word, _ = paragraphs(data, offsets)
-            _, first = np.unique(unit, return_index=True)
-            first = np.sort(first[b[first] - a[first] >= SHINGLE - 1 + LEAST_SHINGLES])  # in order, so that the ranges between are short
-            keys = kernels.mix64(minhashes(word, a[first], b[first]) + np.arange(BANDS, dtype=np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(unit[first], BANDS).view(np.int64))], names=["key", "unit"])
-
-    return keyed.select("text").mapInArrow(task, schema)
-
-
-def _shingle_sets(texts: DataFrame) -> DataFrame:
-    """(wanted units with their places, text) -> unit, set of shingle hashes."""
-    schema = T.StructType([T.StructField("unit", T.LongType()), T.StructField("set", T.ArrayType(T.LongType()))])
-
-    def task(batches):
-        for batch in batches:
-            units, sets = [], []
-            for wanted, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                raw = text.encode()
-                for w in wanted:
-                    data, offsets = kernels.text_bytes(pa.array([raw[w["start"] : w["end"]].decode()]))
-                    starts, ends = kernels.words(data, offsets)
-                    hashes, _ = kernels.shingles(kernels.span_hash(kernels.prefix_sums(data), starts, ends), np.zeros(len(starts), np.int64), SHINGLE)
-                    units.append(w["unit"])
-                    sets.append(np.unique(hashes).view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(units, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=schema.names)
+        for batch, data, offsets in kernels.slices(batches, "text"):
+            text, start, end, unit, a, b, first = blocks(data, offsets)
+            at, base = pa.array(text), first[text]
+            raw = data.tobytes()
+            spans = pa.array([raw[x:y].decode() for x, y in zip(start.tolist(), end.tolist(), strict=True)], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(i).take(at) for i in range(3)] + [pa.array(x) for x in (start - offsets[text], end - offsets[text], a - base, b - a, unit.view(np.int64))] + [spans], names=schema.names)
 
-    return texts.mapInArrow(task, schema)
+    return keyed.select("doc_id", "doc", "rank", "text").mapInArrow(task, schema)
 
 
 def paragraph_classes(docs: DataFrame, similarity: float = SIMILARITY, least_run: int = LEAST_RUN) -> DataFrame:
@@ -143,29 +155,22 @@ def paragraph_classes(docs: DataFrame, similarity: float = SIMILARITY, least_run
     empty and short texts have no paragraph; rows that repeat an id and a text have the same places twice. Other columns are ignored.
     """
     keyed = _keyed(docs)
-    banded = _bands(keyed).repartition("key")
-    shared = banded.groupBy("key").agg(F.min("unit").alias("low"), F.max("unit").alias("high")).where("low <> high").select("key")
-    members = checkpointed(banded.join(shared, "key").distinct())
-
-    wanted = members.select("unit").distinct().withColumn("wanted", F.lit(True))
-    every = _units(keyed).groupBy("unit").agg(F.min(F.struct("rank", "doc", "start", "end")).alias("place"), F.count("*").alias("n"))
-    places = written(every.join(wanted, "unit", "left").where("n > 1 or wanted"))
-    lists = places.where("wanted").groupBy(F.col("place.doc").alias("doc")).agg(F.collect_list(F.struct("unit", "place.start", "place.end")).alias("w"))
-    sets = _shingle_sets(keyed.select("doc", "text").join(lists, "doc").select("w", "text")).dropDuplicates(["unit"])
-    full = written(members.join(sets, "unit"))
-    x, y = full.select("key", F.col("unit").alias("a"), F.col("set").alias("sa")), full.select("key", F.col("unit").alias("b"), F.col("set").alias("sb"))
-    alike = (F.size("sa") >= similarity * F.size("sb")) & (F.size("sb") >= similarity * F.size("sa")) & (F.size(F.array_intersect("sa", "sb")) * (1 + similarity) >= similarity * (F.size("sa") + F.size("sb")))
-    links = x.join(y, "key").where((F.col("a") < F.col("b")) & alike).select("a", "b").distinct()
-
-    found = components(links, "a", "b")
-    nodes = places.join(found, places["unit"] == found["node"], "left").select("unit", "place", "n", F.coalesce("component", "unit").alias("class"), F.col("component").isNotNull().alias("linked"))
+    real = _blocks(keyed)
+    # one node for each text of a paragraph, its words parted by whatever blanks
+    found = near.near_classes(real.select(F.col("unit").alias("node"), "text"), similarity, bag=shingle_set)
+    every = _units(keyed).unionByName(real.drop("text"))
+    counted = every.groupBy("unit").agg(F.min(F.struct("rank", "doc", "start", "end")).alias("place"), F.count("*").alias("n"))
+    nodes = written(
+        counted.join(found, counted["unit"] == found["node"], "left").where("n > 1 or component is not null")
+        .select("unit", "place", "n", F.coalesce("component", "unit").alias("class"), F.col("component").isNotNull().alias("linked"))
+    )
     # A class of one unit needs no second look; only linked units are gathered by class.
     linked = nodes.where("linked")
     several = linked.groupBy("class").agg(F.sum("n").alias("class_size"), F.min("place").alias("first"))
     single = nodes.where("n > 1 and not linked").select("unit", "class", F.col("n").alias("class_size"), F.col("place").alias("first"))
     classes = linked.select("unit", "class").join(several, "class").select("unit", "class", "class_size", "first").unionByName(single)
     same = (F.col("first.rank") == F.col("rank")) & (F.col("first.doc") == F.col("doc")) & (F.col("first.start") == F.col("start"))
-    repeated = _units(keyed).join(classes, "unit").withColumn("removed", ~same)
+    repeated = every.join(classes, "unit").withColumn("removed", ~same)
     order = W.partitionBy("doc").orderBy("word")
     fresh = F.col("word") > F.max(F.col("word") + F.col("words")).over(order.rowsBetween(W.unboundedPreceding, -1)) + MIN_WORDS
     repeated = repeated.withColumn("__run", F.sum(F.coalesce(fresh, F.lit(False)).cast("int")).over(order))
