@@ -316,6 +316,20 @@ def test_near_paragraphs_are_linked(spark):
     assert got and all(n >= 2 for n in sizes.values())
 
 
+def test_equal_passages_of_50_words_are_found_to_their_ends(spark):
+    rng = np.random.default_rng(8)
+    draw = lambda n: " ".join("".join(map(chr, rng.integers(97, 123, 7))) for _ in range(n))
+    shared = [draw(50 + i % 5) for i in range(150)]
+    texts = [draw(60) + " " + s + " " + draw(61) for s in shared * 2]
+    got = passages.paragraph_classes(table(spark, texts)).collect()
+    spans = {}
+    for r in got:
+        a, b = spans.get(r.doc_id, (r.start, r.end))
+        spans[r.doc_id] = min(a, r.start), max(b, r.end)
+        assert len(texts[r.doc_id].encode()[r.start : r.end].split()) == r.words
+    assert {i: texts[i].encode()[a:b].decode() for i, (a, b) in spans.items()} == dict(enumerate(shared * 2))
+
+
 @pytest.mark.parametrize("part", ["\n\n", "\n"])
 def test_a_paragraph_with_an_inner_word_changed_is_linked_whole(spark, part):
     base, short = prose(31, 60).split(), prose(32, 29).split()

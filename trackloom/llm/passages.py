@@ -1,10 +1,11 @@
 """Substring dedup: equal passages by content cuts; near paragraphs by MinHash banding, exact verification, components.
 
 Repeated passages rarely begin and end with a line, so paragraphs are cut by content: of each ``REACH`` consecutive word pairs the
-one with the least hash starts a paragraph. Equal passages of ``2 * REACH`` words or more, wherever they
-stand, thus contain the same cuts and share a paragraph. Paragraphs of ``MIN_WORDS`` words or more count. A passage is a run of
-repeated paragraphs, ``LEAST_RUN`` words or more in all: one of 52 words keeps 12 at least between its first and last cut, while a
-repeated line of a few words is left to line dedup.
+one with the least hash starts a paragraph, and so does a gram of ``GRAM`` words. Equal passages of ``REACH + GRAM - 1`` = 50 words or
+more, wherever they stand, have an equal window of ``REACH`` pairs at their start, thus the same cut in it and the same gram.
+Paragraphs of ``MIN_WORDS`` words or more count too. A passage is a run of repeated paragraphs and grams. Its outermost ones are extended word by
+word, by ``EXTEND`` words at most, as far as another occurrence of the same paragraph or gram has the same words; a run counts if it then
+has ``LEAST_RUN`` words or more.
 
 Near repeats are sought among the real paragraphs (``blocks``), whole: those of ``MIN_WORDS`` words or more, of which each has four
 five-word shingles at least; fewer cannot differ at a similarity of 0.8. They are classed as documents are in ``near``, by
@@ -15,6 +16,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -24,6 +26,10 @@ from . import kernels, near
 from .common import text_or_empty, written
 
 REACH, MIN_WORDS, SHINGLE, SIMILARITY = 20, 8, 5, 0.8
+#: Words of the gram that starts at each cut. Equal passages of REACH + GRAM - 1 = 50 words share a cut among their first REACH words, so that gram.
+GRAM = 31
+#: Words by which the ends of a run may grow; the outermost grams of an equal passage of 50 words or more leave fewer than REACH on either side.
+EXTEND = REACH - 1
 #: A repeated paragraph counts only in a run of repeated ones that spans so many words.
 LEAST_RUN = 12
 #: Longest paragraph that content cuts leave where a text has no lines; half of it on average.
@@ -41,7 +47,7 @@ def sliding_least(values: np.ndarray, w: int) -> np.ndarray:
 
 
 def paragraphs(data: np.ndarray, offsets: np.ndarray):
-    """(text, start byte, end byte, hash, first word, end word) of all paragraphs of MIN_WORDS words or more, the words' hashes, and each text's first word."""
+    """(text, start byte, end byte, hash, first word, end word) of all paragraphs of MIN_WORDS words or more and all grams, the words' hashes, and each text's first word."""
     starts, ends = kernels.words(data, offsets)
     n = len(starts)
     if not n:
@@ -62,7 +68,11 @@ def paragraphs(data: np.ndarray, offsets: np.ndarray):
     edges = np.flatnonzero(cut)
     a, b = edges[:-1], edges[1:]
     long = b - a >= MIN_WORDS
-    a, b = a[long], b[long]
+    last = np.searchsorted(owner, owner[a], "right")
+    gram = a[a + GRAM <= last]
+    a, b = np.concatenate((a[long], gram)), np.concatenate((b[long], gram + GRAM))
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
     first = np.searchsorted(starts, offsets[:-1])
     return owner[a], starts[a], ends[b - 1], kernels.span_hash(kernels.prefix_sums(word), a, b), a, b, word, first
 
@@ -121,7 +131,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def _units(keyed: DataFrame) -> DataFrame:
-    """A row for each paragraph."""
+    """A row for each paragraph and gram."""
     schema = T.StructType([keyed.schema["doc_id"], keyed.schema["doc"], keyed.schema["rank"]] + [T.StructField(c, T.LongType()) for c in ("start", "end", "word", "words", "unit")])
 
     def task(batches):
@@ -148,10 +158,62 @@ def _blocks(keyed: DataFrame) -> DataFrame:
     return keyed.select("doc_id", "doc", "rank", "text").mapInArrow(task, schema)
 
 
+def _contexts(texts: DataFrame) -> DataFrame:
+    """(doc, text, wanted places) -> for each place and side the keys and outer bytes of its contexts of 1, 2, ... EXTEND words; own marks ends of runs."""
+    schema = T.StructType([T.StructField(c, T.LongType()) for c in ("doc", "unit", "word", "words")] + [T.StructField(c, T.BooleanType()) for c in ("left", "own")] + [T.StructField(c, T.ArrayType(T.LongType())) for c in ("keys", "bytes")])
+
+    def task(batches):
+        for batch, data, offsets in kernels.slices(batches, "text"):
+            starts, ends = kernels.words(data, offsets)
+            sums = kernels.prefix_sums(kernels.span_hash(kernels.prefix_sums(data), starts, ends))
+            first = np.searchsorted(starts, offsets)
+            wanted = batch.column(2)
+            text = np.repeat(np.arange(batch.num_rows), pc.list_value_length(wanted).to_numpy(zero_copy_only=False))
+            place = wanted.flatten()
+            get = lambda c: place.field(c).to_numpy(zero_copy_only=False)  # noqa: B023, E731
+            for side in ("left", "right"):
+                use = np.flatnonzero(get(side))
+                unit, word, words, own, row = get("unit")[use], get("word")[use], get("words")[use], get(f"own_{side}")[use], text[use]
+                at = (first[row] + word + (words if side == "right" else 0))[:, None]
+                k = np.arange(1, EXTEND + 1)
+                a, b = (at - k, at + 0 * k) if side == "left" else (at + 0 * k, at + k)
+                inside = (a >= first[row][:, None]) & (b <= first[row + 1][:, None])
+                count = np.append(0, np.cumsum(inside.sum(axis=1))).astype(np.int32)
+                a, b = a[inside], b[inside]
+                whose = np.repeat(np.arange(len(use)), np.diff(count))
+                salt = unit.view(np.uint64)[whose] * np.uint64(0x9E3779B97F4A7C15) + np.uint64(side == "left")
+                keys = kernels.mix64(kernels.span_hash(sums, a, b) ^ kernels.mix64(salt)).view(np.int64)
+                outer = (starts[a] if side == "left" else ends[b - 1]) - offsets[row][whose]
+                lists = [pa.ListArray.from_arrays(pa.array(count), pa.array(x)) for x in (keys, outer)]
+                columns = [batch.column(0).take(pa.array(row)), pa.array(unit), pa.array(word), pa.array(words), pa.array(np.full(len(use), side == "left")), pa.array(own)]
+                yield pa.RecordBatch.from_arrays(columns + lists, names=schema.names)
+
+    return texts.select("doc", "text", "w").mapInArrow(task, schema)
+
+
+def _extended(repeated: DataFrame, keyed: DataFrame) -> DataFrame:
+    """``repeated`` with its runs' outermost rows grown to the ends of what another occurrence shares, and ``__span``, the words of the run then."""
+    run = W.partitionBy("doc", "__run")
+    end = F.col("word") + F.col("words")
+    repeated = written(repeated.withColumns({"own_left": F.col("word") == F.min("word").over(run), "own_right": end == F.max(end).over(run)}))
+    edge = repeated.where("own_left or own_right").groupBy("unit").agg(F.max("own_left").alias("left"), F.max("own_right").alias("right"))
+    places = repeated.join(edge, "unit").groupBy("doc").agg(F.collect_set(F.struct("unit", "word", "words", "left", "right", "own_left", "own_right")).alias("w"))
+    contexts = written(_contexts(keyed.select("doc", "text").join(places, "doc")))
+    shared = contexts.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
+    own = contexts.where("own").select("doc", "unit", "word", "words", "left", F.posexplode(F.arrays_zip("keys", "bytes")).alias("k", "x"))
+    own = own.select("doc", "unit", "word", "words", "left", (F.col("k") + 1).alias("k"), F.col("x.keys").alias("key"), F.col("x.bytes").alias("byte"))
+    side = lambda left: F.max(F.when(F.col("left") == left, F.struct("k", "byte")))
+    grown = own.join(shared, "key").groupBy("doc", "unit", "word", "words").agg(side(True).alias("__l"), side(False).alias("__r"))
+    out = repeated.join(grown, ["doc", "unit", "word", "words"], "left")
+    out = out.withColumns({"start": F.coalesce("__l.byte", "start"), "end": F.coalesce("__r.byte", "end"), "__k": F.coalesce("__l.k", F.lit(0)), "__m": F.coalesce("__r.k", F.lit(0))})
+    out = out.withColumns({"word": F.col("word") - F.col("__k"), "words": F.col("words") + F.col("__k") + F.col("__m")}).drop("__l", "__r", "__k", "__m", "own_left", "own_right")
+    return out.withColumn("__span", F.max(end).over(run) - F.min("word").over(run))
+
+
 def paragraph_classes(docs: DataFrame, similarity: float = SIMILARITY, least_run: int = LEAST_RUN) -> DataFrame:
-    """A row for each paragraph that has a near or equal one: doc_id, doc, start, end, words, unit, class, class_size, removed.
+    """A row for each paragraph or gram that has a near or equal one: doc_id, doc, start, end, words, unit, class, class_size, removed.
 
-    start and end are bytes of the UTF-8 text. ``removed`` is false for the first of each class (by id, null last, then text and place). Null,
+    start and end are bytes of the UTF-8 text, after extension at the ends of a run. ``removed`` is false for the first of each class (by id, null last, then text and place). Null,
     empty and short texts have no paragraph; rows that repeat an id and a text have the same places twice. Other columns are ignored.
     """
     keyed = _keyed(docs)
@@ -174,9 +236,7 @@ def paragraph_classes(docs: DataFrame, similarity: float = SIMILARITY, least_run
     order = W.partitionBy("doc").orderBy("word")
     fresh = F.col("word") > F.max(F.col("word") + F.col("words")).over(order.rowsBetween(W.unboundedPreceding, -1)) + MIN_WORDS
     repeated = repeated.withColumn("__run", F.sum(F.coalesce(fresh, F.lit(False)).cast("int")).over(order))
-    run = W.partitionBy("doc", "__run")
-    repeated = repeated.withColumn("__span", F.max(F.col("word") + F.col("words")).over(run) - F.min("word").over(run))
-    return repeated.where(F.col("__span") >= least_run).select("doc_id", "doc", "start", "end", "words", "unit", "class", "class_size", "removed")
+    return _extended(repeated, keyed).where(F.col("__span") >= least_run).select("doc_id", "doc", "start", "end", "words", "unit", "class", "class_size", "removed")
 
 
 def op1_passages(spark, sf_dir):
