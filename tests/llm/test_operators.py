@@ -196,6 +196,32 @@ def test_the_network_learns_findings():
     assert (p[:100] >= net.threshold).mean() > 0.9 and (p[100:] < net.threshold).mean() > 0.95
 
 
+def test_a_key_behind_the_first_characters_is_scored():
+    rng = np.random.default_rng(0)
+    hexes = ["".join(rng.choice(list("0123456789abcdef"), 64)) for _ in range(300)]
+    plain = [f"{WORDS[i % 400]}-{WORDS[(i * 7) % 400]}-{WORDS[(i * 3) % 400]}-2024" for i in range(300)]
+    net = secrets.train(['token = "'] * 200 + ["see "] * 200, hexes[:200] + plain[:200], [""] * 400, np.repeat([1.0, 0.0], 200).astype(np.float32))
+    long = [p + "-" + plain[k + 1] + "-" + plain[k + 2] + "/" + h for k, (p, h) in enumerate(zip(plain[200:290], hexes[200:], strict=False))]
+    assert min(len(x) - 64 for x in long) > secrets.BODY
+    p = secrets.score_candidates(net, [""] * 90, long, [""] * 90)
+    assert (p >= net.threshold).mean() > 0.9 and (net.scores(secrets.encode([""] * 90, long, [""] * 90)) < net.threshold).mean() > 0.9
+    owner, _, body, _ = secrets.windows(["see "] * 2, [long[0], "short"], [""] * 2)
+    assert (owner == 1).sum() == 1 and body[-2] == long[0][-secrets.BODY :] and all(len(x) == secrets.BODY for x in body[:-1])
+
+
+def test_the_threshold_keeps_the_recall():
+    rng = np.random.default_rng(1)
+    draw = lambda: "".join(rng.choice(list("0123456789abcdef"), 20))
+    body = [draw() for _ in range(600)]  # both labels look alike, so that scores stay near one half
+    net = secrets.train([""] * 600, body, [""] * 600, np.repeat([1.0, 0.0], 300).astype(np.float32))
+    order = np.random.default_rng(3)
+    for shape in [(secrets.TAPS * (secrets.CLASSES + 1), secrets.FILTERS), (2 * secrets.FILTERS, secrets.HIDDEN), (secrets.HIDDEN, 1)]:
+        order.normal(0, 1, shape)
+    held = order.permutation(600)[:120]
+    score = secrets.score_candidates(net, [""] * 120, [body[i] for i in held], [""] * 120)
+    assert (score[held < 300] >= net.threshold).mean() >= secrets.RECALL and 0 < net.precision <= 1
+
+
 def fingerprint_brute(t, k=fingerprints.K, w=fingerprints.WINDOW):
     import xxhash
 

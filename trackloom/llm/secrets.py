@@ -4,8 +4,9 @@ The fixed patterns find assignments to secret-like names, access keys and long h
 token of 16 characters or more with a digit are candidates; each is read with its surrounding characters by a small
 convolutional network in numpy. The network learns from labelled findings: the fixed matches are positive, other candidates
 negative, with part of the positives' contexts blanked so that the token itself has to be judged. Its threshold is
-calibrated on held-back findings: the highest that keeps ``RECALL`` of the positives, but ``FLOOR`` at
-least. Candidates above it are added; fixed matches always stay.
+calibrated on held-back findings: the highest that keeps ``RECALL`` of the positives; the precision that it has there is
+kept beside it. A candidate of more than ``BODY`` characters is read in windows of ``BODY`` characters, ``STEP`` apart and one at its end, and
+has the highest score of them. Candidates above the threshold are added; fixed matches always stay.
 
 ``MAX_LABELLED`` bounds the findings that are learned from (in the order of a hash); every candidate of all documents is scored.
 """
@@ -24,8 +25,10 @@ from .common import checkpointed, text_or_empty
 from .spans import joined, labelled, with_matches
 
 KINDS = ["assign", "access", "hex"]
-MAX_LABELLED, RECALL, FLOOR = 20_000, 0.98, 0.9
+MAX_LABELLED, RECALL = 20_000, 0.98
 LEFT, BODY, RIGHT = 24, 48, 8
+#: So that any BODY - STEP + 1 characters in a row lie in a window.
+STEP = 8
 WIDTH = LEFT + BODY + RIGHT
 FILTERS, TAPS, HIDDEN, EPOCHS = 24, 5, 16, 12
 
@@ -55,7 +58,7 @@ CLASSES = 15  # those, other ASCII (12), other letters (13), padding (14); anoth
 
 
 def encode(left: list[str], body: list[str], right: list[str], blank: np.ndarray | None = None) -> np.ndarray:
-    """(n, WIDTH, CLASSES + 1) one-hot classes of the characters; of a long candidate the first characters are read."""
+    """(n, WIDTH, CLASSES + 1) one-hot classes of the characters; of a body the first BODY characters are read (``windows`` cuts longer ones)."""
     codes = np.full((len(body), WIDTH), 14, np.int64)
     for i, (a, b, c) in enumerate(zip(left, body, right, strict=True)):
         a = "" if blank is not None and blank[i] else a[-LEFT:]
@@ -68,6 +71,18 @@ def encode(left: list[str], body: list[str], right: list[str], blank: np.ndarray
     return out
 
 
+def windows(left: list[str], body: list[str], right: list[str]) -> tuple[np.ndarray, list[str], list[str], list[str]]:
+    """The candidates' windows: whose each is, and the window with the candidate's own context, as the network knows it from training."""
+    owner, out = [], ([], [], [])
+    for i, (a, b, c) in enumerate(zip(left, body, right, strict=True)):
+        last = max(0, len(b) - BODY)
+        for s in [*range(0, last, STEP), last]:
+            owner.append(i)
+            for into, part in zip(out, (a, b[s : s + BODY], c), strict=True):
+                into.append(part)
+    return np.array(owner, np.int64), *out
+
+
 @dataclass
 class Network:
     conv: np.ndarray
@@ -77,6 +92,7 @@ class Network:
     w2: np.ndarray
     b2: np.ndarray
     threshold: float = 2.0
+    precision: float = float("nan")
 
     def parameters(self) -> list[np.ndarray]:
         return [self.conv, self.conv_bias, self.w1, self.b1, self.w2, self.b2]
@@ -93,6 +109,15 @@ class Network:
         return np.concatenate([self.forward(x[i : i + 1024])[-1] for i in range(0, len(x), 1024)]) if len(x) else np.zeros(0)
 
 
+def score_candidates(net: Network, left: list[str], body: list[str], right: list[str], most: int = 4096) -> np.ndarray:
+    """The highest score of each candidate's windows; ``most`` of them are encoded at once."""
+    owner, *texts = windows(left, body, right)
+    out = np.zeros(len(body))
+    for i in range(0, len(owner), most):
+        np.maximum.at(out, owner[i : i + most], net.scores(encode(*(x[i : i + most] for x in texts))))
+    return out
+
+
 def train(left: list[str], body: list[str], right: list[str], y: np.ndarray, seed: int = 3) -> Network:
     """Adam on the log loss; without both kinds of findings, the threshold admits nothing."""
     rng = np.random.default_rng(seed)
@@ -122,9 +147,13 @@ def train(left: list[str], body: list[str], right: list[str], y: np.ndarray, see
                 m += 0.1 * (g - m)
                 v += 0.001 * (g * g - v)
                 w -= 0.004 * (1 - epoch / epochs) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    positive = np.sort(net.scores(x[held][y[held] > 0]))
+    # held-back findings are scored as candidates are: over all windows, the positives' contexts blanked as in x
+    blank = (x[:, :LEFT, :14].sum(axis=(1, 2)) == 0)[held]
+    score = score_candidates(net, ["" if b else left[i] for i, b in zip(held, blank, strict=True)], [body[i] for i in held], [right[i] for i in held])
+    positive = np.sort(score[y[held] > 0])
     if len(positive):
-        net.threshold = max(FLOOR, float(positive[int((1 - RECALL) * len(positive))]))
+        net.threshold = float(positive[int((1 - RECALL) * len(positive))])
+        net.precision = float((y[held][score >= net.threshold] > 0).mean())
     return net
 
 
@@ -155,7 +184,7 @@ def find_secrets(docs: DataFrame, max_labelled: int = MAX_LABELLED) -> DataFrame
 
     def task(batches):
         for batch in batches:
-            p = net.scores(encode(*(batch.column(i).to_pylist() for i in (5, 4, 6))))
+            p = score_candidates(net, *(batch.column(i).to_pylist() for i in (5, 4, 6)))
             yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(4)] + [pa.array(p.astype(np.float64))], names=schema.names)
 
     scored = candidates.select("__row", "base", "s", "e", "h", "l", "r").mapInArrow(task, schema)
