@@ -29,3 +29,26 @@ def test_entry(spark):
 
 def test_every_sql_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_registrations_see_all_rows(spark, small, monkeypatch):
+    """Stand-ins note what the operators are given; the operators themselves are tested elsewhere."""
+    from trackloom import fixtures as X
+    from trackloom.jobs import queries
+    from trackloom.operators import reconstruction
+
+    seen = {}
+
+    def refine_offsets(kp, cameras, times, start):
+        seen["times"] = times.count()
+        return start
+
+    def refine_rig(synced, cameras):
+        seen["rows"] = synced.count()
+        return reconstruction.camera_list(cameras)
+
+    monkeypatch.setattr(queries.sync, "refine_offsets", refine_offsets)
+    monkeypatch.setattr(queries.rig, "refine_rig", refine_rig)
+    queries.refine_offsets(spark, small)
+    queries.refine_rig(spark, small)
+    assert seen == {"times": queries.times_of(X.keypoints(spark, small)).count(), "rows": queries.clean_synced(spark, small).count()}

@@ -509,7 +509,7 @@ def coarse_offsets(spark, sf_dir):
 @query("select distinct event_id // 1000 as recording, cam, true as near from events cross join (values (1), (2)) as o(cam)")
 def refine_offsets(spark, sf_dir):
     kp = X.keypoints(spark, sf_dir)
-    times = tracks.stride_sample(times_of(kp).withColumnRenamed("tau", "t"), ["recording"], 100).withColumnRenamed("t", "tau")
+    times = times_of(kp)
     start = X.frames(spark, sf_dir).select("recording").distinct().crossJoin(spark.sql("select * from (values (1, 0.2D), (2, -0.25D)) as o(cam, offset_s)"))
     true = F.element_at(F.array(*map(F.lit, X.OFFSETS)), F.col("cam") + 1)
     return sync.refine_offsets(kp, X.camera_rows(), times, start).select("recording", "cam", (F.abs(F.col("offset_s") - true) < 0.015).alias("near"))
@@ -522,7 +522,7 @@ def refine_rig(spark, sf_dir):
 
     moved = [dict(c) for c in X.camera_rows()]
     moved[2]["t"] = [v + 0.02 for v in moved[2]["t"]]
-    found = rig.refine_rig(clean_synced(spark, sf_dir).where("pmod(xxhash64(recording, tau), 10) = 0"), moved)
+    found = rig.refine_rig(clean_synced(spark, sf_dir), moved)
     true = reconstruction.camera_list(X.camera_rows())
     return spark.createDataFrame([(c, bool(np.linalg.norm(found[c].center - true[c].center) < 0.01)) for c in range(3)], "cam int, at_place boolean")
 
