@@ -96,3 +96,20 @@ def test_ingest_takes_each_frame_once(spark, tmp_path):
     ingest_pose_chunks(spark, src, out, check, spark.read.parquet(src).schema)
     got = spark.read.parquet(out).orderBy("t").collect()
     assert [r.t for r in got] == [0.0, 0.1, 0.2] and got[0].u[0] == 22.0 and got[0].conf[0] == 0.5
+
+
+def test_select_views_needs_no_task_for_a_camera(spark, monkeypatch):
+    from pyspark.sql.group import GroupedData
+
+    monkeypatch.setattr(GroupedData, "applyInPandas", None)
+    rows = [(c, v, 10.0 * v, p, 80.0 + 160.0 * ((v + p) % 8), 64.0 + 128.0 * (v // 8 % 8), 100.0 + v) for c in (0, 1) for v in range(20 if c else 3) for p in range(4)]
+    d = spark.createDataFrame(rows, "cam int, view int, t double, point_id int, u double, v double, sharpness double")
+    got = calibration.select_views(d, (1280, 1024), 5).collect()
+    used, chosen = [0] * 64, []
+    cells = {v: sorted({(v // 8 % 8) * 8 + (v + p) % 8 for p in range(4)}) for v in range(20)}
+    for _ in range(5):
+        gain = {v: sum(1 / (1 + used[c]) for c in cells[v]) + 0.25 + 0.25 * (100 + v) / 119 for v in range(20) if v not in chosen}
+        chosen.append(max(gain, key=lambda v: (gain[v], -v)))
+        for c in cells[chosen[-1]]:
+            used[c] += 1
+    assert {(r.cam, r.view) for r in got} == {(0, v) for v in range(3)} | {(1, v) for v in chosen}

@@ -134,25 +134,31 @@ def bad_views(rms: DataFrame, outlier_rms_px: float = 2.0, keep: int = 8) -> Dat
 def select_views(views: DataFrame, size: tuple[int, int], max_views: int, grid: int = 8, apart_s: float = 0.5) -> DataFrame:
     """cam, view: greedy choice with falling returns for cells that are covered already, and none within ``apart_s`` of a chosen one.
 
-    The points are reduced to each view's cells first; one task takes the views of a camera.
+    The points are reduced to each view's cells first. A round of the choice is one aggregation over the free views of all cameras; only the
+    cells' counters and the chosen views of each camera, ``max_views`` at most, are held beside the plan.
     """
-    small = views.withColumn("cell", _cell(size, grid)).groupBy("cam", "view").agg(F.min("t").alias("t"), F.max("sharpness").alias("sharpness"), F.count("*").alias("n"), F.sort_array(F.collect_set("cell")).alias("cells"))
-
-    def choose(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["t", "view"]).reset_index(drop=True)
-        if len(part) <= max_views:
-            return part[["cam", "view"]]
-        member = np.zeros((len(part), grid * grid))
-        for i, cells in enumerate(part["cells"]):
-            member[i, np.asarray(cells, int)] = 1
-        bonus = 0.25 * part["n"].to_numpy(float) / part["n"].max() + 0.25 * part["sharpness"].to_numpy(float) / max(part["sharpness"].max(), 1e-9)
-        used, free, t, chosen = np.zeros(grid * grid), np.ones(len(part), bool), part["t"].to_numpy(float), []
-        while free.any() and len(chosen) < max_views:
-            best = int(np.where(free, member @ (1 / (1 + used)) + bonus, -np.inf).argmax())
-            chosen.append(best)
-            used += member[best]
-            free &= np.abs(t - t[best]) >= apart_s
-            free[best] = False
-        return part.loc[sorted(chosen), ["cam", "view"]]
-
-    return small.groupBy("cam").applyInPandas(choose, small.select("cam", "view").schema)
+    small = views.withColumn("cell", _cell(size, grid)).groupBy("cam", "view").agg(F.min("t").alias("t"), F.max("sharpness").alias("sharpness"), F.count("*").alias("n"), F.sort_array(F.collect_set("cell")).alias("cells")).persist()
+    spark = views.sparkSession
+    most = small.groupBy("cam").agg(F.count("*").alias("__count"), F.max("n").alias("__n"), F.greatest(F.max("sharpness"), F.lit(1e-9)).alias("__s")).collect()
+    few = [x["cam"] for x in most if x["__count"] <= max_views]
+    open_ = {x["cam"]: x for x in most if x["__count"] > max_views}
+    used, chosen = {c: [0] * (grid * grid) for c in open_}, {c: [] for c in open_}
+    view_type = small.schema["view"].dataType.simpleString()
+    cam_type = small.schema["cam"].dataType.simpleString()
+    going = set(open_)
+    for _ in range(max_views):
+        if not going:
+            break
+        rows = [(c, [1 / (1 + u) for u in used[c]], [t for _, t in chosen[c]], [v for v, _ in chosen[c]], float(open_[c]["__n"]), float(open_[c]["__s"])) for c in going]
+        state = spark.createDataFrame(rows, f"__cam {cam_type}, __w array<double>, __t array<double>, __v array<{view_type}>, __n double, __s double")
+        free = small.join(F.broadcast(state), F.col("cam").eqNullSafe(F.col("__cam"))).where(F.expr(f"forall(__t, x -> abs(t - x) >= {float(apart_s)!r}D) and not array_contains(__v, view)"))
+        gain = F.expr("aggregate(cells, 0D, (a, c) -> a + get(__w, c)) + 0.25D * n / __n + 0.25D * sharpness / __s")
+        found = free.groupBy("cam").agg(F.min(F.struct((-gain).alias("g"), "t", "view", "cells")).alias("best")).collect()
+        going = {x["cam"] for x in found}
+        for x in found:
+            chosen[x["cam"]].append((x["best"]["view"], x["best"]["t"]))
+            for cell in x["best"]["cells"]:
+                used[x["cam"]][cell] += 1
+    picked = spark.createDataFrame([(c, v) for c in chosen for v, _ in chosen[c]], f"cam {cam_type}, view {view_type}")
+    whole = spark.createDataFrame([(c,) for c in few], f"__cam {cam_type}")
+    return small.join(F.broadcast(whole), F.col("cam").eqNullSafe(F.col("__cam"))).select("cam", "view").unionByName(picked)
