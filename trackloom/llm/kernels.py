@@ -88,6 +88,31 @@ def _power(n: int) -> list[np.ndarray]:
     return _powers
 
 
+def inverse_powers(n: int) -> np.ndarray:
+    return _power(n)[1]
+
+
+def sliding_least(values: np.ndarray, w: int) -> np.ndarray:
+    """Least of each window of w values."""
+    out, have = values, 1
+    while have < w:
+        step = min(have, w - have)
+        out = np.minimum(out[:-step], out[step:])
+        have += step
+    return out
+
+
+def least_at(hashes: np.ndarray, w: int, part: int = 1 << 22) -> np.ndarray:
+    """Position of the least of each window of w hashes, by their high 36 bits; the rightmost of equal ones."""
+    out = np.empty(max(0, len(hashes) - w + 1), np.int64)
+    low = np.uint64((1 << 28) - 1)
+    for a in range(0, len(out), part):  # so that positions within a part fit in 28 bits, however long the text
+        own = hashes[a : a + part + w - 1]
+        packed = (own & ~low) | (low - np.arange(len(own), dtype=np.uint64))
+        out[a : a + part] = a + (low - (sliding_least(packed, w) & low)).astype(np.int64)
+    return out
+
+
 def prefix_sums(data: np.ndarray) -> np.ndarray:
     """Prefix sums from which ``span_hash`` gets the hash of any span."""
     out = np.zeros(len(data) + 1, np.uint64)

@@ -1,7 +1,8 @@
 """Exact substring dedup: every byte covered by a ``LENGTH``-byte string that starts anywhere else, too, is removed.
 
 Prefix doubling ranks all positions by ever longer prefixes. Sorting all of them at each doubling moves many times the corpus,
-so the positions are thinned without loss first, and names (hashes) stand for ranks:
+so the positions are thinned without loss first, and names (hashes) stand for ranks. Names are compared at growing
+lengths, and what is unique drops out each time:
 
 1. Of the ``LENGTH - GRAM + 1`` grams of GRAM bytes in a window of LENGTH bytes, the one with the least hash (the rightmost of several) is its
    anchor. Equal windows have equal anchors at the same place in them, so only anchors, one for about 80 bytes, are
@@ -11,7 +12,11 @@ so the positions are thinned without loss first, and names (hashes) stand for ra
    any to be, and if all the bytes that the block covers are, every one is.
 3. The blocks in between, at the ends of matches, are decided window by window.
 
-Names are 64-bit hashes and are only compared within the same gram, which makes 128 bits.
+Rows with equal names are gathered in each Arrow batch before they are shuffled, with a list of their places, so a passage that a third
+of the corpus shares is a row for each batch. A group is then a window over one exchange; it is never collected.
+
+Names are 64-bit hashes and are only compared within the same gram, which makes 128 bits. They are polynomials modulo 2 ** 64, which strings made for
+it can defeat from 1,024 bytes on; no name here spans more than ``2 * LENGTH``.
 """
 
 from __future__ import annotations
@@ -21,74 +26,111 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernels
-from .common import text_or_empty, written
-from .passages import sliding_least
+from .common import Scratch, id_key, text_or_empty, written
 
 LENGTH, GRAM, BLOCK = 200, 40, 8
+#: Longer texts are searched in pieces of so many windows, to bound the memory of a task.
+PIECE = 1 << 22
 
 
-def _schema(*names: str) -> T.StructType:
-    return T.StructType([T.StructField(n, T.LongType()) for n in names])
+def _fields(*names: str) -> list[T.StructField]:
+    return [T.StructField(n, T.LongType(), False) for n in names]  # not nullable: joins then add no filters that would part equal exchanges
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM):
-    """(text, gram's hash, whole stretch's hash, first window, windows, anchor's offset from the first window)."""
+def _anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int):
     z = np.zeros(0, np.int64)
     if len(data) < length:
         return z, z, z, z, z, z
     sums = kernels.prefix_sums(data)
-    inverse = kernels._power(len(sums))[1]
-    names = kernels.mix64((sums[gram:] - sums[:-gram]) * inverse[: len(sums) - gram])
-    low = (1 << 28) - 1
-    packed = (names & np.uint64(~low & (1 << 64) - 1)) | (np.uint64(low) - (np.arange(len(names), dtype=np.uint64) & np.uint64(low)))
-    least = sliding_least(packed, length - gram + 1)
+    names = kernels.mix64((sums[gram:] - sums[:-gram]) * kernels.inverse_powers(len(sums))[: len(sums) - gram])
+    least = kernels.least_at(names, length - gram + 1)
     step = np.zeros(len(data) + 1, np.int32)
-    sizes = np.diff(offsets)
-    big = sizes >= length
+    big = np.diff(offsets) >= length
     np.add.at(step, offsets[:-1][big], 1)
     np.add.at(step, offsets[1:][big] - length + 1, -1)
     window = np.flatnonzero(np.cumsum(step[: len(least)]) > 0)
     if not len(window):
         return z, z, z, z, z, z
-    at = (np.uint64(low) - (least[window] & np.uint64(low))).astype(np.int64)
+    at = least[window]
     first = np.flatnonzero(np.append(True, (at[1:] != at[:-1]) | (window[1:] != window[:-1] + 1)))
     lo, at, count = window[first], at[first], np.diff(np.append(first, len(window)))
     return kernels.text_index(lo, offsets), names[at].view(np.int64), kernels.span_hash(sums, lo, lo + count - 1 + length).view(np.int64), lo, count, at - lo
 
 
+def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM, piece: int = PIECE):
+    """(text, gram's hash, whole stretch's hash, first window, windows, anchor's offset from the first window).
+
+    A batch of more than two pieces is one long text; the stretch of an anchor is then cut where a piece ends.
+    """
+    if len(data) <= 2 * piece or len(offsets) > 2:
+        return _anchors(data, offsets, length, gram)
+    parts = []
+    for a in range(0, len(data) - length + 1, piece):
+        part = data[a : a + piece + length - 1]
+        text, g, whole, lo, count, off = _anchors(part, np.array([0, len(part)]), length, gram)
+        parts.append((text, g, whole, lo + a, count, off))
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
+def _gathered(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, where each group of equal keys begins in it)."""
+    order = np.lexsort(keys[::-1])
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for k in keys:
+        new[1:] |= k[order][1:] != k[order][:-1]
+    return order, np.flatnonzero(new)
+
+
+def _lists(begin: np.ndarray, values: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.append(begin, len(values)).astype(np.int32)), values)
+
+
 def _anchor_rows(keyed: DataFrame) -> DataFrame:
-    schema = _schema("gram", "whole", "doc", "lo", "count", "off")
+    """A row for each gram and whole stretch of a batch: gram, whole, n, count, off, places (id, tx, lo)."""
+    place = T.StructType([keyed.schema["id"], *_fields("tx", "lo")])
+    schema = T.StructType([*_fields("gram", "whole", "n", "count", "off"), T.StructField("places", T.ArrayType(place, False), False)])
 
     def task(batches):
         for batch, data, offsets in kernels.slices(batches, "text"):
             text, gram, whole, lo, count, off = anchors(data, offsets)
-            yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(whole), batch.column(0).take(pa.array(text)), pa.array(lo - offsets[text]), pa.array(count), pa.array(off)], names=schema.names)
+            order, begin = _gathered(gram, whole)
+            owner, head = text[order], order[begin]
+            places = pa.StructArray.from_arrays([batch.column(0).take(pa.array(owner)), batch.column(1).take(pa.array(owner)), pa.array(lo[order] - offsets[owner])], names=["id", "tx", "lo"])
+            n = np.diff(np.append(begin, len(order)))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (gram[head], whole[head], n, count[head], off[head])] + [_lists(begin, places)], names=schema.names)
 
-    return keyed.select("doc", "text").mapInArrow(task, schema)
+    return keyed.select("id", "tx", "text").mapInArrow(task, schema)
 
 
 def _stretches(texts: DataFrame) -> DataFrame:
-    """(wanted anchors of a text, text) -> the anchors with the bytes under their windows."""
-    schema = T.StructType([*_schema("gram", "whole", "n", "doc", "lo", "count", "off").fields, T.StructField("bytes", T.BinaryType())])
+    """(id, tx, wanted anchors, text) -> the anchors with the bytes under their windows."""
+    schema = T.StructType([*_fields("gram", "whole", "n"), texts.schema["id"], *_fields("tx", "lo", "count", "off"), T.StructField("bytes", T.BinaryType(), False)])
 
     def task(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                raw = batch.column(1)[i].as_py().encode()
-                wanted = batch.column(0)[i].as_py()
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([w[c] for w in wanted], pa.int64()) for c in schema.names[:-1]] + [pa.array([raw[w["lo"] : w["lo"] + w["count"] - 1 + LENGTH] for w in wanted], pa.binary())], names=schema.names
-                )
+                raw = batch.column(3)[i].as_py().encode()
+                wanted = batch.column(2)[i].as_py()
+                same = [batch.column(c).take(pa.array([i] * len(wanted), pa.int64())) for c in (0, 1)]
+                own = {c: pa.array([w[c] for w in wanted], pa.int64()) for c in ("gram", "whole", "n", "lo", "count", "off")}
+                parts = pa.array([raw[w["lo"] : w["lo"] + w["count"] - 1 + LENGTH] for w in wanted], pa.binary())
+                yield pa.RecordBatch.from_arrays([own["gram"], own["whole"], own["n"], *same, own["lo"], own["count"], own["off"], parts], names=schema.names)
+
+    return texts.select("id", "tx", "w", "text").mapInArrow(task, schema)
+
 
-    return texts.mapInArrow(task, schema)
+def _column(batch: pa.RecordBatch, name: str) -> pa.Array:
+    return batch.column(batch.schema.get_field_index(name))
 
 
-def _columns(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
-    return {n: batch.column(n).to_numpy(zero_copy_only=False) for n in batch.schema.names if n != "bytes"}
+def _numbers(batch: pa.RecordBatch, *names: str) -> list[np.ndarray]:
+    return [_column(batch, n).to_numpy(zero_copy_only=False) for n in names]
 
 
 def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -97,88 +139,102 @@ def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _blocks(stretches: DataFrame) -> DataFrame:
-    """A row for each block: gram, whole, n, block, core (name of the bytes in all its windows), hull (of all its bytes; null where the stretch ends within)."""
-    schema = _schema("gram", "whole", "n", "block", "core", "hull")
+    """A row for each core and hull of a batch: gram, core (name of the bytes in all windows of a block), hull (of all its bytes, if it is
+    full: the stretch goes on at both its ends), n, refs (whole, block, n)."""
+    ref = T.StructType(_fields("whole", "block", "n"))
+    schema = T.StructType([*_fields("gram", "core", "hull"), T.StructField("full", T.BooleanType(), False), *_fields("n"), T.StructField("refs", T.ArrayType(ref, False), False)])
 
     def task(batches):
         for batch in batches:
-            c, (data, at) = _columns(batch), _bytes(batch.column(batch.schema.get_field_index("bytes")))
-            if not len(c["n"]):
+            gram, whole, times, count, off = _numbers(batch, "gram", "whole", "n", "count", "off")
+            data, at = _bytes(_column(batch, "bytes"))
+            if not len(gram):
                 continue
             sums = kernels.prefix_sums(data)
             # a window that starts e bytes before the anchor is in block e // BLOCK
-            high, low = c["off"] // BLOCK, (c["off"] - c["count"] + 1) // BLOCK
+            high, low = off // BLOCK, (off - count + 1) // BLOCK
             n = high - low + 1
             row = np.repeat(np.arange(len(n)), n)
             block = low[row] + np.arange(n.sum()) - np.repeat(np.append(0, np.cumsum(n)[:-1]), n)
-            anchor = at[row] + c["off"][row]
-            core = kernels.span_hash(sums, anchor - BLOCK * block, anchor - BLOCK * block - BLOCK + 1 + LENGTH)
-            full = (BLOCK * block + BLOCK - 1 <= c["off"][row]) & (BLOCK * block >= (c["off"] - c["count"] + 1)[row])
+            anchor = at[row] + off[row]
+            core = kernels.span_hash(sums, anchor - BLOCK * block, anchor - BLOCK * block - BLOCK + 1 + LENGTH).view(np.int64)
+            full = (BLOCK * block + BLOCK - 1 <= off[row]) & (BLOCK * block >= (off - count + 1)[row])
             a = np.where(full, anchor - BLOCK * block - BLOCK + 1, 0)
-            hull = kernels.span_hash(sums, a, np.where(full, a + BLOCK - 1 + LENGTH, 0)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(c[k][row]) for k in ("gram", "whole", "n")] + [pa.array(block), pa.array(core.view(np.int64)), pa.array(hull, mask=~full)], names=schema.names)
+            hull = np.where(full, kernels.span_hash(sums, a, np.where(full, a + BLOCK - 1 + LENGTH, 0)).view(np.int64), 0)
+            order, begin = _gathered(gram[row], core, hull, full)
+            head, own = order[begin], row[order]
+            refs = pa.StructArray.from_arrays([pa.array(whole[own]), pa.array(block[order]), pa.array(times[own])], names=["whole", "block", "n"])
+            columns = [pa.array(gram[row][head]), pa.array(core[head]), pa.array(hull[head]), pa.array(full[head]), pa.array(np.add.reduceat(times[own], begin)), _lists(begin, refs)]
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return stretches.mapInArrow(task, schema)
+    return stretches.select("gram", "whole", "n", "count", "off", "bytes").mapInArrow(task, schema)
 
 
 def _windows(chosen: DataFrame) -> DataFrame:
-    """Stretches with the blocks to look into -> a row for each window: gram, n, doc, lo (of the window), name."""
-    schema = _schema("gram", "n", "doc", "lo", "name")
+    """Stretches with the blocks to look into -> a row for each window's name in a batch: gram, name, n, places (id, tx, lo) of the stretches that are there once."""
+    place = T.StructType([chosen.schema["id"], *_fields("tx", "lo")])
+    schema = T.StructType([*_fields("gram", "name", "n"), T.StructField("places", T.ArrayType(place, False), False)])
 
     def task(batches):
         for batch in batches:
-            blocks = batch.column(batch.schema.get_field_index("blocks"))
-            c = {k: batch.column(batch.schema.get_field_index(k)).to_numpy(zero_copy_only=False) for k in ("gram", "n", "doc", "lo", "count", "off")}
-            data, at = _bytes(batch.column(batch.schema.get_field_index("bytes")))
+            gram, times, lo, count, off = _numbers(batch, "gram", "n", "lo", "count", "off")
+            blocks, (data, at) = _column(batch, "blocks"), _bytes(_column(batch, "bytes"))
             n = np.diff(blocks.offsets.to_numpy())
             row = np.repeat(np.arange(len(n)), n * BLOCK)
             if not len(row):
                 continue
             e = (blocks.flatten().to_numpy(zero_copy_only=False)[:, None] * BLOCK + np.arange(BLOCK)[None, :]).ravel()
-            start = c["off"][row] - e
-            inside = (start >= 0) & (start < c["count"][row])
+            start = off[row] - e
+            inside = (start >= 0) & (start < count[row])
             row, start = row[inside], start[inside]
-            name = kernels.span_hash(kernels.prefix_sums(data), at[row] + start, at[row] + start + LENGTH)
-            yield pa.RecordBatch.from_arrays([pa.array(c["gram"][row]), pa.array(c["n"][row]), pa.array(c["doc"][row]), pa.array(c["lo"][row] + start), pa.array(name.view(np.int64))], names=schema.names)
+            name = kernels.span_hash(kernels.prefix_sums(data), at[row] + start, at[row] + start + LENGTH).view(np.int64)
+            order, begin = _gathered(gram[row], name)
+            own, head = row[order], order[begin]
+            single = times[own] == 1
+            use = own[single]
+            places = pa.StructArray.from_arrays([_column(batch, "id").take(pa.array(use)), _column(batch, "tx").take(pa.array(use)), pa.array((lo[row] + start)[order][single])], names=["id", "tx", "lo"])
+            first = np.append(0, np.cumsum(single))[begin]
+            yield pa.RecordBatch.from_arrays([pa.array(gram[row][head]), pa.array(name[head]), pa.array(np.add.reduceat(times[own], begin)), _lists(first, places)], names=schema.names)
 
     return chosen.mapInArrow(task, schema)
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
+    """A row is known by its id and a hash of id and text."""
     text = text_or_empty()
-    return docs.select("doc_id", F.xxhash64("doc_id", text).alias("doc"), text.alias("text"))
+    return docs.select("doc_id", id_key(docs).alias("id"), F.xxhash64("doc_id", text).alias("tx"), text.alias("text"))
 
 
 def repeated_windows(keyed: DataFrame) -> DataFrame:
-    """doc, runs: the starts (bytes from 0) and numbers of consecutive windows that start elsewhere, too."""
-    # Each aggregation below uses all columns in its filter, so that Spark deals the rows out once and reads that exchange again.
-    dealt = _anchor_rows(keyed).repartition("gram")
-    rest = [F.max(c).alias(f"m_{c}") for c in ("doc", "lo", "count", "off")]
-    used = "coalesce(m_doc, m_lo, m_count, m_off) is not null"
-    shared = dealt.groupBy("gram").agg(F.count("*").alias("total"), F.max("whole").alias("m_whole"), *rest).where(f"total > 1 and m_whole is not null and {used}").select("gram")
-    equal = dealt.groupBy("gram", "whole").agg(F.count("*").alias("n"), *rest).where(used).select("gram", "whole", "n")
-    known = written(dealt.join(shared, "gram").join(equal, ["gram", "whole"]))
-
-    mixed = known.groupBy("gram").agg(F.min("n").alias("least")).where("least = 1").select("gram")
-    reps = known.join(mixed, "gram").groupBy("gram", "whole").agg(F.min(F.struct("doc", "lo", "count", "off", "n")).alias("p")).select("gram", "whole", "p.*")
-    lists = reps.groupBy("doc").agg(F.collect_list(F.struct("gram", "whole", "n", "doc", "lo", "count", "off")).alias("w"))
-    stretches = written(_stretches(keyed.select("doc", "text").join(lists, "doc").select("w", "text")).dropDuplicates(["gram", "whole"]))
-
-    blocks = _blocks(stretches).repartition("core")
-    by_core = blocks.groupBy("gram", "core").agg(F.sum("n").alias("core_n"), F.max("whole").alias("w"), F.max("block").alias("b"), F.max("hull").alias("h")).where("core_n > 1 and coalesce(w, b, h) is not null").select("gram", "core")
-    by_hull = blocks.groupBy("gram", "core", "hull").agg(F.sum("n").alias("hull_n"), F.max("whole").alias("w"), F.max("block").alias("b")).where("coalesce(w, b) is not null").select("gram", "core", "hull", "hull_n")
-    judged = blocks.join(by_core, ["gram", "core"]).join(by_hull, ["gram", "core", "hull"], "left").withColumn("sure", F.coalesce(F.col("hull_n") > 1, F.lit(False)))
-    judged = written(judged.select("gram", "whole", "n", "block", "core", "sure"))
-    open_cores = judged.where("n = 1 and not sure").select("gram", "core").distinct()
-    look = judged.join(open_cores, ["gram", "core"], "left_semi").groupBy("gram", "whole").agg(F.collect_list("block").alias("blocks"))
-    windows = _windows(stretches.join(look, ["gram", "whole"]).select("gram", "n", "doc", "lo", "count", "off", "bytes", "blocks")).repartition("name")
-    twice = windows.groupBy("gram", "name").agg(F.sum("n").alias("times"), F.max("doc").alias("d"), F.max("lo").alias("l")).where("times > 1 and coalesce(d, l) is not null").select("gram", "name", "times")
-    single = windows.join(twice, ["gram", "name"]).where("n * times = times").select("doc", "lo", F.lit(1).cast("long").alias("count"))
-
-    place = stretches.where("n = 1").select("gram", "whole", "doc", "lo", "off")
-    sure = judged.where("n = 1 and sure").join(place, ["gram", "whole"]).select("doc", (F.col("lo") + F.col("off") - F.col("block") * BLOCK - (BLOCK - 1)).alias("lo"), F.lit(BLOCK).cast("long").alias("count"))
-    whole = known.where("n > 1").select("doc", "lo", "count")
-    return written(whole.unionByName(sure).unionByName(single).groupBy("doc").agg(F.sort_array(F.collect_set(F.struct("lo", "count"))).alias("runs")))
+    """id, tx, runs: the starts (bytes from 0) and numbers of consecutive windows that start elsewhere, too."""
+    scratch = Scratch(keyed.sparkSession)
+    one = W.partitionBy("gram", "whole").orderBy("place")
+    known = _anchor_rows(keyed).withColumn("total", F.sum("n").over(W.partitionBy("gram"))).where("total > 1").withColumn("place", F.col("places")[0])
+    known = known.withColumns({"nr": F.row_number().over(one), "n": F.sum("n").over(one.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))}).withColumn("least", F.min("n").over(W.partitionBy("gram")))
+    known = scratch.keep(known.select("gram", "whole", "n", "least", "nr", "count", "off", "places"))
+
+    reps = known.where("least = 1 and nr = 1").select("gram", "whole", "n", F.col("places")[0].alias("p"), "count", "off")
+    lists = reps.groupBy("p.id", "p.tx").agg(F.collect_list(F.struct("gram", "whole", "n", "p.lo", "count", "off")).alias("w"))
+    # a row for each text, also where rows repeat an id and a text; the groups are as the join leaves them
+    texts = keyed.select("id", "tx", "text").join(lists, ["id", "tx"]).groupBy("id", "tx").agg(F.first("w").alias("w"), F.first("text").alias("text"))
+    stretches = scratch.keep(_stretches(texts))
+
+    core = W.partitionBy("gram", "core")
+    judged = _blocks(stretches).withColumn("core_n", F.sum("n").over(core)).where("core_n > 1")
+    judged = judged.withColumn("sure", F.col("full") & (F.sum("n").over(W.partitionBy("gram", "core", "hull", "full")) > 1))
+    judged = judged.withColumn("open", F.max(~F.col("sure") & F.exists("refs", lambda r: r["n"] == 1)).over(core))
+    judged = scratch.keep(judged.select("gram", "sure", "open", F.explode("refs").alias("r")).select("gram", "r.*", "sure", "open"))
+    look = judged.where("open").groupBy("gram", "whole").agg(F.collect_list("block").alias("blocks"))
+    windows = _windows(stretches.join(look, ["gram", "whole"]).select("gram", "n", "id", "tx", "lo", "count", "off", "bytes", "blocks"))
+    twice = windows.withColumn("times", F.sum("n").over(W.partitionBy("gram", "name"))).where("times > 1")
+    single = twice.select(F.explode("places").alias("p")).select("p.*", F.lit(1).cast("long").alias("count"))
+
+    place = stretches.where("n = 1").select("gram", "whole", "id", "tx", "lo", "off")
+    sure = judged.where("n = 1 and sure").join(place, ["gram", "whole"]).select("id", "tx", (F.col("lo") + F.col("off") - F.col("block") * BLOCK - (BLOCK - 1)).alias("lo"), F.lit(BLOCK).cast("long").alias("count"))
+    whole = known.where("n > 1").select("count", F.explode("places").alias("p")).select("p.*", "count")
+    runs = written(whole.unionByName(sure).unionByName(single).groupBy("id", "tx").agg(F.sort_array(F.collect_set(F.struct("lo", "count"))).alias("runs")))
+    scratch.drop()
+    return runs
 
 
 def _cut(rows: DataFrame, output: T.StructType, make) -> DataFrame:
@@ -212,11 +268,12 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes) of each document.
 
     Texts are UTF-8 bytes, null is empty; texts of fewer than LENGTH bytes lose nothing. Each row is a document, so rows that repeat
-    an id and a text remove each other. Strings are judged on the input. Other columns are ignored.
+    an id and a text remove each other. Ids may be null and of any type. Strings are judged on the input; other columns are
+    ignored, and an empty table gives an empty table.
     """
     keyed = _keyed(docs)
-    rows = keyed.join(repeated_windows(keyed), "doc", "left").select("doc_id", "text", "runs")
-    output = T.StructType([docs.schema["doc_id"], *_schema("n_bytes", "n_removed", "n_spans").fields, T.StructField("kept", T.BinaryType())])
+    rows = keyed.join(repeated_windows(keyed), ["id", "tx"], "left").select("doc_id", "text", "runs")
+    output = T.StructType([docs.schema["doc_id"], *_fields("n_bytes", "n_removed", "n_spans"), T.StructField("kept", T.BinaryType())])
 
     def make(batch, kept, removed, spans):
         sizes = [len(k) + r for k, r in zip(kept, removed, strict=True)]
@@ -226,6 +283,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
 
 def op8_substrings(spark, sf_dir):
+    """Every whole text of ``documents``: what it loses to strings of 200 bytes that start elsewhere, too."""
     from .common import documents
 
     return remove_repeats(documents(spark, sf_dir)).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
