@@ -165,6 +165,40 @@ def test_personal_data(spark):
     assert pii.find_personal_data(table(spark, [])).count() == 0
 
 
+def test_long_domains_and_failed_numbers(spark):
+    long = "x@" + "a." * 50_000 + "b"
+    phones = [f"ring +1 ({i:03d}) 555-{2000 + i} soon" for i in range(12)]
+    texts = ["see " + long + " and x@a..b", *phones, "ring +1 (777) 555-4081 190.137.223.204 soon"]
+    got = {r.doc_id: r for r in pii.find_personal_data(table(spark, texts)).collect()}
+    assert [(m.s, m.e) for m in got[0].email] == [(4, 4 + len(long))]
+    assert got[13].phone == [] and [(f.s, f.k, f.e) for f in got[13].found] == [(5, 3, 22)]
+
+
+def test_bootstrap_equals_brute_force(spark):
+    rng = np.random.default_rng(2)
+    rows = [(int(d), 0, 1, None if i > 25 else i % 3, f"i{i}", f"p{p}") for d, (i, p) in enumerate(zip(rng.integers(0, 60, 700).tolist(), rng.integers(0, 30, 700).tolist(), strict=True)) if (i - p) % 3 == 0 or d % 9 == 0]
+    patterns, seeds = pii.bootstrap(spark.createDataFrame(rows, "__row long, s int, e int, kind int, instance string, pattern string"), support=2, confidence=0.3)
+    members, known = {}, {}
+    for r in rows:
+        members.setdefault(r[5], set()).add(r[4])
+        if r[3] is not None:
+            known[r[4]] = r[3]
+    scores, confident = {(i, k): 1.0 for i, k in known.items()}, None
+    while True:
+        found = {(p, k): c for p, m in members.items() for k in range(3) if len(m) >= 2 and (c := sum(scores.get((i, k), 0) for i in m) / (len(m) + pii.DAMPING)) >= 0.3}
+        if confident is not None and set(found) == set(confident):
+            break
+        confident = found
+        scores = {(i, k): 1.0 for i, k in known.items()}
+        for i in {r[4] for r in rows} - set(known):
+            for k in range(3):
+                drawn = [c for (p, q), c in found.items() if q == k and i in members[p]]
+                if drawn:
+                    scores[i, k] = 1 - np.prod([1 - c for c in drawn])
+    assert {(r.pattern, r.kind): round(r.confidence, 9) for r in patterns.collect()} == {x: round(c, 9) for x, c in found.items()}
+    assert {(r.instance, r.kind) for r in seeds.collect()} == set(known.items()) and any(k for _, k in found)
+
+
 def test_contexts_discover_identifiers(spark):
     known = [f"write to my mailbox user{i}@mail.example.com today" for i in range(12)]
     hidden = ["write to my mailbox user99(at)mail today", "see chapter 12 today"]
@@ -187,6 +221,18 @@ def test_secrets(spark):
     assert len(got) == len(texts) and secrets.find_secrets(table(spark, [])).count() == 0
 
 
+def test_the_network_finds_what_the_patterns_do_not(spark):
+    rng = np.random.default_rng(4)
+    draw = lambda n: "".join(rng.choice(list("0123456789abcdef"), n))
+    texts = [prose(i, 30) + f' token = "{draw(40)}" ' + prose(i + 500, 20) + f" order-{i}-{WORDS[i]} call 555-{1000 + i}x" for i in range(120)]
+    hidden = [prose(900 + i, 20) + f" password={draw(10)} " + prose(950 + i, 20) for i in range(20)] + [prose(990 + i, 20) + f" passwd: {draw(9).upper()} " for i in range(5)]
+    got = {r.doc_id: r for r in secrets.find_secrets(clashing(table(spark, texts + hidden))).collect()}
+    assert sum(len(got[i].found) for i in range(120)) <= 2
+    assert sum(bool(got[120 + i].found) for i in range(20)) >= 18 and all(got[120 + i].assign == [] for i in range(25))
+    at = got[120].found[0]
+    assert hidden[0][at.s : at.e].startswith("password=") and at.k == 3
+
+
 def test_the_network_learns_findings():
     rng = np.random.default_rng(0)
     hexes = ["".join(rng.choice(list("0123456789abcdef"), 40)) for _ in range(300)]

@@ -1,12 +1,12 @@
 """Secret scan: patterns of fixed form, and a character convolutional network over every candidate.
 
-The fixed patterns find assignments to secret-like names, access keys and long hex strings. These and every other
-token of 16 characters or more with a digit are candidates; each is read with its surrounding characters by a small
-convolutional network in numpy. The network learns from labelled findings: the fixed matches are positive, other candidates
-negative, with part of the positives' contexts blanked so that the token itself has to be judged. Its threshold is
-calibrated on held-back findings: the highest that keeps ``RECALL`` of the positives; the precision that it has there is
-kept beside it. A candidate of more than ``BODY`` characters is read in windows of ``BODY`` characters, ``STEP`` apart and one at its end, and
-has the highest score of them. Candidates above the threshold are added; fixed matches always stay.
+The fixed patterns find assignments to secret-like names, access keys and long hex strings. Candidates are these, the assignments and keys
+that fail for their length, every token of 8 characters or more with a digit and every one of 16 or more; each is read with its surrounding characters
+by a small convolutional network in numpy. The network learns from labelled findings: the fixed matches are positive, the tokens
+negative; failed matches have no label and are only scored. Half of the positives' contexts are blanked and half of their bodies cut to
+8 characters or more, so that the token itself has to be judged at any length. Its threshold is calibrated on held-back findings: ``RECALL`` of the positives
+stay above it, and it lies in the middle of the gap below them, where there is one; the precision that it has there is kept beside it. A candidate of more than ``BODY`` characters is read in windows of
+``BODY`` characters, ``STEP`` apart and one at its end, and has the highest score of them. Candidates above the threshold are added; fixed matches always stay.
 
 ``MAX_LABELLED`` bounds the findings that are learned from (in the order of a hash); every candidate of all documents is scored.
 """
@@ -34,21 +34,27 @@ FILTERS, TAPS, HIDDEN, EPOCHS = 24, 5, 16, 12
 
 #: Fixed values of the contract.
 ASSIGN = r"(?:(?i:password|passwd|secret|token|api_?key))[\x22\x27]?\x20*[:=]\x20*[\x22\x27]?([A-Za-z0-9+/_.=-]+)"
-ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])[A-Za-z0-9+/_=-]{16,}"
+CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?:(?=[A-Za-z+/_=-]*+[0-9])[A-Za-z0-9+/_=-]{8,}+|[A-Za-z0-9+/_=-]{16,}+)"
 
 
 def base_matches(docs: DataFrame) -> DataFrame:
-    """Add an array column for each kind, and ``other``: candidates that touch none of the fixed matches."""
+    """Add an array column for each kind, ``weak``: matches that fail for their length, and ``other``: tokens that touch none of those.
+
+    The context of an assignment holds its name, its body the value alone; the places are those of the whole match.
+    """
     df = docs.withColumn("__t", text_or_empty())
-    df = with_matches(df, "assign", ASSIGN, "__t", left=LEFT, right=RIGHT).withColumn("assign", F.expr(f"filter(assign, m -> length(regexp_extract(m.h, r'{ASSIGN}', 1)) >= 12)"))
-    df = with_matches(df, "access", ACCESS, "__t", gate="A", left=LEFT, right=RIGHT)
+    value = f"regexp_extract(m.h, r'{ASSIGN}', 1)"
+    df = with_matches(df, "assign", ASSIGN, "__t", left=LEFT, right=RIGHT)
+    df = df.withColumn("assign", F.expr(f"transform(transform(assign, m -> named_struct('m', m, 'v', {value})), x -> named_struct('s', x.m.s, 'e', x.m.e, 'h', x.v, 'l', right(concat(x.m.l, left(x.m.h, length(x.m.h) - length(x.v))), {LEFT}), 'r', x.m.r))"))
+    df = with_matches(df, "access", "AKIA[A-Z0-9]+", "__t", gate="A", left=LEFT, right=RIGHT)
+    df = df.withColumn("weak", F.expr("concat(filter(assign, m -> length(m.h) < 12), filter(access, m -> length(m.h) < 18))"))
+    df = df.withColumn("assign", F.expr("filter(assign, m -> length(m.h) >= 12)")).withColumn("access", F.expr("filter(access, m -> length(m.h) >= 18)"))
     df = with_matches(df, "hex", HEX, "__t", left=LEFT, right=RIGHT)
     df = with_matches(df, "other", CANDIDATE, "__t", left=LEFT, right=RIGHT)
     for kind in KINDS:
-        df = df.withColumn("other", F.expr(f"filter(other, o -> not exists({kind}, m -> m.s < o.e and o.s < m.e))"))
-    return df.drop("__t")
+        df = df.withColumns({c: F.expr(f"filter({c}, o -> not exists({kind}, m -> m.s < o.e and o.s < m.e))") for c in ("weak", "other")})
+    return df.withColumn("other", F.expr("filter(other, o -> not exists(weak, m -> m.s < o.e and o.s < m.e))")).drop("__t")
 
 
 _CLASS = np.full(128, 12, np.int64)
@@ -119,14 +125,16 @@ def score_candidates(net: Network, left: list[str], body: list[str], right: list
 
 
 def train(left: list[str], body: list[str], right: list[str], y: np.ndarray, seed: int = 3) -> Network:
-    """Adam on the log loss; without both kinds of findings, the threshold admits nothing."""
+    """Adam on the log loss. Without findings of both labels there is nothing to tell apart: the threshold then admits nothing."""
     rng = np.random.default_rng(seed)
     shape = [(TAPS * (CLASSES + 1), FILTERS), (FILTERS,), (2 * FILTERS, HIDDEN), (HIDDEN,), (HIDDEN, 1), (1,)]
     net = Network(*[rng.normal(0, np.sqrt(2 / s[0]), s).astype(np.float32) if len(s) > 1 else np.zeros(s, np.float32) for s in shape])
-    if len(np.unique(y)) < 2 or min(np.bincount(y.astype(int))) < 8:
+    if len(np.unique(y)) < 2:
         return net
     order = rng.permutation(len(y))
     held, fit = order[: len(y) // 5], order[len(y) // 5 :]
+    cut = (y > 0) & (rng.random(len(y)) < 0.5)
+    body = [b[: int(rng.integers(8, max(9, len(b) + 1)))] if c else b for b, c in zip(body, cut, strict=True)]
     x = encode(left, body, right, blank=(y > 0) & (rng.random(len(y)) < 0.5))
     weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y == 0).sum())) * len(y)
     moments, step = [(np.zeros_like(p), np.zeros_like(p)) for p in net.parameters()], 0
@@ -151,20 +159,27 @@ def train(left: list[str], body: list[str], right: list[str], y: np.ndarray, see
     blank = (x[:, :LEFT, :14].sum(axis=(1, 2)) == 0)[held]
     score = score_candidates(net, ["" if b else left[i] for i, b in zip(held, blank, strict=True)], [body[i] for i in held], [right[i] for i in held])
     positive = np.sort(score[y[held] > 0])
+    if not len(positive):  # too few findings to hold any back: those that were learned from set the threshold
+        held, score = fit, score_candidates(net, [left[i] for i in fit], [body[i] for i in fit], [right[i] for i in fit])
+        positive = np.sort(score[y[held] > 0])
     if len(positive):
-        net.threshold = float(positive[int((1 - RECALL) * len(positive))])
+        keeps = positive[int((1 - RECALL) * len(positive))]
+        # nothing lies between that and the next negative below it: the middle, by log odds, has the same precision and no less recall
+        below = score[(y[held] == 0) & (score < keeps)].max(initial=1e-6)
+        middle = 1 / (1 + np.exp(-np.mean([np.log(p / (1 - p)) for p in np.clip([keeps, below], 1e-6, 1 - 1e-6)])))
+        net.threshold = float(min(keeps, middle))
         net.precision = float((y[held][score >= net.threshold] > 0).mean())
     return net
 
 
 def _candidates(found: DataFrame) -> DataFrame:
-    parts = [f"transform({k}, m -> named_struct('base', {i}, 'm', m))" for i, k in enumerate(KINDS)] + ["transform(other, m -> named_struct('base', cast(null as int), 'm', m))"]
+    parts = [f"transform({k}, m -> named_struct('base', {i}, 'm', m))" for i, k in enumerate(KINDS)] + ["transform(weak, m -> named_struct('base', -2, 'm', m))", "transform(other, m -> named_struct('base', -1, 'm', m))"]
     return found.select("__row", F.explode(F.expr(f"concat({', '.join(parts)})")).alias("x")).select("__row", "x.base", "x.m.*")
 
 
 def fit(candidates: DataFrame, max_labelled: int = MAX_LABELLED) -> Network:
     """At most ``max_labelled`` findings of each label, distinct tokens with their contexts, in the order of a hash."""
-    findings = candidates.select((F.col("base").isNotNull()).cast("int").alias("y"), "l", "h", "r").distinct()
+    findings = candidates.where("base <> -2").select((F.col("base") >= 0).cast("int").alias("y"), "l", "h", "r").distinct()
     rows = []
     for label in (0, 1):
         rows += findings.where(F.col("y") == label).orderBy(F.xxhash64("l", "h", "r"), "h", "l", "r").limit(max_labelled).collect()
@@ -174,8 +189,8 @@ def fit(candidates: DataFrame, max_labelled: int = MAX_LABELLED) -> Network:
 def find_secrets(docs: DataFrame, max_labelled: int = MAX_LABELLED) -> DataFrame:
     """doc_id with the arrays of fixed matches, ``found`` (s, k, e of candidates above the threshold, k = 3) and ``best`` (the highest score).
 
-    Null and empty texts have no candidate. Rows that repeat an id are separate documents, a null id is kept. Other columns are
-    ignored. An empty table gives an empty table.
+    Null and empty texts have no candidate. Rows that repeat an id are separate documents, a null id is kept; ids are of any type.
+    Other columns are ignored. An empty table gives an empty table. Texts and candidates are read whole, however long.
     """
     found = checkpointed(base_matches(docs.select("doc_id", "text")).drop("text").withColumn("__row", F.monotonically_increasing_id()))
     candidates = _candidates(found)
@@ -189,12 +204,13 @@ def find_secrets(docs: DataFrame, max_labelled: int = MAX_LABELLED) -> DataFrame
 
     scored = candidates.select("__row", "base", "s", "e", "h", "l", "r").mapInArrow(task, schema)
     taken = scored.groupBy("__row").agg(
-        F.expr(f"array_sort(collect_list(if(base is null and score >= {net.threshold!r}D, named_struct('s', s, 'k', {len(KINDS)}, 'e', e), null)))").alias("found"), F.max("score").alias("best")
+        F.expr(f"array_sort(collect_list(if(base < 0 and score >= {net.threshold!r}D, named_struct('s', s, 'k', {len(KINDS)}, 'e', e), null)))").alias("found"), F.max("score").alias("best")
     )
     return found.join(taken, "__row", "left").withColumn("found", F.expr("coalesce(found, cast(array() as array<struct<s:int,k:int,e:int>>))"))
 
 
 def op4_secrets(spark, sf_dir):
+    """Secrets in every whole text of ``documents``; ``n_found`` spans come from the network."""
     from .common import documents
 
     found = find_secrets(documents(spark, sf_dir)).withColumn("__base", F.expr(labelled(KINDS)))
