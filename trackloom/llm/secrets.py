@@ -134,6 +134,7 @@ def train(left: list[str], body: list[str], right: list[str], y: np.ndarray, see
     order = rng.permutation(len(y))
     held, fit = order[: len(y) // 5], order[len(y) // 5 :]
     cut = (y > 0) & (rng.random(len(y)) < 0.5)
+    cut[held] = False
     body = [b[: int(rng.integers(8, max(9, len(b) + 1)))] if c else b for b, c in zip(body, cut, strict=True)]
     x = encode(left, body, right, blank=(y > 0) & (rng.random(len(y)) < 0.5))
     weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y == 0).sum())) * len(y)
