@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import kernels
 
@@ -34,7 +35,7 @@ MAX_RATE = 0.1
 
 def tolerance(n: int) -> int:
     """Edits allowed for an item of n bytes: a tenth, and fewer than its segments."""
-    return min(int(n * MAX_RATE), n // SEGMENT - 1)
+    return max(0, min(int(n * MAX_RATE), n // SEGMENT - 1))
 
 
 @dataclass
@@ -51,6 +52,7 @@ class Items:
     need: np.ndarray
     signatures: np.ndarray
     seed: int
+    short: list
 
 
 def _walk(blocks: np.ndarray, lengths: np.ndarray, seed: int) -> np.ndarray:
@@ -61,7 +63,7 @@ def _walk(blocks: np.ndarray, lengths: np.ndarray, seed: int) -> np.ndarray:
     """
     rng = np.random.default_rng(seed)
     chosen = rng.random((WALKS, SAMPLES, PLACES))
-    move = rng.integers(0, 2, (64, WALKS * 256), dtype=np.int8)
+    words = np.arange(WALKS * 4, dtype=np.uint64)
     keys = np.empty((len(blocks), WALKS * SAMPLES), np.uint64)
     longest = int(lengths.max(initial=0))
     padded = np.concatenate((blocks[:, :longest], np.zeros((len(blocks), 1), np.uint8)), axis=1)
@@ -72,9 +74,11 @@ def _walk(blocks: np.ndarray, lengths: np.ndarray, seed: int) -> np.ndarray:
         emitted = np.empty((2 * longest, len(part), WALKS), np.uint8)
         pointer = np.zeros((len(part), WALKS), np.int64)
         for step in range(2 * longest):
+            # fresh random bits for each step, walk and byte
+            move = np.unpackbits(kernels.mix64(words + np.uint64((seed << 40) + step * WALKS * 4)).view(np.uint8)).astype(np.int64)
             byte = own[row, pointer]
             emitted[step] = byte
-            pointer = np.minimum(pointer + move[(step * 7 + step // 64) % 64][base + byte], end)
+            pointer = np.minimum(pointer + move[base + byte], end)
         key = np.tile(np.arange(1, WALKS * SAMPLES + 1, dtype=np.uint64).reshape(1, WALKS, SAMPLES), (len(part), 1, 1))
         walk = np.arange(WALKS)[None, :, None]
         for p in range(PLACES):
@@ -92,7 +96,8 @@ def _rows(texts: list[bytes], width: int) -> np.ndarray:
 
 
 def prepare(rows: list[tuple[object, str | None]], seed: int = 11) -> Items:
-    """Items of fewer than 8 bytes, null or empty ones match nothing."""
+    """Null or empty items match nothing; those of fewer than 8 bytes, which allow no edit, match as they stand."""
+    short = [(i, t.encode()) for i, t in rows if t and len(t.encode()) < SEGMENT]
     rows = [(i, t.encode()) for i, t in rows if t is not None and len(t.encode()) >= SEGMENT]
     texts = [t for _, t in rows]
     lengths = np.array([len(t) for t in texts], np.int64)
@@ -103,7 +108,7 @@ def prepare(rows: list[tuple[object, str | None]], seed: int = 11) -> Items:
     keys, first = np.unique(segment, return_index=True)
     return Items(
         [i for i, _ in rows], texts, keys, np.append(first, len(where)), np.array([x[1] for x in where], np.int64), np.array([x[2] for x in where], np.int64),
-        allowed, lengths // SEGMENT - allowed, _walk(_rows(texts, int(lengths.max(initial=0))), lengths, seed) if texts else np.zeros((0, WALKS * SAMPLES), np.uint64), seed,
+        allowed, lengths // SEGMENT - allowed, _walk(_rows(texts, int(lengths.max(initial=0))), lengths, seed) if texts else np.zeros((0, WALKS * SAMPLES), np.uint64), seed, short,
     )
 
 
@@ -190,8 +195,23 @@ def windows(items: Items, data: np.ndarray, offsets: np.ndarray) -> tuple[np.nda
     return text[new], item[new], start[new]
 
 
-def search(items: Items, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int, int]]:
-    """(text, item, end, distance) of each leak; the best place of an item in a text counts."""
+def search(items: Items, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, object, int, int, int]]:
+    """(text, item's id, item's bytes, end, distance) of each leak; the best place of an item in a text counts."""
+    found = [(t, items.ids[k], len(items.texts[k]), end, d) for t, k, end, d in _search(items, data, offsets)]
+    raw = data.tobytes() if items.short else b""
+    for i, text in items.short:
+        at, last = raw.find(text), -1
+        while at >= 0:
+            t = int(kernels.text_index(np.array([at]), offsets)[0])
+            if at + len(text) <= offsets[t + 1] and t != last:
+                found.append((t, i, len(text), at + len(text) - int(offsets[t]), 0))
+                last = t
+            at = raw.find(text, int(offsets[t + 1]) if t == last else at + 1)
+    return found
+
+
+def _search(items: Items, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """(text, item, end, distance) of each leak of an item of 8 bytes or more."""
     text, item, start = windows(items, data, offsets)
     if not len(text):
         return []
@@ -229,11 +249,12 @@ def item_blocks(benchmark: DataFrame, block_bytes: int = 4 << 20):
 def find_leaks(docs: DataFrame, benchmark: DataFrame, block_bytes: int = 4 << 20) -> DataFrame:
     """One row for each document and item that leaks into it: doc_id, item_id, end_byte, item_bytes, distance.
 
-    ``end_byte`` is where the best matching span ends. Null, empty and short items or texts match nothing;
-    repeated rows give repeated results; other columns of either table are ignored.
+    ``end_byte`` is where the best matching span ends. Null and empty items or texts match nothing; items of fewer than 16 bytes match
+    without edits only. Repeated rows give repeated results; ids may be null and of any type; other columns of either table are ignored.
+    Texts are read whole, however long. An empty table of either kind gives an empty table.
     """
     schema = T.StructType([docs.schema["doc_id"], benchmark.schema["item_id"], T.StructField("end_byte", T.LongType()), T.StructField("item_bytes", T.LongType()), T.StructField("distance", T.IntegerType())])
-    out = None
+    out, ids_type = None, to_arrow_type(benchmark.schema["item_id"].dataType)
     for items in item_blocks(benchmark, block_bytes):
 
         def task(batches, items=items):
@@ -242,7 +263,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, block_bytes: int = 4 << 20
                 if hits:
                     ids = batch.column(0).take(pa.array([h[0] for h in hits]))
                     yield pa.RecordBatch.from_arrays(
-                        [ids, pa.array([items.ids[h[1]] for h in hits]), pa.array([h[2] for h in hits], pa.int64()), pa.array([len(items.texts[h[1]]) for h in hits], pa.int64()), pa.array([h[3] for h in hits], pa.int32())],
+                        [ids, pa.array([h[1] for h in hits], ids_type), pa.array([h[3] for h in hits], pa.int64()), pa.array([h[2] for h in hits], pa.int64()), pa.array([h[4] for h in hits], pa.int32())],
                         names=["doc_id", "item_id", "end_byte", "item_bytes", "distance"],
                     )
 
