@@ -31,7 +31,7 @@ def edge_texts():
 
 
 def clashing(df):
-    names = ["size", "target", "taken", "pieces", "source_size", "key", "node", "h", "g", "pos", "line", "unit", "score", "email", "runs", "u"]
+    names = ["size", "target", "taken", "pieces", "source_size", "key", "node", "h", "g", "pos", "line", "unit", "score", "email", "runs", "u", "removed", "n_near", "near", "id", "tx", "rank", "first"]
     return df.withColumns({n: F.lit(1) for n in names})
 
 
@@ -107,6 +107,26 @@ def test_leaks(spark):
     assert leaks.find_leaks(table(spark, []), bench).count() == 0 and leaks.find_leaks(docs, bench.where("false")).count() == 0
 
 
+def test_short_items_leak_verbatim(spark):
+    bench = spark.createDataFrame([(0, "abcdefg"), (1, "qqqq"), (2, "é🎉")], "item_id long, text string")
+    got = leaks.find_leaks(table(spark, ["xx abcdefg yy abcdefg", "abcdef", "qqq", "qqqqq", "abc", "defg é🎉", None, ""]), bench).collect()
+    assert {(r.doc_id, r.item_id, r.end_byte, r.distance) for r in got} == {(0, 0, 10, 0), (3, 1, 4, 0), (5, 2, 11, 0)}
+
+
+def test_recall_at_the_tolerance(spark):
+    rng = np.random.default_rng(9)
+    items = [prose(2000 + i, 30) for i in range(120)]
+    texts = []
+    for item in items:
+        b = list(item)
+        for _ in range(leaks.tolerance(len(item))):  # at most so many edits
+            at = int(rng.integers(0, len(b)))
+            b[at : at + int(rng.integers(0, 2))] = ["#"] * int(rng.integers(0, 2))
+        texts.append(prose(int(rng.integers(5000, 9000)), 40) + " " + "".join(b) + " tail")
+    found = {(r.doc_id, r.item_id) for r in leaks.find_leaks(table(spark, texts), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()}
+    assert found <= {(i, i) for i in range(120)} and len(found) >= 0.95 * 120
+
+
 def test_edit_distance_of_a_span():
     def slow(item, text):
         row = [0] * (len(text) + 1)
@@ -273,7 +293,7 @@ def fingerprint_brute(t, k=fingerprints.K, w=fingerprints.WINDOW):
 
     if not t:
         return []
-    h = [xxhash.xxh64(g.encode(), seed=42).intdigest() >> 28 for g in ([t] if len(t) < k else [t[i : i + k] for i in range(len(t) - k + 1)])]
+    h = [xxhash.xxh64(g.encode(), seed=42).intdigest() & fingerprints.HASH for g in ([t] if len(t) < k else [t[i : i + k] for i in range(len(t) - k + 1)])]
     out = []
     for a in range(max(1, len(h) - w + 1)):
         least = min(h[a : a + w])
@@ -286,7 +306,7 @@ def fingerprint_brute(t, k=fingerprints.K, w=fingerprints.WINDOW):
 def test_fingerprints(spark):
     texts = edge_texts() + ["ab" * n for n in (20, 23, 46, 47, 94, 140)] + [prose(i, 5 * i + 1) for i in range(1, 30)]
     got = fingerprints.edited_fingerprints(clashing(table(spark, texts))).collect()
-    unpack = lambda xs: [(x >> 27, fingerprints.POSITION - (x & fingerprints.POSITION)) for x in xs]
+    unpack = lambda xs: [(x >> 32, fingerprints.POSITION - (x & fingerprints.POSITION)) for x in xs]
     plain = [t or "" for t in texts]
     assert len(got) == len(texts)
     for r in got:
@@ -320,6 +340,39 @@ def test_line_dedup(spark):
     assert sorted((r.doc_id, r.text) for r in twice) == [(1, long[0]), (1, long[0]), (2, "")]
 
 
+def test_banded_distance_equals_brute_force(spark):
+    rng = np.random.default_rng(6)
+    rows = []
+    for _ in range(600):
+        a = [*rng.choice(list("abé🎉"), int(rng.integers(4, 20)))]
+        b = list(a)
+        for _ in range(int(rng.integers(0, 4))):
+            at = int(rng.integers(0, len(b) + 1))
+            b[at : at + int(rng.integers(0, 2))] = [*rng.choice(list("abc"), int(rng.integers(0, 2)))]
+        rows.append(("".join(a), "".join(b) or "a"))
+
+    def slow(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a):
+            new = [i + 1]
+            for j, y in enumerate(b):
+                new.append(min(row[j] + (x != y), row[j + 1] + 1, new[j] + 1))
+            row = new
+        return row[-1]
+
+    for t in (1, 2):
+        got = spark.createDataFrame(rows, "a string, b string").where(f"abs(length(a) - length(b)) <= {t}").select("a", "b", F.expr(lines.edits("a", "b", t)).alias("d")).collect()
+        assert len(got) > 200 and all(min(r.d, t + 1) == min(slow(r.a, r.b), t + 1) for r in got)
+
+
+@pytest.mark.parametrize("name", ["near", "keep", "lines", "passages", "substrings", "quality", "mix", "pii", "secrets"])
+def test_ids_of_text(spark, name):
+    docs = table(spark, [prose(1, 120), prose(1, 120), None, "", prose(2, 30)]).withColumn("doc_id", F.concat(F.lit("d"), "doc_id"))
+    make = {"near": near.near_duplicates, "keep": near.keep_first, "lines": lines.line_dedup, "passages": passages.paragraph_classes, "substrings": substrings.remove_repeats, "mix": mixing.mix, "pii": pii.find_personal_data, "secrets": secrets.find_secrets}
+    out = quality.score(docs, quality.fit(docs, spark.createDataFrame([("d0", 1)], "doc_id string, quality int"))) if name == "quality" else make[name](docs)
+    assert out.count() == {"keep": 3, "passages": out.count()}.get(name, 5)
+
+
 def test_line_dedup_two_edits(spark):
     a = prose(9, 14)
     texts = [a, a[:10] + a[12:], a[:30] + "QQ" + a[30:], a[:5] + "Q" + a[6:40] + a[41:], a[:5] + "QQQ" + a[5:]]

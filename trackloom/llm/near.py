@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernels
-from .common import checkpointed, written
+from .common import checkpointed, id_key, written
 from .components import components
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -33,6 +33,8 @@ SIGNATURE = BANDS * ROWS
 MOST_DIFFER = 25
 #: Rounds in which members of a bucket meet others of it before all pairs that are still apart do.
 ROUNDS = 3
+#: Members of a bucket on the left of one part of the last join.
+PART = 64
 
 
 def bags(data: np.ndarray, offsets: np.ndarray, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -178,11 +180,14 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, rounds: int =
 
     # What is still apart is compared within the join on the key, by sketch and then by the sets of numbered shingles, so that only links come out.
     rest = _across(members, found).join(sketches.select("node", "bits0", "bits1"), "node").join(_sets(texts, bag), "node")
-    a, b = (rest.select(F.col("key").alias(f"k{x}"), F.col("node").alias(x), F.col("component").alias(f"c{x}"), F.col("bits0").alias(f"{x}0"), F.col("bits1").alias(f"{x}1"), F.col("set").alias(f"s{x}")) for x in "ab")
+    # A bucket of n members is dealt in n / PART parts: a member stands in one of them on the left and in all on the right.
+    rest = rest.join(rest.groupBy("key").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts")), "key")
+    sides = {"a": rest.withColumn("part", F.pmod(F.hash("node"), F.col("parts"))), "b": rest.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))}
+    a, b = (side.select(F.col("key").alias(f"k{x}"), F.col("part").alias(f"p{x}"), F.col("node").alias(x), F.col("component").alias(f"c{x}"), F.col("bits0").alias(f"{x}0"), F.col("bits1").alias(f"{x}1"), F.col("set").alias(f"s{x}")) for x, side in sides.items())
     differ = F.bit_count(F.col("a0").bitwiseXOR(F.col("b0"))) + F.bit_count(F.col("a1").bitwiseXOR(F.col("b1")))
     sizes = F.size("sa") + F.size("sb")
     alike = F.size(F.array_intersect("sa", "sb")) * (1 + similarity) >= similarity * sizes - 2
-    apart = a.join(b, (F.col("ka") == F.col("kb")) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (differ <= MOST_DIFFER) & alike).select("a", "b").distinct()
+    apart = a.join(b, (F.col("ka") == F.col("kb")) & (F.col("pa") == F.col("pb")) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (differ <= MOST_DIFFER) & alike).select("a", "b").distinct()
     links = checkpointed(_verified(apart, texts, similarity, bag))
     return found if links.isEmpty() else _grown(found, links)
 
@@ -196,7 +201,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
 
     Equal texts are one class, empty and null texts too; a text of fewer than five words is one shingle. Rows that repeat an id are
     separate documents of the same number; a null id is passed over in class_id unless the class has no other.
-    Other columns are ignored.
+    Ids may be of any type. Other columns are ignored. Texts are read whole, however long. An empty table gives an empty table.
     """
     base = with_node(docs.select("doc_id", "text"))
     classes = near_classes(base.select("node", "text"), similarity)
@@ -208,17 +213,22 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
 
 
 def keep_first(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """One document of each class, the one with the least id, with all its columns; of repeated rows one stays."""
-    base = docs.withColumn("__node", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
+    """One document of each class, the one with the least id, with all its columns; of repeated rows one stays.
+
+    Equal texts are one class, empty and null texts too. Null ids come last; ids may be of any type. An empty table gives an empty table.
+    """
+    base = docs.withColumn("__node", F.xxhash64(F.coalesce(F.col("text"), F.lit("")))).withColumn("__id", id_key(docs))
     classes = near_classes(base.select(F.col("__node").alias("node"), "text"), similarity)
-    nodes = base.groupBy("__node").agg(F.min(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))).alias("__least")).join(classes.withColumnRenamed("node", "__node"), "__node", "left")
-    stays = nodes.groupBy(F.coalesce("component", "__node").alias("__c")).agg(F.min(F.struct("__least", "__node")).alias("__first")).select("__first.*")
-    kept = base.join(stays, "__node").where(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)) == F.col("__least"))
-    order = W.partitionBy("__node").orderBy("doc_id")
-    return kept.withColumn("__nr", F.row_number().over(order)).where("__nr = 1").select(*docs.columns)
+    # the choice is made over ids and nodes; of whole documents only those that stay are moved
+    nodes = base.groupBy("__node").agg(F.min("__id").alias("__least")).join(classes.withColumnRenamed("node", "__node"), "__node", "left")
+    stays = nodes.groupBy(F.coalesce("component", "__node").alias("__c")).agg(F.min(F.struct("__least", "__node")).alias("__first")).select("__first.__node", F.col("__first.__least").alias("__id"))
+    kept = base.join(stays, ["__node", "__id"])
+    nr = F.row_number().over(W.partitionBy("__node", "__id").orderBy(F.lit(0)))
+    return kept.withColumn("__nr", nr).where("__nr = 1").select(*docs.columns)
 
 
 def op2_near_duplicates(spark, sf_dir):
+    """The class of near duplicates of every document."""
     from .common import documents
 
     return near_duplicates(documents(spark, sf_dir))

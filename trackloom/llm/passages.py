@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernels, near
-from .common import text_or_empty, written
+from .common import id_key, text_or_empty, written
 
 REACH, MIN_WORDS, SHINGLE, SIMILARITY = 20, 8, 5, 0.8
 #: Words of the gram that starts at each cut. Equal passages of REACH + GRAM - 1 = 50 words share a cut among their first REACH words, so that gram.
@@ -36,16 +36,6 @@ LEAST_RUN = 12
 BLOCK = 200
 
 
-def sliding_least(values: np.ndarray, w: int) -> np.ndarray:
-    """Least of each window of w values."""
-    out, have = values, 1
-    while have < w:
-        step = min(have, w - have)
-        out = np.minimum(out[:-step], out[step:])
-        have += step
-    return out
-
-
 def paragraphs(data: np.ndarray, offsets: np.ndarray):
     """(text, start byte, end byte, hash, first word, end word) of all paragraphs of MIN_WORDS words or more and all grams, the words' hashes, and each text's first word."""
     starts, ends = kernels.words(data, offsets)
@@ -60,11 +50,8 @@ def paragraphs(data: np.ndarray, offsets: np.ndarray):
     cut[np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))] = True
     cut[n] = True
     if n >= REACH:
-        low = (1 << 28) - 1
-        packed = (pair & np.uint64(~low & (1 << 64) - 1)) | (np.uint64(low) - (np.arange(n, dtype=np.uint64) & np.uint64(low)))
-        least = sliding_least(packed, REACH)
         inside = owner[: n - REACH + 1] == owner[REACH - 1 :]
-        cut[np.unique((np.uint64(low) - (least[inside] & np.uint64(low))).astype(np.int64))] = True
+        cut[np.unique(kernels.least_at(pair, REACH)[inside])] = True
     edges = np.flatnonzero(cut)
     a, b = edges[:-1], edges[1:]
     long = b - a >= MIN_WORDS
@@ -101,11 +88,9 @@ def blocks(data: np.ndarray, offsets: np.ndarray):
     bare, long = most[owner[a]] == 0, b - a > 2 * BLOCK
     if n >= BLOCK:
         pair = kernels.mix64(word * np.uint64(0x9E3779B97F4A7C15) + np.append(word[1:], np.uint64(0)))
-        low = (1 << 28) - 1
-        packed = (pair & np.uint64(~low & (1 << 64) - 1)) | (np.uint64(low) - (np.arange(n, dtype=np.uint64) & np.uint64(low)))
         group = np.cumsum(edge[:-1])
         inside = (group[: n - BLOCK + 1] == group[BLOCK - 1 :]) & np.repeat(bare | long, b - a)[: n - BLOCK + 1]
-        edge[np.unique((np.uint64(low) - (sliding_least(packed, BLOCK)[inside] & np.uint64(low))).astype(np.int64))] = True
+        edge[np.unique(kernels.least_at(pair, BLOCK)[inside])] = True
         whole = ~bare | (np.add.reduceat(edge[:-1].astype(np.int64), a) == 1)
         a, b = a[whole], b[whole]
         at = np.flatnonzero(edge)
@@ -127,7 +112,7 @@ def shingle_set(data: np.ndarray, offsets: np.ndarray):
 
 def _keyed(docs: DataFrame) -> DataFrame:
     text = text_or_empty()
-    return docs.select("doc_id", F.xxhash64("doc_id", text).alias("doc"), F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("rank"), text.alias("text"))
+    return docs.select("doc_id", F.xxhash64("doc_id", text).alias("doc"), id_key(docs).alias("rank"), text.alias("text"))
 
 
 def _units(keyed: DataFrame) -> DataFrame:
@@ -214,7 +199,8 @@ def paragraph_classes(docs: DataFrame, similarity: float = SIMILARITY, least_run
     """A row for each paragraph or gram that has a near or equal one: doc_id, doc, start, end, words, unit, class, class_size, removed.
 
     start and end are bytes of the UTF-8 text, after extension at the ends of a run. ``removed`` is false for the first of each class (by id, null last, then text and place). Null,
-    empty and short texts have no paragraph; rows that repeat an id and a text have the same places twice. Other columns are ignored.
+    empty and short texts have no paragraph; rows that repeat an id and a text have the same places twice. Ids may be of any type. Other columns
+    are ignored. Texts are read whole, however long. An empty table gives an empty table.
     """
     keyed = _keyed(docs)
     real = _blocks(keyed)
