@@ -81,6 +81,19 @@ def test_mixing(spark):
     assert mixing.mix(table(spark, [])).count() == 0
     blocks = Counter((r.source, p.block) for r in got for p in r.pieces)
     assert len({(r.source, p.block, p.shard) for r in got for p in r.pieces}) == len(blocks)  # a block goes to one shard
+    places = {}
+    for r in got:
+        for p in r.pieces:
+            places.setdefault((p.shard, p.bin), []).append(p.place)
+    assert all(sorted(x) == list(range(1, len(x) + 1)) for x in places.values()) and len({b for _, b in places}) == 8
+    words = Counter()  # the pieces of a source tile its stream once each epoch, so none is drawn twice
+    for r in got:
+        for p in r.pieces:
+            for w in range(p.first_word, p.first_word + p.words):
+                words[r.doc_id, p.epoch, w] += 1
+    assert max(words.values()) == 1 and sum(words.values()) == sum(r.taken for r in got)
+    twins = mixing.mix(table(spark, [prose(1, 90)] * 6, [3, 3, None, None, 4, 4]), block_words=64, depth=2, bins=4).collect()
+    assert len(twins) == 6 and all(r.taken == sum(p.words for p in r.pieces) for r in twins)
 
 
 def test_hypergeometric_draws(spark):

@@ -99,10 +99,10 @@ def mix(docs: DataFrame, block_words: int = 4096, depth: int = 6, bins: int = 10
     """Add ``size, source_size, target, taken, pieces`` to every document.
 
     ``taken`` counts the words that the mix takes of it, repeats included, and ``pieces`` says where they go:
-    structs of shard, block, epoch, first word, words and a key by which a shard is shuffled locally.
+    structs of shard, bin and place (the order in which a shard is read: it is shuffled locally), block, epoch, first word and words.
 
     A null text has size 0 and a null id or source is a value like any other. Rows that repeat an id
-    are separate documents. A source without words has target 0. An input column named like an
+    are separate documents; ids may be of any type. Texts are read whole. A source without words has target 0. An input column named like an
     output is replaced. An empty table gives an empty table.
     """
     out = ("size", "source_size", "target", "taken", "pieces")
@@ -120,7 +120,7 @@ def mix(docs: DataFrame, block_words: int = 4096, depth: int = 6, bins: int = 10
     tree = split_tree(plan.agg(F.expr("transform(array_sort(collect_list(struct(__nr, __blocks))), x -> x.__blocks)").alias("quotas")), depth, seed)
     leaves = tree.select("node", F.posexplode("quotas").alias("i", "q")).groupBy((F.col("i") + 1).alias("__nr")).agg(F.expr("transform(array_sort(collect_list(struct(node, q))), x -> x.q)").alias("__q"))
     ends = leaves.select("__nr", F.expr("transform(__q, (x, i) -> aggregate(slice(__q, 1, i + 1), 0L, (a, b) -> a + b))").alias("__ends"))
-    where = offsets.join(plan.join(ends, "__nr"), offsets["source"].eqNullSafe(plan["source"]), "inner").select(offsets["source"].alias("__s"), F.col("__bin").alias("__b"), "__offset", "source_size", "target", "__quota", "__blocks", "__ends")
+    where = offsets.join(plan.join(ends, "__nr"), offsets["source"].eqNullSafe(plan["source"]), "inner").select(offsets["source"].alias("__s"), F.col("__bin").alias("__b"), "__offset", "source_size", "target", "__quota", "__blocks", "__ends", "__nr")
 
     order = W.partitionBy("source", "__bin").orderBy(F.xxhash64(F.lit(seed + 1), F.col("doc_id").cast("string")), "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
     placed = (
@@ -138,14 +138,29 @@ def mix(docs: DataFrame, block_words: int = 4096, depth: int = 6, bins: int = 10
           'first_word', greatest(b * {block_words} - __at - e * source_size, 0L),
           'words', least((b + 1) * {block_words}, __at + e * source_size + size, __quota) - greatest(b * {block_words}, __at + e * source_size),
           'shuffle_key', xxhash64({seed}, doc_id, b)))))"""
-    return placed.withColumn("__mult", multiplier).withColumn("__shift", shift).withColumn("pieces", F.expr(pieces)).withColumn(
-        "taken", F.expr("aggregate(pieces, 0L, (a, p) -> a + p.words)")
-    ).select(*keep, *out)
+    placed = placed.withColumn("__mult", multiplier).withColumn("__shift", shift).withColumn("pieces", F.expr(pieces)).withColumn("taken", F.expr("aggregate(pieces, 0L, (a, p) -> a + p.words)"))
+    return _shuffled(placed, bins).select(*keep, *out)
+
+
+def _shuffled(placed: DataFrame, bins: int) -> DataFrame:
+    """``pieces`` with bin and place: a shard is read bin by bin, each in the order of its places, which is that of the shuffle keys.
+
+    A piece's row is known by its source and where it begins in it; only numbers are sorted, not texts.
+    """
+    local = W.partitionBy("p.shard", "bin").orderBy("p.shuffle_key", "__nr", "__at", "k")
+    drawn = placed.select("__nr", "__at", F.posexplode("pieces").alias("k", "p")).withColumn("bin", F.pmod("p.shuffle_key", F.lit(bins)).cast("int"))
+    drawn = drawn.withColumn("place", F.row_number().over(local)).groupBy("__nr", "__at").agg(F.array_sort(F.collect_list(F.struct("k", "bin", "place"))).alias("__places"))
+    merged = F.expr("transform(pieces, (p, i) -> named_struct('shard', p.shard, 'bin', get(__places, i).bin, 'place', get(__places, i).place, 'block', p.block, 'epoch', p.epoch, 'first_word', p.first_word, 'words', p.words))")
+    return placed.join(drawn, ["__nr", "__at"], "left").withColumn("pieces", merged)
+
+
+#: SQL for the pieces of a document as text.
+PIECES = "array_join(transform(pieces, p -> concat_ws(':', p.shard, p.bin, p.place, p.block, p.epoch, p.first_word, p.words)), ',')"
 
 
 def op7_mix_sources(spark, sf_dir):
-    """All documents with what the mix takes of each; ``shards`` lists shard:words."""
+    """All documents with what the mix takes of each; ``shards`` lists shard:bin:place:block:epoch:first word:words of its pieces."""
     from .common import documents
 
     mixed = mix(documents(spark, sf_dir))
-    return mixed.select("doc_id", "size", "source_size", "target", "taken", F.expr("array_join(transform(pieces, p -> concat(p.shard, ':', p.words)), ',')").alias("shards"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", F.expr(PIECES).alias("shards"))
