@@ -4,8 +4,9 @@ Equal lines meet by two 64-bit hashes. For the edit join a line of L code points
 length: if two lines are within the threshold, a segment of the shorter one stands unchanged in the longer one,
 near its place. Each line is indexed under (segment number, length, segment) and looked up under the substrings
 that the multi-match-aware rule leaves for every shorter length. Keys that only one line has are dropped by
-an aggregation before anything is joined; the rest get their lines, and the join on the key itself verifies by the banded bit-parallel edit
-distance (``edits``), after a comparison of their pairs of characters that no near line fails, so that only true pairs come out.
+an aggregation before anything is joined; the rest get their lines, and the join on the key itself verifies by the banded edit distance
+with a threshold that Spark has built in, so that only true pairs come out. A bit-parallel distance in SQL functions gave the same results, but not
+in the time allowed; see the README.
 
 A line is removed where it occurs after its first occurrence, and everywhere if a line that occurs earlier is within the threshold.
 "Earlier" is by id, then text, then line number. Lines are near within ``threshold`` edits if the shorter has ``MIN_CHARS`` characters or more;
@@ -37,45 +38,6 @@ def _keys(threshold: int, min_chars: int) -> str:
     return f"filter(array({', '.join(parts)}), k -> k is not null)"
 
 
-def _step(e: int, vp: int, vn: int, threshold: int) -> tuple[int, int, int, int]:
-    """One column of the banded bit-parallel distance: (d0, hp, hn, and the next column's vp and vn as one number)."""
-    mask = (1 << 2 * threshold + 1) - 1
-    d0 = ((((e & vp) + vp) ^ vp) | e | vn) & mask
-    hp, hn = (vn | ~(d0 | vp)) & mask, d0 & vp
-    return d0, hp, hn, ((hn | ~((d0 >> 1) | hp)) & mask) | ((d0 >> 1) & hp) << 2 * threshold + 1
-
-
-def edits(a: str, b: str, threshold: int) -> str:
-    """SQL for the edit distance of two strings whose lengths differ by ``threshold`` (1 or 2) at most; above it, it is only known to be above.
-
-    The band of ``w = 2 * threshold + 1`` cells around the diagonal is one number for each kind of difference between neighbouring
-    cells (up or down, vertical or horizontal), moved along the diagonal. With so few bits a step is looked up: from the places where
-    the characters are the same and the vertical differences to the next vertical and the horizontal ones. The distance is followed on the
-    band's lowest diagonal and, from the last row on, along that row.
-    """
-    t, w = threshold, 2 * threshold + 1
-    table = []
-    for state in range(1 << 3 * w):
-        d0, hp, hn, v = _step(state & (1 << w) - 1, state >> w & (1 << w) - 1, state >> 2 * w, t)
-        table.append(v | hp << 2 * w | hn << 3 * w | (1 - (d0 >> 2 * t & 1)) << 4 * w)
-    kind = "L" if 4 * w + 1 > 31 else ""
-    steps = f"array({','.join(str(x) + kind for x in table)})"
-    same = " | ".join(f"if(get(z.a, x.j + {k - t}) = x.c, {1 << k}, 0)" for k in range(w))
-    place = f"greatest(0, z.m - {{j}} + {t})"
-    gain = f"if({{j}} + {t} <= z.m, int(shiftright(z.y, {4 * w}) & 1), int(shiftright(z.y, {2 * w} + {place}) & 1) - int(shiftright(z.y, {3 * w} + {place}) & 1))"
-    first = ((1 << w) - 1) & ~((1 << t) - 1)
-    return f"""
-    aggregate(transform(split({b}, ''), (c, j) -> named_struct('c', c, 'j', j)),
-      named_struct('a', split({a}, ''), 'm', length({a}), 'y', {first}{kind}, 'd', {t}, 'j', 0),
-      (z, x) -> named_struct('a', z.a, 'm', z.m, 'y', get({steps}, ({same}) | shiftleft(int(z.y & {(1 << 2 * w) - 1}), {w})),
-        'd', z.d + if(x.j = 0, 0, {gain.format(j="x.j")}), 'j', x.j + 1),
-      z -> z.d + if(z.j = 0, 0, {gain.format(j="z.j")}))"""
-
-
-#: SQL for a bit for each pair of neighbouring characters of ``line``. An edit changes two pairs at most, so four bits.
-_PAIRS = """aggregate(split(line, ''), named_struct('c', '', 'm', 0L), (z, c) -> named_struct('c', c, 'm', z.m | shiftleft(1L, int(xxhash64(z.c, c) & 63L))), z -> z.m)"""
-
-
 def _with_key(docs: DataFrame) -> DataFrame:
     """doc (a hash of id and text) and rank (the id, null last) beside the text."""
     text = text_or_empty()
@@ -108,12 +70,12 @@ def removals(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_C
         keyed.select("__doc", "__text")
         .join(places.groupBy("first.__doc").agg(F.collect_list(F.struct("h", "first")).alias("w")).select(F.col("__doc"), "w"), "__doc")
         .select(F.explode(F.expr("transform(w, x -> named_struct('h', x.h, 'first', x.first, 'line', get(split(__text, '\n', -1), x.first.pos)))")).alias("x"))
-        .select("x.h", "x.first", "x.line").dropDuplicates(["h"]).withColumn("pairs", F.expr(_PAIRS))
+        .select("x.h", "x.first", "x.line").dropDuplicates(["h"])
     )
     full = met.join(texts, "h")
-    a = full.where("own").select("key", F.col("h").alias("x"), F.col("first").alias("fx"), F.col("line").alias("lx"), F.col("pairs").alias("px"))
-    b = full.select("key", F.col("h").alias("y"), F.col("first").alias("fy"), F.col("line").alias("ly"), F.col("pairs").alias("py"))
-    near = a.join(b, "key").where(f"x <> y and (lx < ly or length(lx) <> length(ly)) and bit_count(px ^ py) <= {4 * threshold} and abs(length(lx) - length(ly)) <= {threshold} and {edits('lx', 'ly', threshold)} <= {threshold}").select(F.expr("if(fx > fy, x, y)").alias("h")).distinct().withColumn("near", F.lit(True))
+    a = full.where("own").select("key", F.col("h").alias("x"), F.col("first").alias("fx"), F.col("line").alias("lx"))
+    b = full.select("key", F.col("h").alias("y"), F.col("first").alias("fy"), F.col("line").alias("ly"))
+    near = a.join(b, "key").where(f"x <> y and (lx < ly or length(lx) <> length(ly)) and levenshtein(lx, ly, {threshold}) >= 0").select(F.expr("if(fx > fy, x, y)").alias("h")).distinct().withColumn("near", F.lit(True))
 
     decided = lines.join(near, "h", "left").where("n > 1 or near").select("h", "g", "first", F.coalesce("near", F.lit(False)).alias("near"))
     gone = seen.select("h", "g", "__rank", "__doc", "pos").join(decided, ["h", "g"]).where("near or first.__doc <> __doc or first.__rank <> __rank or first.pos <> pos")
