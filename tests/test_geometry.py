@@ -87,8 +87,10 @@ def test_joint_names_are_matched():
 
 def test_virtual_views_hold_the_box():
     boxes = np.array([[560.0, 380, 700, 700], [40, 300, 200, 760], [1000, 100, 1200, 500]])
-    r, f = views.make_views(RIG[0], boxes)
-    corners = views._outline(boxes)
-    p = np.einsum("nij,nkj->nki", r, RIG[0].rays(corners))
-    crop = p[..., :2] / p[..., 2:] * f[:, None, None] + np.array([384, 512])
+    r, f, box = views.make_views(RIG[0], boxes)
+    p = np.einsum("nij,nkj->nki", r, RIG[0].rays(views.perimeter(boxes)))
+    crop = p[..., :2] / p[..., 2:] * f[:, None, None] + np.array([383.5, 511.5])
+    assert np.allclose(np.concatenate((crop.min(axis=1), crop.max(axis=1)), axis=1), box) and np.allclose((box[:, :2] + box[:, 2:]) / 2, [383.5, 511.5], atol=8)
+    straight = views.make_views(RIG[0], boxes, up=RIG[0].r.T @ RIG[0].rays(np.array([[630.0, 540.0]]))[0])
+    assert np.isfinite(straight[0]).all() and np.allclose(straight[0] @ straight[0].transpose(0, 2, 1), np.eye(3))
     assert (crop > 0).all() and (crop[..., 0] < 768).all() and (crop[..., 1] < 1024).all()

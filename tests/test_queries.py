@@ -5,7 +5,7 @@ import pytest
 
 import __spark_entry__ as entry
 
-NAMES = ["frame_timing", "asof_interpolate", "asof_nearest", "track_summary", "actor_boxes", "series_windows", "triangulate", "bone_outliers", "fill_gaps", "board_view_funnel", "bad_views", "fingerprints"]
+NAMES = ["frame_timing", "asof_interpolate", "asof_nearest", "track_summary", "actor_boxes", "series_windows", "triangulate", "bone_outliers", "fill_gaps", "board_view_funnel", "bad_views", "fingerprints", "frame_at", "thin_by_time", "common_clock"]
 
 
 @pytest.mark.parametrize("name", NAMES)
@@ -52,3 +52,29 @@ def test_registrations_see_all_rows(spark, small, monkeypatch):
     queries.refine_offsets(spark, small)
     queries.refine_rig(spark, small)
     assert seen == {"times": queries.times_of(X.keypoints(spark, small)).count(), "rows": queries.clean_synced(spark, small).count()}
+
+
+def test_the_whole_way_on_names(spark, small):
+    from trackloom import fixtures as X
+
+    got = {row.recording: row for row in entry.queries()["scene_from_keypoints"](spark, small).collect()}
+    assert set(got) == {f"r{row.recording}" for row in X.frames(spark, small).select("recording").distinct().collect()}
+    assert all(row.points > 10_000 and 0.7 < row.z < 1.3 and row.last_s > row.first_s for row in got.values())
+
+
+def test_a_rig_is_calibrated_from_points(spark, small):
+    import numpy as np
+
+    from trackloom import fixtures as X
+    from trackloom.jobs import queries
+    from trackloom.operators import reconstruction, rig
+
+    poses, scales = queries.calibrated(spark, small)
+    true = reconstruction.camera_list(X.camera_rows())
+    base = np.linalg.norm(rig.relative_pose(true[0], true[1])[1])
+    for b, ((r, t), s) in enumerate(zip(poses, scales, strict=True)):
+        want_r, want_t = rig.relative_pose(true[0], true[b + 1])
+        assert np.abs(r - want_r).max() < 0.01 and np.abs(t * s - want_t / base).max() < 0.02
+    one, two = true[0].center, true[1].center
+    ends = spark.createDataFrame([(*map(float, one / base), *map(float, two / base))] * 3, "ax double, ay double, az double, bx double, by double, bz double")
+    assert abs(rig.known_length_scale(ends, float(base)) - base) < 1e-9

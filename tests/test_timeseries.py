@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from trackloom.operators import calibration, cleaning, timeseries, tracks
@@ -113,3 +114,28 @@ def test_select_views_needs_no_task_for_a_camera(spark, monkeypatch):
         for c in cells[chosen[-1]]:
             used[c] += 1
     assert {(r.cam, r.view) for r in got} == {(0, v) for v in range(3)} | {(1, v) for v in chosen}
+
+
+def test_the_nearest_frame(spark):
+    frames = spark.createDataFrame([("r", 0, t, i) for i, t in enumerate((1.0, 1.03, 1.06, 1.5))], "recording string, cam int, t double, frame_index long")
+    asked = spark.createDataFrame([("r", 0, t) for t in (1.02, 1.001, 1.045, 1.2, 1.9, 0.98, 0.9)], "recording string, cam int, t double")
+    got = {row.t: row.t_frame for row in timeseries.frame_at(frames, asked).collect()}
+    assert got == {1.02: 1.03, 1.001: 1.0, 1.045: 1.03, 1.9: 1.5, 0.98: 1.0}
+
+
+def test_offsets_of_each_recording(spark):
+    rows = [(rec, cam, i / 10, [i / 10 + cam], [0.0], [1.0]) for rec in ("a", "b") for cam in (0, 1) for i in range(30)]
+    tracks = spark.createDataFrame(rows, "recording string, cam int, t double, u array<double>, v array<double>, conf array<double>")
+    offsets = spark.createDataFrame([("a", 1, 0.1), ("b", 1, 0.3)], "recording string, cam int, offset_s double")
+    times = spark.createDataFrame([("a", 1.0), ("b", 1.0)], "recording string, tau double")
+    got = {row.recording: row.u for row in timeseries.on_common_clock(tracks, offsets, times, 2).collect()}
+    assert {k: [round(x, 6) for x in v] for k, v in got.items()} == {"a": [1.0, 2.1], "b": [1.0, 2.3]}
+
+
+def test_unknown_backends_are_rejected(spark):
+    from trackloom.streaming import ingest
+
+    for backend in ("nobody", None):
+        rows = spark.createDataFrame([("r", 0, backend, 1.0, [1.0], [1.0], [1.0])], "recording string, cam int, backend string, t double, u array<double>, v array<double>, conf array<double>")
+        with pytest.raises(Exception, match="unknown backend"):
+            ingest.to_canonical(rows).collect()

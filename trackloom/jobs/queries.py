@@ -11,6 +11,7 @@ from .. import fixtures as X
 from ..functions import columns as C
 from ..operators import calibration, cleaning, pose, reconstruction, report, rig, sync, timeseries, tracks, views
 from ..skeleton import EDGE_INDEX, INDEX, JOINTS
+from . import slice as slice_
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -119,18 +120,20 @@ def asof_nearest(spark, sf_dir):
     return out.select("recording", r("t").alias("t"), r("t_near").alias("t_near"))
 
 
-@query(f"""with f as ({FRAMES}), a as (select recording, cam, t + 0.03::double as t from f where i % 3 = 0), last as (select recording, cam, max(t) as hi from f group by 1, 2),
+@query(f"""with f as ({FRAMES}), a as (select recording, cam, t + (i % 7) * 0.01::double as t from f where i % 3 = 0), last as (select recording, cam, max(t) as hi from f group by 1, 2),
 b as (select a.*, f.t as x0 from a asof left join f on a.recording = f.recording and a.cam = f.cam and a.t > f.t), e as (select b.*, f.t as x1 from b asof left join f on b.recording = f.recording and b.cam = f.cam and b.t <= f.t),
-p as (select e.*, hi, case when t > hi or abs(x0 - t) <= 0.025::double then x0 else x1 end as near from e join last using (recording, cam)) select recording, cam, {q('t')} as t, {q('near')} as t_frame from p where t > hi or abs(near - t) <= 0.025::double""")
+p as (select e.*, hi, case when x0 is null then x1 when x1 is null then x0 when x1 - t < t - x0 then x1 else x0 end as near from e join last using (recording, cam))
+select recording, cam, {q('t')} as t, {q('near')} as t_frame from p where t > hi or abs(near - t) <= 0.05::double""")
 def frame_at(spark, sf_dir):
     f = keypoints(spark, sf_dir).select("recording", "cam", "t", F.col("i").cast("long").alias("frame_index"))
-    asked = f.where("frame_index % 3 = 0").select("recording", "cam", (F.col("t") + 0.03).alias("t"))
-    return timeseries.frame_at(f, asked).select("recording", "cam", r("t").alias("t"), r("t_frame").alias("t_frame"))
+    asked = f.where("frame_index % 3 = 0").select("recording", "cam", (F.col("t") + F.col("frame_index") % 7 * 0.01).alias("t"))
+    return timeseries.frame_at(f, asked, 0.05).select("recording", "cam", r("t").alias("t"), r("t_frame").alias("t_frame"))
 
 
-@query()
+@query(f"""with recursive f as ({FRAMES}), k as (select recording, cam, min(t) as t from f where t >= 0 group by 1, 2
+union all select k.recording, k.cam, min(f.t) from k join f on k.recording = f.recording and k.cam = f.cam and f.t + 0.000001::double >= k.t + 0.25::double group by 1, 2) select recording, cam, {q('t')} as t from k""")
 def thin_by_time(spark, sf_dir):
-    return timeseries.thin_by_time(keypoints(spark, sf_dir).select("recording", "cam", "t"), 0.25)
+    return timeseries.thin_by_time(keypoints(spark, sf_dir).select("recording", "cam", "t"), 0.25).select("recording", "cam", r("t").alias("t"))
 
 
 @query(f"with kp as ({KP}) select recording, cam, joint, count(*) as n, {q('avg(conf)')} as weight from kp where conf >= 0.7::double group by 1, 2, 3")
@@ -506,25 +509,48 @@ def coarse_offsets(spark, sf_dir):
     return sync.coarse_offsets(keypoints(spark, sf_dir), 0).select("recording", "cam", r("offset_s", 2).alias("offset_s"), r("corr", 2).alias("corr"))
 
 
-@query("select distinct event_id // 1000 as recording, cam, true as near from events cross join (values (1), (2)) as o(cam)")
+@query("select distinct event_id // 1000 as recording, cam, offset_s from events cross join (values (1, 0.2::double), (2, -0.2::double)) as o(cam, offset_s)")
 def refine_offsets(spark, sf_dir):
+    """All times of the scene's first camera; the clocks start wrong by some hundredths."""
     kp = X.keypoints(spark, sf_dir)
-    times = times_of(kp)
     start = X.frames(spark, sf_dir).select("recording").distinct().crossJoin(spark.sql("select * from (values (1, 0.2D), (2, -0.25D)) as o(cam, offset_s)"))
-    true = F.element_at(F.array(*map(F.lit, X.OFFSETS)), F.col("cam") + 1)
-    return sync.refine_offsets(kp, X.camera_rows(), times, start).select("recording", "cam", (F.abs(F.col("offset_s") - true) < 0.015).alias("near"))
+    return sync.refine_offsets(kp, X.camera_rows(), times_of(kp), start).select("recording", "cam", r("offset_s", 1).alias("offset_s"))
 
 
-@query("select cast(range as int) as cam, true as at_place from range(3)")
-def refine_rig(spark, sf_dir):
-    """The second and third camera are moved a little and found again from the walker."""
-    import numpy as np
+_TRUE_RIG = reconstruction.camera_list(X.camera_rows())
 
+
+@query("select * from (values " + ", ".join(f"({c.cam}, " + ", ".join(f"{round(float(v), 1) + 0.0}::double" for v in c.center) + ")" for c in _TRUE_RIG) + ") as c(cam, x, y, z) where exists (select 1 from events)")
+def refine_rig(spark, sf_dir):
+    """The third camera is moved a little and found again from the walker: the cameras' places."""
     moved = [dict(c) for c in X.camera_rows()]
     moved[2]["t"] = [v + 0.02 for v in moved[2]["t"]]
     found = rig.refine_rig(clean_synced(spark, sf_dir), moved)
-    true = reconstruction.camera_list(X.camera_rows())
-    return spark.createDataFrame([(c, bool(np.linalg.norm(found[c].center - true[c].center) < 0.01)) for c in range(3)], "cam int, at_place boolean")
+    return spark.createDataFrame([(c, *[round(float(v), 1) + 0.0 for v in found[c].center]) for c in range(3)], "cam int, x double, y double, z double")
+
+
+def calibrated(spark, sf_dir):
+    """(poses from camera 0, scales of the later translations, metres per unit) of the scene, from points alone and one known length."""
+    rays = rig.undistorted(clean_synced(spark, sf_dir), X.camera_rows())
+    poses = [rig.estimate_relative_pose(rig.pair_points(rays, 0, b, len(JOINTS), 0.6), X.FOCAL)[:2] for b in (1, 2)]
+    return poses, rig.chain_scales(rays, poses, len(JOINTS))
+
+
+@query()
+def calibrate_rig(spark, sf_dir):
+    """cam, and the place of each camera from the first one, in units of the first pair's distance: relative poses, then their scales chained."""
+    poses, scales = calibrated(spark, sf_dir)
+    places = [(b + 1, *[round(float(v), 1) + 0.0 for v in -r_.T @ t * s_]) for b, ((r_, t), s_) in enumerate(zip(poses, scales, strict=True))]
+    return spark.createDataFrame(places, "cam int, x double, y double, z double")
+
+
+@query()
+def scene_from_keypoints(spark, sf_dir):
+    """The whole way on recordings and cameras known by name, each recording with its own clock offsets: repair, triangulation, bones, gaps, smoothing; a row for each recording."""
+    kp = X.keypoints(spark, sf_dir).select(F.concat(F.lit("r"), "recording").alias("recording"), F.concat(F.lit("cam"), "cam").alias("cam"), "t", "u", "v", "conf")
+    offsets = kp.select("recording").distinct().crossJoin(spark.sql(X.offsets_sql()))
+    _, smooth = slice_.landmarks(slice_.numbered_cameras(kp, [f"cam{c}" for c in range(X.CAMERAS)]), X.camera_rows(), offsets)
+    return smooth.groupBy("recording").agg(F.count("x").alias("points"), F.sum(F.col("filled").cast("int")).cast("long").alias("filled"), r(F.avg("z"), 1).alias("z"), F.min("t").alias("first_s"), F.max("t").alias("last_s"))
 
 
 @query("select true as level, true as on_floor")

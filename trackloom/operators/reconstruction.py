@@ -15,8 +15,8 @@ GROUPS = {"arm": ["shoulder", "elbow", "wrist"], "leg": ["hip", "knee", "ankle",
 PAIRS = [(side(parts, "left"), side(parts, "right")) for parts in GROUPS.values()]
 
 _ARRAYS = ["x", "y", "z"]
-LANDMARKS = T.StructType(
-    [T.StructField("recording", T.LongType()), T.StructField("tau", T.DoubleType())]
+LANDMARKS = (
+    [T.StructField("tau", T.DoubleType())]
     + [T.StructField(c, T.ArrayType(T.DoubleType())) for c in _ARRAYS]
     + [T.StructField("views", T.ArrayType(T.IntegerType())), T.StructField("err", T.ArrayType(T.DoubleType())), T.StructField("swaps", T.ArrayType(T.IntegerType()))]
 )
@@ -68,10 +68,11 @@ def triangulated(synced: DataFrame, cameras, min_conf: float = 0.5, max_reproj_p
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1)] + [_lists(points[:, d].reshape(n, joints)) for d in range(3)]
                 + [_lists(views.reshape(n, joints).astype(np.int32)), _lists(error), _lists(swaps.reshape(n, -1).astype(np.int32))],
-                names=LANDMARKS.names,
+                names=schema.names,
             )
 
-    return synced.select("recording", "tau", "u", "v", "conf").mapInArrow(work, LANDMARKS)
+    schema = T.StructType([synced.schema["recording"], *LANDMARKS])
+    return synced.select("recording", "tau", "u", "v", "conf").mapInArrow(work, schema)
 
 
 def reconstruct(tracks: DataFrame, cameras, offsets: DataFrame, times: DataFrame, min_conf: float = 0.5, max_reproj_px: float = 15.0, fix_swaps: bool = True) -> DataFrame:

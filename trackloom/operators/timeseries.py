@@ -55,9 +55,13 @@ def asof_interpolate(tracks: DataFrame, queries: DataFrame, max_gap: float = 0.1
 
 
 def on_common_clock(tracks: DataFrame, offsets: DataFrame, times: DataFrame, cams: int, max_gap: float = 0.15) -> DataFrame:
-    """(recording, tau) with all cameras' arrays one after the other: index = cam * joints + joint. A missing offset is 0."""
+    """(recording, tau) with all cameras' arrays one after the other: index = cam * joints + joint.
+
+    ``offsets`` has (cam, offset_s), for all recordings, or (recording, cam, offset_s), for each; a missing offset is 0.
+    """
     per_cam = times.select("recording", "tau").crossJoin(F.broadcast(offsets.sparkSession.range(cams).select(F.col("id").cast("int").alias("cam"))))
-    queries = per_cam.join(F.broadcast(offsets), "cam", "left").select("recording", "cam", (F.col("tau") + F.coalesce("offset_s", F.lit(0.0))).alias("t"), "tau")
+    keys = KEYS if "recording" in offsets.columns else ["cam"]
+    queries = per_cam.join(offsets.select(*keys, "offset_s"), keys, "left").select("recording", "cam", (F.col("tau") + F.coalesce("offset_s", F.lit(0.0))).alias("t"), "tau")
     found = asof_interpolate(tracks, queries, max_gap)
     rows = found.groupBy("recording", "tau").agg(F.array_sort(F.collect_list(F.struct("cam", "u", "v", "conf"))).alias("__c"))
     return rows.select("recording", "tau", *[F.expr(f"flatten(transform(__c, x -> x.{c}))").alias(c) for c in ("u", "v", "conf")])
@@ -72,14 +76,11 @@ def asof_nearest(left: DataFrame, right: DataFrame, keys: list[str], carried: li
 
 
 def frame_at(frames: DataFrame, requests: DataFrame, tol_s: float = 0.025) -> DataFrame:
-    """The frame (t, frame_index) for each requested time: the first that is not more than ``tol_s`` before it; past the end the last; else no row.
-
-    A frame matches if it lies within the tolerance of the request.
-    """
+    """The frame (t, frame_index) nearest to each requested time (the earlier of two as near), within ``tol_s``; past the end the last; else no row."""
     found = _both_sides(frames, requests, KEYS, ["frame_index"])
     late = F.col("t") > F.col("t_last")
-    early = F.coalesce(F.abs(F.col("before.t") - F.col("t")) <= tol_s, F.lit(False))
-    pick = F.when(late, F.col("before")).when(early, F.col("before")).otherwise(F.col("after"))
+    early = F.coalesce(F.col("t") - F.col("before.t") <= F.col("after.t") - F.col("t"), F.col("after").isNull())
+    pick = F.when(early, F.col("before")).otherwise(F.col("after"))
     return found.withColumn("__n", pick).where(late | (F.abs(F.col("__n.t") - F.col("t")) <= tol_s)).select(*requests.columns, F.col("__n.t").alias("t_frame"), F.col("__n.frame_index").alias("frame_index"))
 
 

@@ -7,15 +7,15 @@ from pyspark.sql import functions as F
 
 from ..operators.pose import BACKENDS, map_joints, normalize_conf
 
-KEY = ["recording", "cam", "backend", "t"]
+KEY = ["recording", "cam", "backend", "config", "t"]
 
 
 def to_canonical(df: DataFrame) -> DataFrame:
-    """Joint order and confidence rule of each row's backend; unknown backends raise when the plan is built from BACKENDS."""
-    parts = [normalize_conf(map_joints(df.where(F.col("backend") == name), rule["names"]), rule["rule"]) for name, rule in BACKENDS.items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    """Joint order and confidence rule of each row's backend. A row whose backend is unknown or null fails the job; it is never dropped."""
+    name = F.coalesce("backend", F.lit("null"))
+    out = df.where(~name.isin(list(BACKENDS))).withColumn("backend", F.raise_error(F.concat(F.lit("unknown backend: "), name)).cast("string"))
+    for backend, rule in BACKENDS.items():
+        out = out.unionByName(normalize_conf(map_joints(df.where(F.col("backend") == backend), rule["names"]), rule["rule"]))
     return out
 
 
@@ -23,13 +23,14 @@ def ingest_pose_chunks(spark: SparkSession, source: str, target: str, checkpoint
     """Append what is new in ``source`` to ``target`` and return.
 
     The checkpoint lists the files that were read; a frame that came before, in another file or in a batch that was run again, is left out by
-    an anti-join against the target, so nothing has to be kept as state.
+    an anti-join against the target's key columns, so nothing has to be kept as state. A row of an unknown backend stops the ingest.
     """
 
     def add(batch: DataFrame, _: int) -> None:
-        fresh = batch.dropDuplicates(KEY)
+        key = [k for k in KEY if k in batch.columns]  # not every source has a config
+        fresh = batch.dropDuplicates(key)
         try:
-            fresh = fresh.join(spark.read.parquet(target).select(*KEY), KEY, "left_anti")
+            fresh = fresh.join(spark.read.parquet(target).select(*key), key, "left_anti")
         except Exception as e:  # the first batch has no target yet
             if "PATH_NOT_FOUND" not in str(e):
                 raise
