@@ -14,6 +14,9 @@ verified by the exact overlap of the bags; pairs within a component need no link
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernels
-from .common import checkpointed, id_key, written
+from .common import Scratch, checkpointed, id_key
 from .components import components
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -69,27 +72,43 @@ def signatures(owner: np.ndarray, shingle: np.ndarray, count: np.ndarray, n: int
     return out.reshape(n, SIGNATURE)
 
 
-def band_keys(registers: np.ndarray) -> np.ndarray:
-    """(n, BANDS) keys."""
-    bits = registers.view(np.uint64).reshape(len(registers), BANDS, ROWS)
-    key = np.tile(np.arange(1, BANDS + 1, dtype=np.uint64), (len(registers), 1))
-    for r in range(ROWS):
+def weighted_registers(owner: np.ndarray, shingle: np.ndarray, count: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The texts that have words, and their BagMinHash registers as (texts, SIGNATURE) whole numbers."""
+    found = signatures(owner, shingle, count, n)
+    full = np.flatnonzero(np.isfinite(found[:, 0]))
+    return full, found[full].view(np.uint64)
+
+
+class Sketching(NamedTuple):
+    """How texts become bags and registers, how many of these make a band, and from how many different bits on a pair is not compared."""
+
+    bag: Callable = bags
+    registers: Callable = weighted_registers
+    bands: int = BANDS
+    rows: int = ROWS
+    most_differ: int = MOST_DIFFER
+
+
+def band_keys(registers: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
+    """(n, bands) keys."""
+    bits = registers.reshape(len(registers), bands, rows)
+    key = np.tile(np.arange(1, bands + 1, dtype=np.uint64), (len(registers), 1))
+    for r in range(rows):
         key = kernels.mix64(key * np.uint64(0x9E3779B97F4A7C15) + bits[:, :, r])
     return key.view(np.int64)
 
 
-def _sketches(docs: DataFrame, bag=bags) -> DataFrame:
+def _sketches(docs: DataFrame, how: Sketching) -> DataFrame:
     """node, keys, bits0, bits1 (a bit of each register) of every document that has words."""
     schema = T.StructType([T.StructField("node", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("bits0", T.LongType()), T.StructField("bits1", T.LongType())])
 
     def task(batches):
         for batch, data, offsets in kernels.slices(batches):
-            found = signatures(*bag(data, offsets), batch.num_rows)
-            full = np.flatnonzero(np.isfinite(found[:, 0]))
-            keys = band_keys(found[full])
-            bit = (kernels.mix64(found[full].view(np.uint64)) & np.uint64(1)).reshape(len(full), 2, SIGNATURE // 2)
-            packed = (bit << np.arange(SIGNATURE // 2, dtype=np.uint64)).sum(axis=2, dtype=np.uint64).view(np.int64)
-            lists = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, BANDS, dtype=np.int32), keys.ravel())
+            full, found = how.registers(*how.bag(data, offsets), batch.num_rows)
+            keys, half = band_keys(found, how.bands, how.rows), how.bands * how.rows // 2
+            bit = (kernels.mix64(found) & np.uint64(1)).reshape(len(full), 2, half)
+            packed = (bit << np.arange(half, dtype=np.uint64)).sum(axis=2, dtype=np.uint64).view(np.int64)
+            lists = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, how.bands, dtype=np.int32), keys.ravel())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(full)), lists, pa.array(packed[:, 0].copy()), pa.array(packed[:, 1].copy())], names=schema.names)
 
     return docs.select("node", "text").mapInArrow(task, schema)
@@ -155,14 +174,15 @@ def _sets(texts: DataFrame, bag=bags) -> DataFrame:
     return texts.select("node", "text").mapInArrow(task, schema)
 
 
-def near_classes(docs: DataFrame, similarity: float = SIMILARITY, rounds: int = ROUNDS, bag=bags) -> DataFrame:
-    """(node, component) of the texts that have a near duplicate; ``docs`` has node (a hash of the text) and text, ``bag`` makes the bags."""
-    sketches = checkpointed(_sketches(docs, bag).dropDuplicates(["node"]))
+def near_classes(docs: DataFrame, similarity: float = SIMILARITY, rounds: int = ROUNDS, how: Sketching = Sketching()) -> DataFrame:
+    """(node, component) of the texts that have a near duplicate; ``docs`` has node (a hash of the text) and text."""
+    bag, scratch = how.bag, Scratch(docs.sparkSession)
+    sketches = scratch.keep(_sketches(docs, how).dropDuplicates(["node"]))
     banded = sketches.select("node", F.explode("keys").alias("key"))
     leaders = banded.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader <> last").select("key", "leader")
-    members = checkpointed(banded.join(leaders, "key").select("key", "node", "leader"))
+    members = scratch.keep(banded.join(leaders, "key").select("key", "node", "leader"))
     tried = members.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-    texts = written(docs.join(members.select("node").distinct(), "node", "left_semi").select("node", "text").dropDuplicates(["node"]))
+    texts = scratch.keep(docs.join(members.select("node").distinct(), "node", "left_semi").select("node", "text").dropDuplicates(["node"]))
     found = components(_verified(tried, texts, similarity, bag), "a", "b")
 
     # The members outside a bucket's largest component meet members of it and of the second, other ones each round.
@@ -182,9 +202,11 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, rounds: int =
     differ = F.bit_count(F.col("a0").bitwiseXOR(F.col("b0"))) + F.bit_count(F.col("a1").bitwiseXOR(F.col("b1")))
     sizes = F.size("sa") + F.size("sb")
     alike = F.size(F.array_intersect("sa", "sb")) * (1 + similarity) >= similarity * sizes - 2
-    apart = a.join(b, (F.col("ka") == F.col("kb")) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (differ <= MOST_DIFFER) & alike).select("a", "b").distinct()
+    apart = a.join(b, (F.col("ka") == F.col("kb")) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (differ <= how.most_differ) & alike).select("a", "b").distinct()
     links = checkpointed(_verified(apart, texts, similarity, bag))
-    return found if links.isEmpty() else _grown(found, links)
+    found = found if links.isEmpty() else _grown(found, links)
+    scratch.drop()
+    return found
 
 
 def with_node(docs: DataFrame) -> DataFrame:
