@@ -134,12 +134,14 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def _units(keyed: DataFrame) -> DataFrame:
-    """A row for each paragraph and gram."""
+    """A row for each paragraph and gram that content cuts leave, and for each real paragraph."""
     schema = T.StructType([keyed.schema["doc_id"], keyed.schema["doc"], keyed.schema["rank"]] + [T.StructField(c, T.LongType()) for c in ("start", "end", "word", "words", "unit")])
 
     def task(batches):
         for batch, data, offsets in kernels.slices(batches, "text"):
-            text, start, end, unit, a, b, _, first = paragraphs(data, offsets)
+            *cut, _, first = paragraphs(data, offsets)
+            *real, _ = blocks(data, offsets)
+            text, start, end, unit, a, b = (np.concatenate(x) for x in zip(cut, real, strict=True))
             at, base = pa.array(text), first[text]
             yield pa.RecordBatch.from_arrays([batch.column(i).take(at) for i in range(3)] + [pa.array(x) for x in (start - offsets[text], end - offsets[text], a - base, b - a, unit.view(np.int64))], names=schema.names)
 
@@ -147,18 +149,17 @@ def _units(keyed: DataFrame) -> DataFrame:
 
 
 def _blocks(keyed: DataFrame) -> DataFrame:
-    """A row for each real paragraph, with its text."""
-    schema = T.StructType([keyed.schema["doc_id"], keyed.schema["doc"], keyed.schema["rank"]] + [T.StructField(c, T.LongType()) for c in ("start", "end", "word", "words", "unit")] + [T.StructField("text", T.StringType())])
+    """node, text of each real paragraph."""
+    schema = T.StructType([T.StructField("node", T.LongType()), T.StructField("text", T.StringType())])
 
     def task(batches):
-        for batch, data, offsets in kernels.slices(batches, "text"):
-            text, start, end, unit, a, b, first = blocks(data, offsets)
-            at, base = pa.array(text), first[text]
+        for _, data, offsets in kernels.slices(batches, "text"):
+            _, start, end, unit, *_ = blocks(data, offsets)
             raw = data.tobytes()
             spans = pa.array([raw[x:y].decode() for x, y in zip(start.tolist(), end.tolist(), strict=True)], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(i).take(at) for i in range(3)] + [pa.array(x) for x in (start - offsets[text], end - offsets[text], a - base, b - a, unit.view(np.int64))] + [spans], names=schema.names)
+            yield pa.RecordBatch.from_arrays([pa.array(unit.view(np.int64)), spans], names=schema.names)
 
-    return keyed.select("doc_id", "doc", "rank", "text").mapInArrow(task, schema)
+    return keyed.select("text").mapInArrow(task, schema)
 
 
 def _contexts(texts: DataFrame) -> DataFrame:
@@ -221,22 +222,14 @@ def paragraph_classes(docs: DataFrame, similarity: float = SIMILARITY, least_run
     are ignored. Texts are read whole, however long. An empty table gives an empty table.
     """
     keyed = _keyed(docs)
-    real = _blocks(keyed)
     # one node for each text of a paragraph, its words parted by whatever blanks
-    found = near.near_classes(real.select(F.col("unit").alias("node"), "text"), similarity, how=SKETCHING)
-    every = _units(keyed).unionByName(real.drop("text"))
-    counted = every.groupBy("unit").agg(F.min(F.struct("rank", "doc", "start", "end")).alias("place"), F.count("*").alias("n"))
-    nodes = written(
-        counted.join(found, counted["unit"] == found["node"], "left").where("n > 1 or component is not null")
-        .select("unit", "place", "n", F.coalesce("component", "unit").alias("class"), F.col("component").isNotNull().alias("linked"))
-    )
-    # A class of one unit needs no second look; only linked units are gathered by class.
-    linked = nodes.where("linked")
-    several = linked.groupBy("class").agg(F.sum("n").alias("class_size"), F.min("place").alias("first"))
-    single = nodes.where("n > 1 and not linked").select("unit", "class", F.col("n").alias("class_size"), F.col("place").alias("first"))
-    classes = linked.select("unit", "class").join(several, "class").select("unit", "class", "class_size", "first").unionByName(single)
+    found = near.near_classes(_blocks(keyed), similarity, how=SKETCHING).select(F.col("node").alias("unit"), "component")
+    every = _units(keyed)
+    kept = every.groupBy("unit").agg(F.count("*").alias("n")).join(found, "unit", "left").where("n > 1 or component is not null").select("unit", F.coalesce("component", "unit").alias("class"))
+    repeated = written(every.join(written(kept), "unit"))
+    classes = repeated.groupBy("class").agg(F.count("*").alias("class_size"), F.min(F.struct("rank", "doc", "start", "end")).alias("first"))
     same = (F.col("first.rank") == F.col("rank")) & (F.col("first.doc") == F.col("doc")) & (F.col("first.start") == F.col("start"))
-    repeated = every.join(classes, "unit").withColumn("removed", ~same)
+    repeated = repeated.join(classes, "class").withColumn("removed", ~same).drop("first", "rank")
     order = W.partitionBy("doc").orderBy("word")
     fresh = F.col("word") > F.max(F.col("word") + F.col("words")).over(order.rowsBetween(W.unboundedPreceding, -1)) + MIN_WORDS
     repeated = repeated.withColumn("__run", F.sum(F.coalesce(fresh, F.lit(False)).cast("int")).over(order))
