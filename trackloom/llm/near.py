@@ -80,13 +80,14 @@ def weighted_registers(owner: np.ndarray, shingle: np.ndarray, count: np.ndarray
 
 
 class Sketching(NamedTuple):
-    """How texts become bags and registers, how many of these make a band, and from how many different bits on a pair is not compared."""
+    """How texts become bags and registers, how many of these make a band, from how many different bits on a pair is not compared, and the bits kept of each register."""
 
     bag: Callable = bags
     registers: Callable = weighted_registers
     bands: int = BANDS
     rows: int = ROWS
     most_differ: int = MOST_DIFFER
+    bits: int = 1
 
 
 def band_keys(registers: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
@@ -98,20 +99,28 @@ def band_keys(registers: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np
     return key.view(np.int64)
 
 
+SKETCH_SCHEMA = T.StructType([T.StructField("node", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("bits0", T.LongType()), T.StructField("bits1", T.LongType())])
+
+
+def sketch_batch(node: pa.Array, found: np.ndarray, how: Sketching) -> pa.RecordBatch:
+    """The registers' band keys and bits as a batch of SKETCH_SCHEMA."""
+    keys, half = band_keys(found, how.bands, how.rows), how.bands * how.rows * how.bits // 2
+    mixed = kernels.mix64(found)
+    bit = np.concatenate([mixed >> np.uint64(k) & np.uint64(1) for k in range(how.bits)], axis=1).reshape(len(found), 2, half)
+    packed = (bit << np.arange(half, dtype=np.uint64)).sum(axis=2, dtype=np.uint64).view(np.int64)
+    lists = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, how.bands, dtype=np.int32), keys.ravel())
+    return pa.RecordBatch.from_arrays([node, lists, pa.array(packed[:, 0].copy()), pa.array(packed[:, 1].copy())], names=SKETCH_SCHEMA.names)
+
+
 def _sketches(docs: DataFrame, how: Sketching) -> DataFrame:
-    """node, keys, bits0, bits1 (a bit of each register) of every document that has words."""
-    schema = T.StructType([T.StructField("node", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("bits0", T.LongType()), T.StructField("bits1", T.LongType())])
+    """node, keys, bits0, bits1 (bits of each register) of every document that has words."""
 
     def task(batches):
         for batch, data, offsets in kernels.slices(batches):
             full, found = how.registers(*how.bag(data, offsets), batch.num_rows)
-            keys, half = band_keys(found, how.bands, how.rows), how.bands * how.rows // 2
-            bit = (kernels.mix64(found) & np.uint64(1)).reshape(len(full), 2, half)
-            packed = (bit << np.arange(half, dtype=np.uint64)).sum(axis=2, dtype=np.uint64).view(np.int64)
-            lists = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, how.bands, dtype=np.int32), keys.ravel())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(full)), lists, pa.array(packed[:, 0].copy()), pa.array(packed[:, 1].copy())], names=schema.names)
+            yield sketch_batch(batch.column(0).take(pa.array(full)), found, how)
 
-    return docs.select("node", "text").mapInArrow(task, schema)
+    return docs.select("node", "text").mapInArrow(task, SKETCH_SCHEMA)
 
 
 def overlaps(texts_a: pa.Array, texts_b: pa.Array, bag=bags) -> np.ndarray:
@@ -176,8 +185,13 @@ def _sets(texts: DataFrame, bag=bags) -> DataFrame:
 
 def near_classes(docs: DataFrame, similarity: float = SIMILARITY, rounds: int = ROUNDS, how: Sketching = Sketching()) -> DataFrame:
     """(node, component) of the texts that have a near duplicate; ``docs`` has node (a hash of the text) and text."""
+    return classes_of(_sketches(docs, how), docs, similarity, rounds, how)
+
+
+def classes_of(sketches: DataFrame, docs: DataFrame, similarity: float = SIMILARITY, rounds: int = ROUNDS, how: Sketching = Sketching()) -> DataFrame:
+    """The same, of nodes whose sketches are given."""
     bag, scratch = how.bag, Scratch(docs.sparkSession)
-    sketches = scratch.keep(_sketches(docs, how).dropDuplicates(["node"]))
+    sketches = scratch.keep(sketches.dropDuplicates(["node"]))
     banded = sketches.select("node", F.explode("keys").alias("key"))
     leaders = banded.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader <> last").select("key", "leader")
     members = scratch.keep(banded.join(leaders, "key").select("key", "node", "leader"))

@@ -14,6 +14,8 @@ MinHash and exact Jaccard similarity, but over sets of shingles. The paragraphs
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernels, near
-from .common import id_key, text_or_empty, written
+from .common import Scratch, id_key, text_or_empty, written
 
 REACH, MIN_WORDS, SHINGLE, SIMILARITY = 20, 8, 5, 0.8
 #: Words of the gram that starts at each cut. Equal passages of REACH + GRAM - 1 = 50 words share a cut among their first REACH words, so that gram.
@@ -34,67 +36,73 @@ EXTEND = REACH - 1
 LEAST_RUN = 12
 #: Longest paragraph that content cuts leave where a text has no lines; half of it on average.
 BLOCK = 200
-#: Recall of a pair at 0.8: 1 - (1 - 0.8 ** 4) ** 12 > 0.998.
-BANDS, ROWS = 12, 4
+#: Recall of a pair at 0.8: 1 - (1 - 0.8 ** 3) ** 8 > 0.996.
+BANDS, ROWS = 8, 3
 #: A hash function each: shingles are mixed already, so that the high bits of their products by odd numbers are as good as drawn.
 FACTORS = np.random.default_rng(1).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def paragraphs(data: np.ndarray, offsets: np.ndarray):
-    """(text, start byte, end byte, hash, first word, end word) of all paragraphs of MIN_WORDS words or more and all grams, the words' hashes, and each text's first word."""
-    starts, ends = kernels.words(data, offsets)
-    n = len(starts)
+class Words(NamedTuple):
+    """The words of many texts: start and end bytes, the text of each, hashes, the hashes' prefix sums, and each text's first word."""
+
+    starts: np.ndarray
+    ends: np.ndarray
+    owner: np.ndarray
+    hashes: np.ndarray
+    sums: np.ndarray
+    first: np.ndarray
+
+    @classmethod
+    def of(cls, data: np.ndarray, offsets: np.ndarray) -> Words:
+        starts, ends = kernels.words(data, offsets)
+        hashes = kernels.span_hash(kernels.prefix_sums(data), starts, ends)
+        return cls(starts, ends, kernels.text_index(starts, offsets), hashes, kernels.prefix_sums(hashes), np.searchsorted(starts, offsets[:-1]))
+
+    def pairs(self) -> np.ndarray:
+        return kernels.mix64(self.hashes * np.uint64(0x9E3779B97F4A7C15) + np.append(self.hashes[1:], np.uint64(0)))
+
+
+def paragraphs(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first word, end word, hash) of all paragraphs cut by content, of MIN_WORDS words or more, and of all grams."""
+    n = len(w.starts)
     if not n:
-        z = np.zeros(0, np.int64)
-        return z, z, z, z.view(np.uint64), z, z, z.view(np.uint64), z
-    owner = kernels.text_index(starts, offsets)
-    word = kernels.span_hash(kernels.prefix_sums(data), starts, ends)
-    pair = kernels.mix64(word * np.uint64(0x9E3779B97F4A7C15) + np.append(word[1:], np.uint64(0)))
+        return w.first[:0], w.first[:0], w.hashes
     cut = np.zeros(n + 1, bool)
-    cut[np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))] = True
+    cut[np.flatnonzero(np.append(True, w.owner[1:] != w.owner[:-1]))] = True
     cut[n] = True
     if n >= REACH:
-        inside = owner[: n - REACH + 1] == owner[REACH - 1 :]
-        cut[np.unique(kernels.least_at(pair, REACH)[inside])] = True
+        inside = w.owner[: n - REACH + 1] == w.owner[REACH - 1 :]
+        cut[np.unique(kernels.least_at(w.pairs(), REACH)[inside])] = True
     edges = np.flatnonzero(cut)
     a, b = edges[:-1], edges[1:]
     long = b - a >= MIN_WORDS
-    last = np.searchsorted(owner, owner[a], "right")
-    gram = a[a + GRAM <= last]
+    gram = a[a + GRAM <= np.append(w.first[1:], n)[w.owner[a]]]
     a, b = np.concatenate((a[long], gram)), np.concatenate((b[long], gram + GRAM))
-    order = np.lexsort((b, a))
-    a, b = a[order], b[order]
-    first = np.searchsorted(starts, offsets[:-1])
-    return owner[a], starts[a], ends[b - 1], kernels.span_hash(kernels.prefix_sums(word), a, b), a, b, word, first
+    return a, b, kernels.span_hash(w.sums, a, b)
 
 
-def blocks(data: np.ndarray, offsets: np.ndarray):
-    """(text, start byte, end byte, hash, first word, end word) of the real paragraphs of MIN_WORDS words or more, and each text's first word.
+def real_paragraphs(data: np.ndarray, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first word, end word, hash) of the real paragraphs of MIN_WORDS words or more, in order.
 
     Paragraphs are parted by blank lines, in a text without blank lines by line ends. A text without either, and also
     what lies within a paragraph of more than ``2 * BLOCK`` words, is cut by content, as above but over ``BLOCK`` words.
     """
-    starts, ends = kernels.words(data, offsets)
-    n = len(starts)
+    starts, owner, n = w.starts, w.owner, len(w.starts)
     if not n:
-        z = np.zeros(0, np.int64)
-        return z, z, z, z.view(np.uint64), z, z, z
-    owner = kernels.text_index(starts, offsets)
-    word = kernels.span_hash(kernels.prefix_sums(data), starts, ends)
+        return w.first[:0], w.first[:0], w.hashes
     lines = np.append(0, np.cumsum(data == 10))
     new = np.append(True, owner[1:] != owner[:-1])
-    gap = np.where(new, 0, lines[starts] - lines[np.append(0, ends[:-1])])
-    most = np.zeros(len(offsets), np.int64)
+    gap = np.where(new, 0, lines[starts] - lines[np.append(0, w.ends[:-1])])
+    most = np.zeros(len(w.first), np.int64)
     np.maximum.at(most, owner, gap)
     edge = np.append(new | (gap >= 1) & (gap >= np.minimum(most[owner], 2)), True)
     at = np.flatnonzero(edge)
     a, b = at[:-1], at[1:]
     bare, long = most[owner[a]] == 0, b - a > 2 * BLOCK
-    if n >= BLOCK:
-        pair = kernels.mix64(word * np.uint64(0x9E3779B97F4A7C15) + np.append(word[1:], np.uint64(0)))
+    if n >= BLOCK and (bare | long).any():
         group = np.cumsum(edge[:-1])
         inside = (group[: n - BLOCK + 1] == group[BLOCK - 1 :]) & np.repeat(bare | long, b - a)[: n - BLOCK + 1]
-        edge[np.unique(kernels.least_at(pair, BLOCK)[inside])] = True
+        edge[np.unique(kernels.least_at(w.pairs(), BLOCK)[inside])] = True
         whole = ~bare | (np.add.reduceat(edge[:-1].astype(np.int64), a) == 1)
         a, b = a[whole], b[whole]
         at = np.flatnonzero(edge)
@@ -104,8 +112,21 @@ def blocks(data: np.ndarray, offsets: np.ndarray):
         a, b = a[order], b[order]
     enough = b - a >= MIN_WORDS
     a, b = a[enough], b[enough]
-    first = np.searchsorted(starts, offsets[:-1])
-    return owner[a], starts[a], ends[b - 1], kernels.mix64(kernels.span_hash(kernels.prefix_sums(word), a, b) + np.uint64(1)), a, b, first
+    return a, b, kernels.mix64(kernels.span_hash(w.sums, a, b) + np.uint64(1))
+
+
+def blocks(data: np.ndarray, offsets: np.ndarray):
+    """(text, start byte, end byte, hash, first word, end word) of the real paragraphs, and each text's first word."""
+    w = Words.of(data, offsets)
+    a, b, unit = real_paragraphs(data, w)
+    return w.owner[a], w.starts[a], w.ends[b - 1], unit, a, b, w.first
+
+
+def spread(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All places of the spans [a, b), which may overlap, and the span of each place."""
+    size = b - a
+    whose = np.repeat(np.arange(len(a)), size)
+    return np.arange(len(whose)) - np.repeat(np.cumsum(size) - size, size) + a[whose], whose
 
 
 def min_hashes(owner: np.ndarray, shingle: np.ndarray, count: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -124,28 +145,44 @@ def shingle_set(data: np.ndarray, offsets: np.ndarray):
     return owner, shingle, np.ones_like(count)
 
 
-#: At a similarity of 0.8 a pair differs in 5 of 48 bits with a deviation of 2: in more than 15 by chance in 1 of 100,000 pairs.
-SKETCHING = near.Sketching(shingle_set, min_hashes, BANDS, ROWS, 15)
+#: At a similarity of 0.8 a pair differs in 5 of 48 bits on average: in more than 15 by chance in fewer than 1 of 100,000 pairs.
+SKETCHING = near.Sketching(shingle_set, min_hashes, BANDS, ROWS, 15, bits=2)
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
     text = text_or_empty()
-    return docs.select("doc_id", F.xxhash64("doc_id", text).alias("doc"), id_key(docs).alias("rank"), text.alias("text"))
+    return docs.select("doc_id", F.xxhash64("doc_id", text).alias("doc"), text.alias("text"))
 
 
 def _units(keyed: DataFrame) -> DataFrame:
     """A row for each paragraph and gram that content cuts leave, and for each real paragraph."""
-    schema = T.StructType([keyed.schema["doc_id"], keyed.schema["doc"], keyed.schema["rank"]] + [T.StructField(c, T.LongType()) for c in ("start", "end", "word", "words", "unit")])
+    schema = T.StructType([keyed.schema["doc_id"], keyed.schema["doc"]] + [T.StructField(c, T.IntegerType()) for c in ("start", "end", "word", "words")] + [T.StructField("unit", T.LongType())])
 
     def task(batches):
         for batch, data, offsets in kernels.slices(batches, "text"):
-            *cut, _, first = paragraphs(data, offsets)
-            *real, _ = blocks(data, offsets)
-            text, start, end, unit, a, b = (np.concatenate(x) for x in zip(cut, real, strict=True))
-            at, base = pa.array(text), first[text]
-            yield pa.RecordBatch.from_arrays([batch.column(i).take(at) for i in range(3)] + [pa.array(x) for x in (start - offsets[text], end - offsets[text], a - base, b - a, unit.view(np.int64))], names=schema.names)
+            w = Words.of(data, offsets)
+            a, b, unit = (np.concatenate(x) for x in zip(paragraphs(w), real_paragraphs(data, w), strict=True))
+            text = w.owner[a]
+            at = pa.array(text)
+            whole = (w.starts[a] - offsets[text], w.ends[b - 1] - offsets[text], a - w.first[text], b - a)
+            yield pa.RecordBatch.from_arrays([batch.column(i).take(at) for i in range(2)] + [pa.array(x.astype(np.int32)) for x in whole] + [pa.array(unit.view(np.int64))], names=schema.names)
+
+    return keyed.select("doc_id", "doc", "text").mapInArrow(task, schema)
+
 
-    return keyed.select("doc_id", "doc", "rank", "text").mapInArrow(task, schema)
+def _sketches(keyed: DataFrame) -> DataFrame:
+    """node and sketch of each real paragraph, straight from the documents."""
+
+    def task(batches):
+        for _, data, offsets in kernels.slices(batches, "text"):
+            w = Words.of(data, offsets)
+            a, b, unit = real_paragraphs(data, w)
+            at, whose = spread(a, b)
+            shingle, owner = kernels.shingles(w.hashes[at], whose, SHINGLE)
+            full, found = min_hashes(owner, shingle, shingle, len(a))
+            yield near.sketch_batch(pa.array(unit.view(np.int64)[full]), found, SKETCHING)
+
+    return keyed.select("text").mapInArrow(task, near.SKETCH_SCHEMA)
 
 
 def _blocks(keyed: DataFrame) -> DataFrame:
@@ -155,22 +192,21 @@ def _blocks(keyed: DataFrame) -> DataFrame:
     def task(batches):
         for _, data, offsets in kernels.slices(batches, "text"):
             _, start, end, unit, *_ = blocks(data, offsets)
-            raw = data.tobytes()
-            spans = pa.array([raw[x:y].decode() for x, y in zip(start.tolist(), end.tolist(), strict=True)], pa.string())
+            raw = pa.py_buffer(data[spread(start, end)[0]].tobytes())
+            spans = pa.StringArray.from_buffers(len(start), pa.py_buffer(np.append(0, np.cumsum(end - start)).astype(np.int32).tobytes()), raw)
             yield pa.RecordBatch.from_arrays([pa.array(unit.view(np.int64)), spans], names=schema.names)
 
     return keyed.select("text").mapInArrow(task, schema)
 
 
 def _contexts(texts: DataFrame) -> DataFrame:
-    """(doc, text, wanted places) -> for each place and side the keys and outer bytes of its contexts of 1, 2, ... EXTEND words; own marks ends of runs."""
-    schema = T.StructType([T.StructField(c, T.LongType()) for c in ("doc", "unit", "word", "words")] + [T.StructField(c, T.BooleanType()) for c in ("left", "own")] + [T.StructField(c, T.ArrayType(T.LongType())) for c in ("keys", "bytes")])
+    """(doc, text, wanted places) -> for each place and side the keys of its contexts of 1, 2, ... EXTEND words; at ends of runs (own) also the bytes by which each context is longer than the place."""
+    schema = T.StructType([T.StructField("doc", T.LongType())] + [T.StructField(c, T.IntegerType()) for c in ("word", "words")] + [T.StructField(c, T.BooleanType()) for c in ("left", "own")] + [T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("bytes", T.ArrayType(T.IntegerType()))])
 
     def task(batches):
         for batch, data, offsets in kernels.slices(batches, "text"):
-            starts, ends = kernels.words(data, offsets)
-            sums = kernels.prefix_sums(kernels.span_hash(kernels.prefix_sums(data), starts, ends))
-            first = np.searchsorted(starts, offsets)
+            w = Words.of(data, offsets)
+            first = np.append(w.first, len(w.starts))
             wanted = batch.column(2)
             text = np.repeat(np.arange(batch.num_rows), pc.list_value_length(wanted).to_numpy(zero_copy_only=False))
             place = wanted.flatten()
@@ -178,62 +214,114 @@ def _contexts(texts: DataFrame) -> DataFrame:
             for side in ("left", "right"):
                 use = np.flatnonzero(get(side))
                 unit, word, words, own, row = get("unit")[use], get("word")[use], get("words")[use], get(f"own_{side}")[use], text[use]
-                at = (first[row] + word + (words if side == "right" else 0))[:, None]
+                begin, stop = first[row] + word, first[row] + word + words
+                at = (begin if side == "left" else stop)[:, None]
                 k = np.arange(1, EXTEND + 1)
                 a, b = (at - k, at + 0 * k) if side == "left" else (at + 0 * k, at + k)
                 inside = (a >= first[row][:, None]) & (b <= first[row + 1][:, None])
-                count = np.append(0, np.cumsum(inside.sum(axis=1))).astype(np.int32)
                 a, b = a[inside], b[inside]
-                whose = np.repeat(np.arange(len(use)), np.diff(count))
+                whose = np.repeat(np.arange(len(use)), inside.sum(axis=1))
                 salt = unit.view(np.uint64)[whose] * np.uint64(0x9E3779B97F4A7C15) + np.uint64(side == "left")
-                keys = kernels.mix64(kernels.span_hash(sums, a, b) ^ kernels.mix64(salt)).view(np.int64)
-                outer = (starts[a] if side == "left" else ends[b - 1]) - offsets[row][whose]
-                lists = [pa.ListArray.from_arrays(pa.array(count), pa.array(x)) for x in (keys, outer)]
-                columns = [batch.column(0).take(pa.array(row)), pa.array(unit), pa.array(word), pa.array(words), pa.array(np.full(len(use), side == "left")), pa.array(own)]
+                keys = kernels.mix64(kernels.span_hash(w.sums, a, b) ^ kernels.mix64(salt)).view(np.int64)
+                more = w.starts[begin][whose] - w.starts[a] if side == "left" else w.ends[b - 1] - w.ends[stop - 1][whose]
+                listed = lambda of, x: pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.bincount(whose[of], minlength=len(use)))).astype(np.int32)), pa.array(x[of]))  # noqa: B023, E731
+                lists = [listed(np.ones(len(whose), bool), keys), listed(own[whose].astype(bool), more.astype(np.int32))]
+                columns = [batch.column(0).take(pa.array(row)), pa.array(word.astype(np.int32)), pa.array(words.astype(np.int32)), pa.array(np.full(len(use), side == "left")), pa.array(own.astype(bool))]
                 yield pa.RecordBatch.from_arrays(columns + lists, names=schema.names)
 
     return texts.select("doc", "text", "w").mapInArrow(task, schema)
 
 
-def _extended(repeated: DataFrame, keyed: DataFrame) -> DataFrame:
-    """``repeated`` with its runs' outermost rows grown to the ends of what another occurrence shares, and ``__span``, the words of the run then."""
-    run = W.partitionBy("doc", "__run")
-    end = F.col("word") + F.col("words")
-    repeated = written(repeated.withColumns({"own_left": F.col("word") == F.min("word").over(run), "own_right": end == F.max(end).over(run)}))
-    edge = repeated.where("own_left or own_right").groupBy("unit").agg(F.max("own_left").alias("left"), F.max("own_right").alias("right"))
-    places = repeated.join(edge, "unit").groupBy("doc").agg(F.collect_set(F.struct("unit", "word", "words", "left", "right", "own_left", "own_right")).alias("w"))
-    contexts = written(_contexts(keyed.select("doc", "text").join(places, "doc")))
+def _runs(doc: np.ndarray, word: np.ndarray, words: np.ndarray, exact: np.ndarray):
+    """(run within the text, at its left end, at its right end, covered by a gram) of rows in order of text and word."""
+    end = word.astype(np.int64) + words
+    new = np.append(True, doc[1:] != doc[:-1])
+    base = np.cumsum(new) << 32  # so that what lies before a text does not reach into it
+    reach = np.maximum.accumulate(base + end)
+    cut = new | np.append(True, (base + word)[1:] > reach[:-1] + MIN_WORDS)
+    at, run = np.flatnonzero(cut), np.cumsum(cut) - 1
+    gram = np.maximum.accumulate(np.where(words >= GRAM, base + end, -1))
+    tie = new | np.append(True, word[1:] != word[:-1])
+    gram = gram[np.append(np.flatnonzero(tie)[1:], len(doc))[np.cumsum(tie) - 1] - 1]
+    in_text = run - run[np.flatnonzero(new)][np.cumsum(new) - 1]
+    return in_text, word == word[at][run], end == np.maximum.reduceat(end, at)[run], (words < GRAM) & exact & (gram >= base + end)
+
+
+def _marked(repeated: DataFrame) -> DataFrame:
+    """``repeated`` by text and word, with run, own_left, own_right and covered."""
+    schema = T.StructType(repeated.schema.fields + [T.StructField("run", T.IntegerType())] + [T.StructField(c, T.BooleanType()) for c in ("own_left", "own_right", "covered")])
+
+    def task(batches):
+        def marks(t):
+            doc, word, words, unit, group = (t.column(c).to_numpy() for c in ("doc", "word", "words", "unit", "class"))
+            run, *rest = _runs(doc, word, words, unit == group)
+            for name, x in zip(schema.names[-4:], (run.astype(np.int32), *rest), strict=True):
+                t = t.append_column(name, pa.array(x))
+            return t.to_batches()
+
+        held = []  # rows of the last text seen, which may go on
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            doc = batch.column("doc").to_numpy()
+            change = np.flatnonzero(doc[1:] != doc[:-1])
+            if held and held[0].column("doc")[0].as_py() != int(doc[0]):
+                yield from marks(pa.Table.from_batches(held))
+                held = []
+            if len(change):
+                k = int(change[-1]) + 1
+                yield from marks(pa.Table.from_batches([*held, batch.slice(0, k)]))
+                held, batch = [], batch.slice(k)
+            held.append(batch)
+        if held:
+            yield from marks(pa.Table.from_batches(held))
+
+    return repeated.repartition("doc").sortWithinPartitions("doc", "word").mapInArrow(task, schema)
+
+
+def _grown(marked: DataFrame, keyed: DataFrame, scratch: Scratch) -> DataFrame:
+    """doc, grown: for (word, words) of the outermost rows of runs the words and bytes (in one number) by which another occurrence lets them grow to the left and right."""
+    edge = marked.where("not covered and (own_left or own_right)").groupBy("unit").agg(F.max("own_left").alias("left"), F.max("own_right").alias("right"))
+    places = marked.join(edge, "unit").groupBy("doc").agg(F.collect_set(F.struct("unit", "word", "words", "left", "right", "own_left", "own_right")).alias("w"))
+    contexts = scratch.keep(_contexts(keyed.select("doc", "text").join(places, "doc")))
     shared = contexts.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-    own = contexts.where("own").select("doc", "unit", "word", "words", "left", F.posexplode(F.arrays_zip("keys", "bytes")).alias("k", "x"))
-    own = own.select("doc", "unit", "word", "words", "left", (F.col("k") + 1).alias("k"), F.col("x.keys").alias("key"), F.col("x.bytes").alias("byte"))
-    side = lambda left: F.max(F.when(F.col("left") == left, F.struct("k", "byte")))
-    grown = own.join(shared, "key").groupBy("doc", "unit", "word", "words").agg(side(True).alias("__l"), side(False).alias("__r"))
-    out = repeated.join(grown, ["doc", "unit", "word", "words"], "left")
-    out = out.withColumns({"start": F.coalesce("__l.byte", "start"), "end": F.coalesce("__r.byte", "end"), "__k": F.coalesce("__l.k", F.lit(0)), "__m": F.coalesce("__r.k", F.lit(0))})
-    out = out.withColumns({"word": F.col("word") - F.col("__k"), "words": F.col("words") + F.col("__k") + F.col("__m")}).drop("__l", "__r", "__k", "__m", "own_left", "own_right")
-    return out.withColumn("__span", F.max(end).over(run) - F.min("word").over(run))
+    own = contexts.where("own").select("doc", "word", "words", "left", F.posexplode(F.arrays_zip("keys", "bytes")).alias("k", "x"))
+    own = own.select("doc", "word", "words", "left", F.col("x.keys").alias("key"), F.expr("shiftleft(cast(k + 1 as bigint), 32) + x.bytes").alias("by"))
+    side = lambda left: F.coalesce(F.max(F.when(F.col("left") == left, F.col("by"))), F.lit(0))
+    rows = own.join(shared, "key").groupBy("doc", "word", "words").agg(side(True).alias("l"), side(False).alias("r"))
+    return rows.groupBy("doc").agg(F.map_from_entries(F.collect_list(F.struct(F.struct("word", "words"), F.struct("l", "r")))).alias("grown"))
 
 
 def paragraph_classes(docs: DataFrame, similarity: float = SIMILARITY, least_run: int = LEAST_RUN) -> DataFrame:
     """A row for each paragraph or gram that has a near or equal one: doc_id, doc, start, end, words, unit, class, class_size, removed.
 
-    start and end are bytes of the UTF-8 text, after extension at the ends of a run. ``removed`` is false for the first of each class (by id, null last, then text and place). Null,
-    empty and short texts have no paragraph; rows that repeat an id and a text have the same places twice. Ids may be of any type. Other columns
+    start and end are bytes of the UTF-8 text, after extension at the ends of a run. ``removed`` is false for the first of each class (by id, null last, then text and place).
+    A paragraph of fewer than GRAM words that is only repeated word for word and lies within a repeated gram of its text has no row, since the gram's says as much; it counts in class_size.
+    Null, empty and short texts have no paragraph; rows that repeat an id and a text have the same places twice. Ids may be of any type. Other columns
     are ignored. Texts are read whole, however long. An empty table gives an empty table.
     """
     keyed = _keyed(docs)
     # one node for each text of a paragraph, its words parted by whatever blanks
-    found = near.near_classes(_blocks(keyed), similarity, how=SKETCHING).select(F.col("node").alias("unit"), "component")
+    found = near.classes_of(_sketches(keyed), _blocks(keyed), similarity, how=SKETCHING).select(F.col("node").alias("unit"), "component")
     every = _units(keyed)
-    kept = every.groupBy("unit").agg(F.count("*").alias("n")).join(found, "unit", "left").where("n > 1 or component is not null").select("unit", F.coalesce("component", "unit").alias("class"))
-    repeated = written(every.join(written(kept), "unit"))
-    classes = repeated.groupBy("class").agg(F.count("*").alias("class_size"), F.min(F.struct("rank", "doc", "start", "end")).alias("first"))
-    same = (F.col("first.rank") == F.col("rank")) & (F.col("first.doc") == F.col("doc")) & (F.col("first.start") == F.col("start"))
-    repeated = repeated.join(classes, "class").withColumn("removed", ~same).drop("first", "rank")
-    order = W.partitionBy("doc").orderBy("word")
-    fresh = F.col("word") > F.max(F.col("word") + F.col("words")).over(order.rowsBetween(W.unboundedPreceding, -1)) + MIN_WORDS
-    repeated = repeated.withColumn("__run", F.sum(F.coalesce(fresh, F.lit(False)).cast("int")).over(order))
-    return _extended(repeated, keyed).where(F.col("__span") >= least_run).select("doc_id", "doc", "start", "end", "words", "unit", "class", "class_size", "removed")
+    scratch = Scratch(docs.sparkSession)
+    kept = scratch.keep(every.groupBy("unit").agg(F.count("*").alias("n")).join(found, "unit", "left").where("n > 1 or component is not null").select("unit", F.coalesce("component", "unit").alias("class"), "n"))
+    sizes = written(kept.groupBy("class").agg(F.sum("n").alias("class_size")))
+    marked = written(_marked(scratch.keep(every.join(kept.select("unit", "class"), "unit"))))
+    scratch.drop()
+    grown = written(_grown(marked, keyed, scratch))
+    scratch.drop()
+    rank = id_key(marked)
+    first = marked.groupBy("class").agg(F.min(F.struct(rank.alias("rank"), "doc", "start", "end")).alias("first"))
+    out = marked.where("not covered").join(sizes.join(first, "class"), "class")
+    same = (F.col("first.rank") == rank) & (F.col("first.doc") == F.col("doc")) & (F.col("first.start") == F.col("start"))
+    out = out.withColumn("removed", ~same).drop("first").join(grown, "doc", "left").withColumn("by", F.col("grown")[F.struct("word", "words")]).drop("grown")
+    end, run = F.col("word") + F.col("words"), W.partitionBy("doc", "run")
+    size, by = lambda c: F.coalesce(F.shiftright(f"by.{c}", 32), F.lit(0)).cast("int"), lambda c: F.coalesce(F.col(f"by.{c}").bitwiseAND(F.lit(0xFFFFFFFF)), F.lit(0))
+    left, right = F.col("own_left").cast("int"), F.col("own_right").cast("int")
+    out = out.withColumns({"start": F.col("start") - left * by("l"), "end": F.col("end") + right * by("r"), "word": F.col("word") - left * size("l"), "words": F.col("words") + left * size("l") + right * size("r")})
+    out = out.withColumn("span", F.max(end).over(run) - F.min("word").over(run)).where(F.col("span") >= least_run)
+    return out.select("doc_id", "doc", *(F.col(c).cast("long").alias(c) for c in ("start", "end", "words")), "unit", "class", "class_size", "removed")
 
 
 def op1_passages(spark, sf_dir):
