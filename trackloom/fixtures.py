@@ -223,3 +223,93 @@ BOARD_SIZE = (1280, 1024)
 def from_lineitem(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
     return spark.sql(text.replace("from lineitem", "from {lineitem}"), lineitem=rows)
+
+
+# A studio: recordings and cameras known by name, a walker who swings arms and legs, and clocks that differ from recording to recording.
+STUDIO_CAMERAS = ["cam1", "cam3", "cam4"]
+#: How far each joint goes along x with the swing of the arms, and of the legs.
+ARMS = [{7: 0.12, 8: -0.12, 9: 0.2, 10: -0.2}.get(j, 0.0) for j in range(23)]
+LEGS = [{13: -0.1, 14: 0.1, **dict.fromkeys((15, 17, 18, 19), -0.2), **dict.fromkeys((16, 20, 21, 22), 0.2)}.get(j, 0.0) for j in range(23)]
+RECORDING = "concat('take-', lpad(cast(event_id DIV 1000 as varchar(9)), 4, '0'))"
+#: Offsets are whole thirtieths of a second, other ones in each recording.
+OFFSET = f"(case cam when 0 then {number(0.0)} when 1 then cast((event_id DIV 1000 * 3) % 13 - 6 as double) / 30 else cast((event_id DIV 1000 * 5) % 17 - 8 as double) / 30 end)"
+#: Frames that a camera lost.
+LOST = "(i * 7 + cam * 13) % 97 < 2 or (cam = 1 and i between 300 and 320)"
+CLOCK = "cast(i as double) / 15 + cast((event_id + 3 * cam) % 7 as double) / 1000"
+#: The hole in the walker's boxes, after which the tracker gave another number.
+HOLE = "i between 500 and 509"
+
+
+def wave(s: str, period: float) -> str:
+    """A smooth wave of height 1 by parabolas."""
+    x = f"(2 * ({s} / {number(period)} - floor({s} / {number(period)})) - 1)"
+    return f"(4 * {x} * (1 - abs({x})))"
+
+
+def swing(s: str) -> tuple[str, str, str, str]:
+    """SQL for the walker's place on the floor and the swings of arms and legs at time ``s`` of the first camera's clock."""
+    return (
+        f"({number(0.9)} * {wave(s, 29.0)})", f"({number(0.7)} * {wave(s, 19.3)})",
+        f"({wave(s, 1.25)} * ({number(0.6)} + {number(0.4)} * {wave(s, 7.3)}))", f"({wave(s, 1.1)} * ({number(0.6)} + {number(0.4)} * {wave(s, 5.9)}))",
+    )
+
+
+def studio_frames_sql(engine: str) -> str:
+    """recording, cam (0, 1, 2), i, t (the camera's clock), s (the first camera's) of every frame that was kept."""
+    cams = f"select explode(sequence(0, {CAMERAS - 1})) as cam" if engine == "spark" else f"select cast(range as int) as cam from range({CAMERAS})"
+    return sql(f"select {RECORDING} as recording, event_id DIV 1000 as take, cam, i, {CLOCK} + {OFFSET} as t, {CLOCK} as s from (select event_id, cast(event_id % 1000 as int) as i from events) f cross join ({cams}) c where not ({LOST})", engine)
+
+
+def studio_offsets_sql(engine: str) -> str:
+    """recording, cam (a name), offset_s."""
+    cams = f"select explode(sequence(1, {CAMERAS - 1})) as cam" if engine == "spark" else f"select cast(range as int) as cam from range(1, {CAMERAS})"
+    return sql(f"select distinct {RECORDING} as recording, case cam {' '.join(f'when {c} then {n!r}' for c, n in enumerate(STUDIO_CAMERAS))} end as cam, {OFFSET} as offset_s from events cross join ({cams}) c", engine)
+
+
+def _studio_camera() -> str:
+    return "element_at(array(" + ", ".join(map(repr, STUDIO_CAMERAS)) + "), cam + 1)"
+
+
+def studio_keypoints(spark: SparkSession, sf_dir: str, damage: bool = True) -> DataFrame:
+    """recording, cam (names), t, u, v, conf: the packed keypoints. With ``damage``: outlier views in the third camera and swapped arms in the second."""
+    names = [f"r{i}{j}" for i in range(3) for j in range(3)] + ["t0", "t1", "t2"]
+    values = ", ".join("(" + ", ".join([str(c), *[number(v) for row in r for v in row], *map(number, t)]) + ")" for c, (r, t) in enumerate(POSES))
+    poses = f"select * from (values {values}) as p(camera, {', '.join(names)})"
+    body = [f"array({', '.join(number(b[k]) for b in BODY)})" for k in range(3)]
+    arms, legs = (f"array({', '.join(map(number, x))})" for x in (ARMS, LEGS))
+    swap = ", ".join(str(_SWAP.get(j, j)) for j in range(23))
+    places = f"if(cam = 1 and i % 250 between 20 and 59, array({swap}), sequence(0, 22))" if damage else "sequence(0, 22)"
+    shift = f"if(cam = 2 and i % 50 = 7, {number(80.0)}, {number(0.0)})" if damage else number(0.0)
+    k1, k2, k3, k4 = map(number, DISTORTION)
+    row = "(r{0}0 * p.x + r{0}1 * p.y + r{0}2 * p.z + t{0})"
+    x, y, arm, leg = swing("s")
+    steps = [
+        f"select f.*, {places} as places, {shift} as shift, {x} as dx, {y} as dy, {arm} as arm, {leg} as leg, {', '.join(names)} from ({studio_frames_sql('spark')}) f join ({poses}) p on camera = cam",
+        f"select *, transform(places, j -> named_struct('x', get({body[0]}, j) + dx + arm * get({arms}, j) + leg * get({legs}, j), 'y', get({body[1]}, j) + dy, 'z', get({body[2]}, j))) as points from ({{}}) s0",
+        f"select *, transform(points, p -> named_struct('a', {row.format(0)} / {row.format(2)}, 'b', {row.format(1)} / {row.format(2)})) as flat from ({{}}) s1",
+        "select *, transform(flat, q -> sqrt(q.a * q.a + q.b * q.b)) as radii from ({}) s2",
+        "select *, transform(radii, r -> atan(r)) as angles, transform(radii, r -> atan(r) * atan(r)) as squares from ({}) s3",
+        f"select *, transform(squares, (s, k) -> get(angles, k) * (1 + {k1} * s + {k2} * s * s + {k3} * s * s * s + {k4} * s * s * s * s) / get(radii, k)) as scales from ({{}}) s4",
+        f"""select recording, {_studio_camera()} as cam, t, zip_with(flat, scales, (q, s) -> {number(FOCAL)} * q.a * s + {number(CX)} + shift) as u, zip_with(flat, scales, (q, s) -> {number(FOCAL)} * q.b * s + {number(CY)} + shift) as v,
+            transform(sequence(0, 22), joint -> cast(0.6 as double) + cast((i * 7 + joint * 3 + take) % 40 as double) / 100) as conf from ({{}}) s5""",
+    ]
+    text = steps[0]
+    for step in steps[1:]:
+        text = step.replace("{}", text)
+    return from_events(spark, sf_dir, text)
+
+
+def studio_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """recording, cam (names), t, frame_index, track_id, x1, y1, x2, y2, score: the walker, whose number changes after a hole, and a sitter, of whom each camera sees another part."""
+    u, v = _fisheye("a", "b")
+    x, y, _, _ = swing("s")
+    x, y, zero = f"(if(kind = 0, {x}, {number(-1.0)} + cast(i % 3 as double) / 300))", f"(if(kind = 0, {y}, {number(1.0)}))", number(0.0)
+    depth = _camera("2", x, y, zero)
+    return from_events(
+        spark, sf_dir,
+        f"""
+        select recording, {_studio_camera()} as cam, t, cast(i as bigint) as frame_index, track_id, foot_u - 40 as x1, foot_v - 200 as y1, foot_u + 40 as x2, foot_v as y2, score from (
+          select recording, cam, i, t, if(kind = 1, element_at(array(2, 4, 7), cam + 1), element_at(array(5, 3, 9), cam + 1) + if(i >= 510, 100, 0)) as track_id, {u} as foot_u, {v} - if(kind = 1, cast(90 + 40 * cam as double), {zero}) as foot_v, cast(0.5 as double) + cast(i % 50 as double) / 100 as score
+          from (select f.*, k.kind, {_camera("0", x, y, zero)} / {depth} as a, {_camera("1", x, y, zero)} / {depth} as b from ({studio_frames_sql("spark")}) f cross join (select explode(sequence(0, 1)) as kind) k) w
+          where kind = 1 or not ({HOLE})) r""",
+    )

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import io
+import tempfile
+import uuid
 
 import numpy as np
 import pandas as pd
@@ -103,3 +105,17 @@ def write_wide_csv(df: DataFrame, path: str) -> None:
 
 def write_rig(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
+
+
+def board_points(views: DataFrame) -> DataFrame:
+    """Packed board views as the calibration operators take them: recording, cam, view, t, frame_index, sharpness, point_id, u, v; a row for each corner."""
+    rows = views.select("recording", "cam", "view", "t", "frame_index", "sharpness", F.explode(F.arrays_zip("ids", "u", "v")).alias("p"))
+    return rows.select("recording", "cam", "view", "t", "frame_index", "sharpness", F.col("p.ids").alias("point_id"), "p.u", "p.v")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder in ``spark.checkpoint.dir``, which the cluster shares; on a local master without that setting, a temporary one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{folder or tempfile.mkdtemp(prefix='spark-shared-')}/{uuid.uuid4().hex}"
