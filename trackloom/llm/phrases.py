@@ -26,7 +26,7 @@ from .common import Scratch, written
 
 LEAST, LONGEST, COVERED, MOST = 30, 4, 80, 2000
 #: Words of a block; what a task holds at a time.
-BLOCK_WORDS = 1 << 21
+BLOCK_WORDS = 1 << 22
 #: A place is block * 2 ** 31 + number; a block is partition * 2 ** 12 + turn.
 _NUMBERS, _TURNS = 31, 12
 
@@ -61,7 +61,12 @@ def _block(number: int, parts: list[tuple[pa.Array, pa.Array, np.ndarray]]) -> l
     first = np.concatenate([p[2] for p in parts])
     wide = len(words.dictionary)
     both = langs.indices.to_numpy().astype(np.int64) * wide + words.indices.to_numpy()
-    kinds, code, n = np.unique(both, return_inverse=True, return_counts=True)
+    if len(langs.dictionary) * wide <= 8 * max(len(both), 1 << 20):  # few languages: count in place, else sort
+        n = np.bincount(both, minlength=1)
+        kinds = np.flatnonzero(n)
+        n, code = n[kinds], (np.cumsum(n > 0, dtype=np.int32) - 1)[both]
+    else:
+        kinds, code, n = np.unique(both, return_inverse=True, return_counts=True)
     codes = np.full(len(code) + int(first.sum()), -1, np.int32)
     codes[np.arange(len(code)) + np.cumsum(first)] = code
     columns = [pa.array(np.full(len(kinds), number)), pa.array(np.arange(len(kinds), dtype=np.int32)), langs.dictionary.take(pa.array(kinds // wide)).cast(pa.string()), words.dictionary.take(pa.array(kinds % wide)).cast(pa.large_string()).cast(pa.string()), pa.array(n.astype(np.int64)), pa.nulls(len(kinds), pa.binary())]
@@ -111,18 +116,29 @@ def _pairs(blocks: DataFrame, named: DataFrame) -> DataFrame:
         if not left.num_rows or not right.num_rows:
             return pa.Table.from_batches([], schema=_arrow(_LATER))
         number = left.column("block")[0].as_py()
-        codes = np.frombuffer(left.column("codes")[0].as_py(), np.int32)
+        codes = np.frombuffer(left.column("codes")[0].as_buffer(), np.int32)
         code, name = right.column("code").to_numpy(), right.column("id").to_numpy()
         order = np.argsort(code)
         code, name = code[order], name[order]
-        at = np.full(int(max(codes.max(initial=-1), code[-1])) + 2, -1, np.int64)  # the last place is that of the mark, -1
+        at = np.full(int(max(codes.max(initial=-1), code[-1])) + 2, -1, np.int32)  # the last place is that of the mark, -1
         at[code] = np.arange(len(code))
         own = at[codes]
         whole = (own[:-1] >= 0) & (own[1:] >= 0)
-        where = np.flatnonzero(whole)
-        kinds, new, n = np.unique(own[where] * len(code) + own[where + 1], return_inverse=True, return_counts=True)
+        pair = own[:-1][whole].astype(np.int64)
+        pair *= len(code)
+        pair += own[1:][whole]
+        del own, codes
+        order = np.argsort(pair)
+        pair = pair[order]
+        start = np.ones(len(pair), bool)
+        np.not_equal(pair[1:], pair[:-1], out=start[1:])
+        kinds, n = pair[start], np.diff(np.append(np.flatnonzero(start), len(pair)))
+        del pair
+        new = np.empty(len(order), np.int32)
+        new[order] = np.cumsum(start, dtype=np.int32) - 1
+        del order
         seq = np.full(len(whole), -1, np.int32)
-        seq[where] = new
+        seq[whole] = new
         kept = np.ones(len(seq), bool)
         kept[1:] = (seq[1:] >= 0) | (seq[:-1] >= 0)  # one mark is enough
         rows = pa.RecordBatch.from_arrays([pa.array(np.full(len(kinds), number)), pa.array(np.arange(len(kinds), dtype=np.int32)), pa.array(name[kinds // len(code)]), pa.array(name[kinds % len(code)]), pa.array(n.astype(np.int64)), pa.nulls(len(kinds), pa.binary())], schema=_arrow(_LATER))
@@ -143,20 +159,24 @@ def phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, block_w
     A phrase is 2 to ``longest`` words of one piece that occur together ``least`` times or more. A null language is ``und``; null and empty texts have
     no words; texts are read whole, however long, repeated rows count each time. Other columns are ignored. An empty table gives empty ones.
     """
-    scratch = Scratch(docs.sparkSession)
-    found = scratch.keep(_blocks(docs, block_words))
+    spark = docs.sparkSession
+    scratch, now = Scratch(spark), Scratch(spark)  # tables kept to the end, and those of a level, which go as soon as the next one's blocks are there
+    found = now.keep(_blocks(docs, block_words))
     totals = written(found.where("codes is null").groupBy("lang").agg(F.sum("n").alias("n")))
-    named = scratch.keep(_named(found, ["lang", "word"], least))
+    named = now.keep(_named(found, ["lang", "word"], least))
     first = F.col("block") * (1 << _NUMBERS) + F.col("code") == F.col("id")
     level = [scratch.keep(named.where(first).select("id", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "f", F.expr("cast(array() as array<bigint>)").alias("heads"), F.expr("cast(array() as array<bigint>)").alias("tails")))]
     for _ in range(2, longest + 1):
-        found = scratch.keep(_pairs(found.where("codes is not null").select("block", "codes"), named.select("block", "code", "id")))
-        named = scratch.keep(_named(found, ["left", "right"], least))
+        past, now = now, Scratch(spark)
+        found = now.keep(_pairs(found.where("codes is not null").select("block", "codes"), named.select("block", "code", "id")))
+        past.drop()
+        named = now.keep(_named(found, ["left", "right"], least))
         pairs = named.where(first).select("id", "left", "right", "f")
         a = level[-1].select(F.col("id").alias("left"), "lang", F.col("phrase").alias("__a"), F.col("f").alias("__fa"), F.col("heads").alias("__ha"))
         b = level[-1].select(F.col("id").alias("right"), F.col("last").alias("__b"), F.col("f").alias("__fb"), F.col("tails").alias("__tb"))
         joined = pairs.join(a, "left").join(b, "right")
         level.append(scratch.keep(joined.select("id", "lang", F.concat_ws(" ", "__a", "__b").alias("phrase"), F.col("__b").alias("last"), "f", F.concat("__ha", F.array("__fa")).alias("heads"), F.concat(F.array("__fb"), "__tb").alias("tails"), "left", "right")))
+    now.drop()
     out = None
     for k in range(1, longest):
         rows = level[k]
