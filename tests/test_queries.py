@@ -3,6 +3,8 @@
 import duckdb
 import pytest
 
+from pyspark.sql import functions as F
+
 import __spark_entry__ as entry
 
 NAMES = ["frame_timing", "asof_interpolate", "asof_nearest", "track_summary", "actor_boxes", "series_windows", "triangulate", "bone_outliers", "fill_gaps", "board_view_funnel", "bad_views", "fingerprints", "frame_at", "thin_by_time", "common_clock"]
@@ -31,11 +33,12 @@ def test_every_sql_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-def test_registrations_see_all_rows(spark, small, monkeypatch):
-    """Stand-ins note what the operators are given; the operators themselves are tested elsewhere."""
+def test_the_queries_take_all_times_and_rows_and_see_a_do_nothing_stand_in(spark, small, monkeypatch):
+    """Stand-ins that return their input note what they are given, and fail against the SQL."""
+    import duckdb
+
     from trackloom import fixtures as X
     from trackloom.jobs import queries
-    from trackloom.operators import reconstruction
 
     seen = {}
 
@@ -43,15 +46,19 @@ def test_registrations_see_all_rows(spark, small, monkeypatch):
         seen["times"] = times.count()
         return start
 
-    def refine_rig(synced, cameras):
+    def refine_rigs(synced, cameras):
         seen["rows"] = synced.count()
-        return reconstruction.camera_list(cameras)
+        return cameras
 
     monkeypatch.setattr(queries.sync, "refine_offsets", refine_offsets)
-    monkeypatch.setattr(queries.rig, "refine_rig", refine_rig)
-    queries.refine_offsets(spark, small)
-    queries.refine_rig(spark, small)
-    assert seen == {"times": queries.times_of(X.keypoints(spark, small)).count(), "rows": queries.clean_synced(spark, small).count()}
+    monkeypatch.setattr(queries.bundle, "refine_rigs", refine_rigs)
+    con = duckdb.connect()
+    con.execute(f"create view events as select * from '{small}/events.parquet'")
+    for name in ("refine_offsets", "refine_rig"):
+        cur = con.execute(queries.SQL[name])
+        names = [d[0] for d in cur.description]
+        assert sorted(map(tuple, queries.QUERIES[name](spark, small).select(*names).collect())) != sorted(cur.fetchall())
+    assert seen == {"times": queries.times_of(X.studio_keypoints(spark, small).where("cam = 'cam1'").withColumn("cam", F.lit(0))).count(), "rows": queries.clean_synced(spark, small).count()}
 
 
 def test_the_whole_way_on_names(spark, small):
