@@ -74,14 +74,32 @@ def test_a_rig_is_calibrated_from_points(spark, small):
 
     from trackloom import fixtures as X
     from trackloom.jobs import queries
-    from trackloom.operators import reconstruction, rig
+    from trackloom.operators import reconstruction, rig, selfcalib
 
-    poses, scales = queries.calibrated(spark, small)
+    rays = queries.studio_rays(spark, small)
+    blocks = selfcalib.pair_blocks(rays, 23, 0.6, block=500)
+    assert blocks.groupBy("rig", "b", "part").count().where("count > 1").count() == 0
+    poses = selfcalib.relative_poses(blocks, X.FOCAL, hypotheses=50)
     true = reconstruction.camera_list(X.camera_rows())
     base = np.linalg.norm(rig.relative_pose(true[0], true[1])[1])
-    for b, ((r, t), s) in enumerate(zip(poses, scales, strict=True)):
-        want_r, want_t = rig.relative_pose(true[0], true[b + 1])
-        assert np.abs(r - want_r).max() < 0.01 and np.abs(t * s - want_t / base).max() < 0.02
-    one, two = true[0].center, true[1].center
-    ends = spark.createDataFrame([(*map(float, one / base), *map(float, two / base))] * 3, "ax double, ay double, az double, bx double, by double, bz double")
-    assert abs(rig.known_length_scale(ends, float(base)) - base) < 1e-9
+    found = {r.b: r for r in selfcalib.chained(rays, poses, 23).collect()}
+    assert set(found) == {1, 2} and all(r.rig == "one" for r in found.values())
+    for b, row in found.items():
+        want_r, want_t = rig.relative_pose(true[0], true[b])
+        assert np.abs(np.array(row.r).reshape(3, 3) - want_r).max() < 0.001 and np.abs(np.array(row.t) - want_t / base).max() < 0.003
+    assert selfcalib.relative_poses(blocks.limit(0), X.FOCAL).count() == 0
+
+
+def test_marks_that_one_camera_sees_give_no_point_and_no_scale(spark, small):
+    from trackloom import fixtures as X
+    from trackloom.jobs import queries
+    from trackloom.operators import reconstruction, selfcalib
+
+    rows, cameras = queries.rig_landmarks(spark, small)
+    camera = reconstruction.camera_list(X.camera_rows())[0]
+    u, v = (float(x) for x in camera.project(camera.center[None] * 0.0)[0])
+    marks = spark.createDataFrame([("one", "a", 0, u, v), ("one", "a", 1, None, None), ("one", "b", 0, u, v)], "rig string, mark string, cam int, u double, v double")
+    assert selfcalib.marked_points(marks, cameras).count() == 0
+    known = spark.createDataFrame([("one", 0, "a", 1.0, 1.0, 0.0, [0.0, 0.0, 1.0])], "rig string, recording long, mark string, time_s double, length_m double, hand_offset_m double, up array<double>")
+    assert selfcalib.handle_scales(marks, rows, cameras, known).count() == 0
+    assert selfcalib.fit_floors(rows.limit(0), cameras).count() == 0

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import fixtures as X
 from ..functions import columns as C
-from ..operators import bundle, calibration, cleaning, pose, reconstruction, report, rig, sync, timeseries, tracks, views
+from ..operators import bundle, calibration, cleaning, pose, reconstruction, report, rig, selfcalib, sync, timeseries, tracks, views
 from ..skeleton import EDGE_INDEX, INDEX, JOINTS
 from ..sources import files
 from . import slice as slice_
@@ -577,19 +577,37 @@ def refine_rig(spark, sf_dir):
     return found.select("rig", "cam", *[r(p, 3).alias(c) for p, c in zip(place, "xyz", strict=True)])
 
 
-def calibrated(spark, sf_dir):
-    """(poses from camera 0, scales of the later translations, metres per unit) of the scene, from points alone and one known length."""
-    rays = rig.undistorted(clean_synced(spark, sf_dir), X.camera_rows())
-    poses = [rig.estimate_relative_pose(rig.pair_points(rays, 0, b, len(JOINTS), 0.6), X.FOCAL)[:2] for b in (1, 2)]
-    return poses, rig.chain_scales(rays, poses, len(JOINTS))
+_RIG_SQL = "if(recording % 2 = 0, 'one', 'two')"
+#: The second rig lists the scene's cameras from another one on.
+_ORDER = {"one": [0, 1, 2], "two": [1, 2, 0]}
 
 
-@query()
+def _unit_places() -> list[tuple]:
+    """rig, cam, and where each camera is from the first one, in units of the first pair's distance."""
+    out = []
+    for name, order in _ORDER.items():
+        first, base = _TRUE_RIG[order[0]], None
+        for b, c in enumerate(order[1:], 1):
+            r_, t = rig.relative_pose(first, _TRUE_RIG[c])
+            base = base or float(np.linalg.norm(t))
+            out.append((name, b, *[float(v) for v in -r_.T @ t / base]))
+    return out
+
+
+def studio_rays(spark, sf_dir):
+    """Rays of two rigs on recordings of their own."""
+    rays, n = rig.undistorted(clean_synced(spark, sf_dir), X.camera_rows()).withColumn("rig", F.expr(_RIG_SQL)), len(JOINTS)
+    turned = lambda c: F.when(F.col("rig") == "one", F.col(c)).otherwise(F.concat(*[F.slice(c, n * k + 1, n) for k in _ORDER["two"]]))
+    return files.kept(rays.select("rig", "recording", "tau", turned("a").alias("a"), turned("b").alias("b"), turned("conf").alias("conf")))
+
+
+@query("select rig, b, x, y, z from (values " + ", ".join(f"('{n}', {b}, {', '.join(str(round(v * 26)) for v in p)})" for n, b, *p in _unit_places()) + f") as c(rig, b, x, y, z) semi join (select distinct {_RIG_SQL} as rig from (select event_id // 1000 as recording from events) e) e using (rig)")
 def calibrate_rig(spark, sf_dir):
-    """cam, and the place of each camera from the first one, in units of the first pair's distance: relative poses, then their scales chained."""
-    poses, scales = calibrated(spark, sf_dir)
-    places = [(b + 1, *[round(float(v), 1) + 0.0 for v in -r_.T @ t * s_]) for b, ((r_, t), s_) in enumerate(zip(poses, scales, strict=True))]
-    return spark.createDataFrame(places, "cam int, x double, y double, z double")
+    """Two rigs from the motion alone: where each camera is from the first one, in 1/26 of the first pair's distance (no place is within 1/80 of a border)."""
+    rays = studio_rays(spark, sf_dir)
+    poses = selfcalib.chained(rays, selfcalib.relative_poses(selfcalib.pair_blocks(rays, len(JOINTS), 0.6), X.FOCAL), len(JOINTS))
+    place = [-sum((F.get("r", F.lit(3 * i + k)) * F.get("t", F.lit(i)) for i in range(3)), F.lit(0.0)) for k in range(3)]
+    return poses.select("rig", "b", *[F.round(p * 26).cast("int").alias(c) for p, c in zip(place, "xyz", strict=True)])
 
 
 @query()
@@ -601,8 +619,58 @@ def scene_from_keypoints(spark, sf_dir):
     return smooth.groupBy("recording").agg(F.count("x").alias("points"), F.sum(F.col("filled").cast("int")).cast("long").alias("filled"), r(F.avg("z"), 1).alias("z"), F.min("t").alias("first_s"), F.max("t").alias("last_s"))
 
 
-@query("select true as level, true as on_floor")
+#: The second rig's frame is turned and shifted against the world.
+_TURN = bundle.turned(_TRUE_RIG[0], np.array([0.4, -0.2, 0.9, 0, 0, 0])).r @ _TRUE_RIG[0].r.T
+_SHIFT = np.array([0.5, -1.0, 3.0])
+
+
+def rig_landmarks(spark, sf_dir):
+    """(packed landmarks of two rigs in their own frames, their cameras)."""
+    rows = clean_landmarks(spark, sf_dir).withColumn("rig", F.expr(_RIG_SQL))
+
+    def axis(i: int):
+        return F.transform(F.arrays_zip("x", "y", "z"), lambda p: sum((p[c] * float(_TURN[i, k]) for k, c in enumerate("xyz")), F.lit(float(_SHIFT[i]))))
+
+    mixed = [F.when(F.col("rig") == "one", F.col(c)).otherwise(a).alias(c) for c, a in zip("xyz", map(axis, range(3)), strict=True)]
+    cams = []
+    for name in _ORDER:
+        for row, c in zip(X.camera_rows(), _TRUE_RIG, strict=True):
+            own_r = c.r if name == "one" else c.r @ _TURN.T
+            own_t = c.t if name == "one" else c.t - own_r @ _SHIFT
+            cams.append((name, c.cam, row["model"], row["width"], row["height"], row["k"], row["d"], [float(v) for v in own_r.ravel()], [float(v) for v in own_t]))
+    cameras = spark.createDataFrame(cams, "rig string, cam int, model string, width int, height int, k array<double>, d array<double>, r array<double>, t array<double>")
+    return files.kept(rows.select("rig", "recording", "tau", *mixed)), cameras
+
+
+@query(f"{TRUTH_IN} select {_RIG_SQL} as rig, joint, count(*) as n, {q('avg(z) - 0.02::double', 3)} as z from inn group by 1, 2")
 def fit_floor(spark, sf_dir):
-    world = rig.fit_floor(cleaning.landmarks_long(clean_landmarks(spark, sf_dir)), X.camera_rows())
-    heel = rig.to_world(cleaning.landmarks_long(clean_landmarks(spark, sf_dir)).where(F.col("joint") == INDEX["left_heel"]), world["a"], world["o"], 1.0)
-    return heel.agg((F.lit(abs(world["a"][8]) > 0.999)).alias("level"), (F.max(F.abs("z")) < 0.01).alias("on_floor"))
+    """The floors of two rigs, one of them in a turned frame: how high each joint is above it on average."""
+    rows, cameras = rig_landmarks(spark, sf_dir)
+    floors = selfcalib.fit_floors(rows, cameras).select("rig", *[F.get("a", F.lit(6 + k)).alias(f"up{k}") for k in range(3)], *[F.get("o", F.lit(k)).alias(f"o{k}") for k in range(3)])
+    long = rows.select("rig", F.posexplode(F.arrays_zip("x", "y", "z")).alias("joint", "p")).where("p.x is not null").join(floors, "rig")
+    height = sum(((F.col(f"p.{c}") - F.col(f"o{k}")) * F.col(f"up{k}") for k, c in enumerate("xyz")), F.lit(0.0))
+    return long.groupBy("rig", "joint").agg(F.count("*").alias("n"), r(F.avg(height), 3).alias("z"))
+
+
+_MARK, _LENGTH, _HAND, _WHEN = (0.5, 0.4, 0.1), 1.5, 0.07, 20.03
+
+
+@query(f"""{TRUTH_IN}, f as (select recording, arg_min(tau, abs(tau - {_WHEN}::double)) as tau from inn where recording < 2 group by 1)
+select {_RIG_SQL} as rig, {q('tau')} as tau, {q(f"({_LENGTH}::double - {_HAND}::double) / sqrt(pow(x - {_MARK[0]}::double, 2) + pow(y - {_MARK[1]}::double, 2) + pow(z - {_MARK[2]}::double, 2))")} as scale
+ from inn join f using (recording, tau) where joint = {INDEX["left_wrist"]}""")
+def handle_scale(spark, sf_dir):
+    """Metres per unit of two rigs from a handle of known length: its end marked in the pictures, the other end in the upper hand at the frame nearest to the marks' time."""
+    rows, cameras = rig_landmarks(spark, sf_dir)
+    marks, known = [], []
+    for k, name in enumerate(_ORDER):
+        for c in _TRUE_RIG[k:]:  # the second rig's mark is seen by two cameras
+            uv = c.project(np.array([_MARK]))[0]
+            marks.append((name, "handle", c.cam, float(uv[0]), float(uv[1])))
+        up = [0.0, 0.0, 1.0] if name == "one" else [float(v) for v in _TURN[:, 2]]
+        known.append((name, k, "handle", _WHEN, _LENGTH, _HAND, up))
+    marks, known = spark.createDataFrame(marks, "rig string, mark string, cam int, u double, v double"), spark.createDataFrame(known, "rig string, recording long, mark string, time_s double, length_m double, hand_offset_m double, up array<double>")
+    # both wrists are equally high in the scene: the right one goes a little lower in the first rig, and is missing in the second
+    right = F.lit(INDEX["right_wrist"])
+    lower = F.transform("z", lambda z, j: F.when((j == right) & (F.col("rig") == "one"), z - 0.01).otherwise(z))
+    hidden = F.transform("x", lambda x, j: F.when((j != right) | (F.col("rig") == "one"), x))
+    return selfcalib.handle_scales(marks, rows.withColumns({"z": lower, "x": hidden}), cameras, known).select("rig", r("tau").alias("tau"), r("scale").alias("scale"))

@@ -119,3 +119,10 @@ def shared_folder(spark: SparkSession) -> str:
     if not folder and not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return f"{folder or tempfile.mkdtemp(prefix='spark-shared-')}/{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """The table, written in the shared folder and read again: its lineage is cut, and what is built on it does not compute it anew. The folder's owner clears it."""
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
