@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trackloom.operators import calibration, cleaning, timeseries, tracks
-from trackloom.streaming.ingest import ingest_pose_chunks
+from trackloom.streaming.ingest import add_batch, ingest_pose_chunks, ingested
 
 KP = "recording long, cam int, t double, u array<double>, v array<double>, conf array<double>"
 
@@ -95,10 +95,25 @@ def test_ingest_takes_each_frame_once(spark, tmp_path):
     ingest_pose_chunks(spark, src, out, check, spark.read.parquet(src).schema)
     spark.createDataFrame([frame(0.1), frame(0.2)], schema).write.mode("append").parquet(src)
     ingest_pose_chunks(spark, src, out, check, spark.read.parquet(src).schema)
-    got = spark.read.parquet(out).orderBy("t").collect()
+    got = ingested(spark, out).orderBy("t").collect()
     assert [r.t for r in got] == [0.0, 0.1, 0.2] and got[0].u[0] == 22.0 and got[0].conf[0] == 0.5
 
 
+def test_a_batch_that_is_run_again_overwrites_itself(spark, tmp_path):
+    schema = "recording string, cam string, backend string, config string, t double, u array<double>, v array<double>, conf array<double>"
+    frame = lambda r, t, u=0.0: (r, "c", "logit", None, t, [u] * 23, [0.0] * 23, [1.0] * 23)
+    out = str(tmp_path / "out")
+    add_batch(spark, spark.createDataFrame([frame("a", 0.0), frame("b", 0.0)], schema), 0, out)
+    add_batch(spark, spark.createDataFrame([frame("a", 0.0, 9.0), frame("a", 1.0)], schema), 1, out)
+    again = spark.createDataFrame([frame("a", 1.0, 5.0), frame("a", 0.0, 9.0), frame("b", 2.0)], schema)
+    for _ in range(2):  # the first try was lost after it had written
+        add_batch(spark, again, 1, out)
+    got = sorted((r.recording, r.t, r.u[0]) for r in ingested(spark, out).collect())
+    assert got == [("a", 0.0, 0.0), ("a", 1.0, 5.0), ("b", 0.0, 0.0), ("b", 2.0, 0.0)]
+    add_batch(spark, again.limit(0), 2, out)
+    assert ingested(spark, out).count() == 4
+
+
 def test_select_views_needs_no_task_for_a_camera(spark, monkeypatch):
     from pyspark.sql.group import GroupedData
 

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.pose import BACKENDS, map_joints, normalize_conf
 
 KEY = ["recording", "cam", "backend", "config", "t"]
+#: Recordings are dealt in so many parts, by which the target is laid out; a batch reads only the parts of its own recordings.
+PARTS = 256
 
 
 def to_canonical(df: DataFrame) -> DataFrame:
@@ -19,21 +24,33 @@ def to_canonical(df: DataFrame) -> DataFrame:
     return out
 
 
-def ingest_pose_chunks(spark: SparkSession, source: str, target: str, checkpoint: str, schema) -> None:
-    """Append what is new in ``source`` to ``target`` and return.
+def add_batch(spark: SparkSession, batch: DataFrame, number: int, target: str) -> None:
+    """Write what is new in a batch to its own folder, ``batch=<number>``, in place of what an earlier try of the same batch left there.
 
-    The checkpoint lists the files that were read; a frame that came before, in another file or in a batch that was run again, is left out by
-    an anti-join against the target's key columns, so nothing has to be kept as state. A row of an unknown backend stops the ingest.
+    New is what no other batch has under the same key; null keys are equal. Only the parts that the batch's recordings fall in are read, and of them
+    the key columns.
     """
+    key = [k for k in KEY if k in batch.columns]  # not every source has a config
+    fresh = batch.dropDuplicates(key).withColumn("part", F.pmod(F.xxhash64("recording"), F.lit(PARTS)).cast("int"))
+    place = spark._jvm.org.apache.hadoop.fs.Path(target)
+    if place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
+        parts = [r.part for r in fresh.select("part").distinct().collect()]  # PARTS at most
+        there = spark.read.schema(T.StructType([*fresh.schema, T.StructField("batch", T.LongType())])).parquet(target)
+        old = there.where((F.col("batch") != number) & F.col("part").isin(parts)).select(*[F.col(k).alias(f"__{k}") for k in key])
+        fresh = fresh.join(old, reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in key]), "left_anti")
+    to_canonical(fresh).write.mode("overwrite").partitionBy("part").parquet(f"{target}/batch={number}")
+
+
+def ingested(spark: SparkSession, target: str) -> DataFrame:
+    """The rows of all batches."""
+    return spark.read.parquet(target).drop("batch", "part")
 
-    def add(batch: DataFrame, _: int) -> None:
-        key = [k for k in KEY if k in batch.columns]  # not every source has a config
-        fresh = batch.dropDuplicates(key)
-        try:
-            fresh = fresh.join(spark.read.parquet(target).select(*key), key, "left_anti")
-        except Exception as e:  # the first batch has no target yet
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-        to_canonical(fresh).write.mode("append").parquet(target)
 
+def ingest_pose_chunks(spark: SparkSession, source: str, target: str, checkpoint: str, schema) -> None:
+    """Add what is new in ``source`` to ``target`` and return.
+
+    The checkpoint lists the files that were read and numbers the batches; a batch that is run again after a loss overwrites its own folder. A frame that came
+    before, in another file, is left out, and nothing has to be kept as state. A row of an unknown backend stops the ingest.
+    """
+    add = lambda batch, number: add_batch(spark, batch, number, target)
     spark.readStream.schema(schema).parquet(source).writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
