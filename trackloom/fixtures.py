@@ -10,6 +10,8 @@ import math
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .sources.files import exists, shared_folder
+
 # Fixed values of the scene: camera model and places, clock offsets, image size.
 FOCAL, CX, CY, WIDTH, HEIGHT = 420.0, 640.0, 480.0, 1280, 960
 DISTORTION = (0.05, -0.02, 0.008, -0.002)
@@ -134,6 +136,21 @@ def from_events(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
     return spark.sql(text.replace("from events", "from {events}"), events=events(spark, sf_dir))
 
 
+_WRITTEN: dict[tuple, tuple] = {}
+
+
+def once(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
+    """A derived table, written in the shared folder by the first query of an application that asks for it, and read from there by the others."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    path, schema = _WRITTEN.get(key, (None, None))
+    if path is None or not exists(spark, path):
+        table = build()
+        path, schema = shared_folder(spark), table.schema
+        table.write.parquet(path)
+        _WRITTEN[key] = path, schema
+    return spark.read.schema(schema).parquet(path)
+
+
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return from_events(spark, sf_dir, sql(FRAMES, "spark"))
 
@@ -143,6 +160,11 @@ def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keypoints(spark: SparkSession, sf_dir: str, damage: bool = True, offsets: bool = True) -> DataFrame:
+    """The packed table, built once."""
+    return once(spark, sf_dir, f"keypoints-{damage}-{offsets}", lambda: built_keypoints(spark, sf_dir, damage, offsets))
+
+
+def built_keypoints(spark: SparkSession, sf_dir: str, damage: bool = True, offsets: bool = True) -> DataFrame:
     """The packed table: a row for each camera frame, arrays by joint. A frame's joints come from one event, so nothing is shuffled.
 
     The same numbers as ``keypoints_sql``; each step is computed once for a joint.
@@ -271,6 +293,11 @@ def _studio_camera() -> str:
 
 
 def studio_keypoints(spark: SparkSession, sf_dir: str, damage: bool = True) -> DataFrame:
+    """The studio's packed keypoints, built once."""
+    return once(spark, sf_dir, f"studio-{damage}", lambda: built_studio_keypoints(spark, sf_dir, damage))
+
+
+def built_studio_keypoints(spark: SparkSession, sf_dir: str, damage: bool = True) -> DataFrame:
     """recording, cam (names), t, u, v, conf: the packed keypoints. With ``damage``: outlier views in the third camera and swapped arms in the second."""
     names = [f"r{i}{j}" for i in range(3) for j in range(3)] + ["t0", "t1", "t2"]
     values = ", ".join("(" + ", ".join([str(c), *[number(v) for row in r for v in row], *map(number, t)]) + ")" for c, (r, t) in enumerate(POSES))

@@ -121,6 +121,11 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{folder or tempfile.mkdtemp(prefix='spark-shared-')}/{uuid.uuid4().hex}"
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
 def kept(df: DataFrame) -> DataFrame:
     """The table, written in the shared folder and read again: its lineage is cut, and what is built on it does not compute it anew. The folder's owner clears it."""
     path = shared_folder(df.sparkSession)

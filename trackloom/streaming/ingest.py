@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.pose import BACKENDS, map_joints, normalize_conf
+from ..sources.files import exists
 
 KEY = ["recording", "cam", "backend", "config", "t"]
 #: Recordings are dealt in so many parts, by which the target is laid out; a batch reads only the parts of its own recordings.
@@ -32,8 +33,7 @@ def add_batch(spark: SparkSession, batch: DataFrame, number: int, target: str) -
     """
     key = [k for k in KEY if k in batch.columns]  # not every source has a config
     fresh = batch.dropDuplicates(key).withColumn("part", F.pmod(F.xxhash64("recording"), F.lit(PARTS)).cast("int"))
-    place = spark._jvm.org.apache.hadoop.fs.Path(target)
-    if place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
+    if exists(spark, target):
         parts = [r.part for r in fresh.select("part").distinct().collect()]  # PARTS at most
         there = spark.read.schema(T.StructType([*fresh.schema, T.StructField("batch", T.LongType())])).parquet(target)
         old = there.where((F.col("batch") != number) & F.col("part").isin(parts)).select(*[F.col(k).alias(f"__{k}") for k in key])
