@@ -15,4 +15,4 @@ def test_stages_on_small_data(spark, small):
 
 def test_all_numbered_queries_are_registered():
     numbers = {n.split("_")[0] for n in entry.queries() if n.startswith("op")}
-    assert numbers == {f"op{i}" for i in range(1, 11)} and "pipeline" in entry.queries()
+    assert numbers == {f"op{i}" for i in range(1, 14)} and "pipeline" in entry.queries()
