@@ -443,6 +443,68 @@ def test_equal_passages_of_50_words_are_found_to_their_ends(spark):
     assert {i: texts[i].encode()[a:b].decode() for i, (a, b) in spans.items()} == dict(enumerate(shared * 2))
 
 
+def uncovered(texts, rows, size=50):
+    """(text, word) of words of repeated windows of ``size`` words that lie in no row; and whether each row's words occur elsewhere too."""
+    words = [(t or "").split() for t in texts]
+    count = Counter(tuple(w[i : i + size]) for w in words for i in range(len(w) - size + 1))
+    repeated = {(k, i + j) for k, w in enumerate(words) for i in range(len(w) - size + 1) if count[tuple(w[i : i + size])] > 1 for j in range(size)}
+    covered = set()
+    for r in rows:
+        before = len(texts[r.doc_id].encode()[: r.start].split())
+        covered.update((r.doc_id, before + j) for j in range(r.words))
+    return repeated, repeated - covered
+
+
+def mixed_texts():
+    """Passages of 50 to 90 words that overlap, stand within others, meet with gaps of a few words, repeat in one text, and lines and near lines among them."""
+    rng = np.random.default_rng(12)
+    pool = [prose(100 + i, 60 + 7 * i) for i in range(12)]
+    texts = []
+    for k in range(60):
+        parts = []
+        for _ in range(int(rng.integers(1, 6))):
+            w = pool[int(rng.integers(len(pool)))].split()
+            a = int(rng.integers(0, len(w) - 50))
+            parts.append(" ".join(w[a : a + int(rng.integers(50, 91))]))
+            if rng.random() < 0.7:
+                parts.append(prose(1000 + 10 * k + len(parts), int(rng.integers(1, 12))))
+            if rng.random() < 0.3:
+                changed = pool[0].split()
+                changed[int(rng.integers(len(changed)))] = f"x{k}"
+                parts.append("\n" + " ".join(changed) + "\n")
+        texts.append(" ".join(parts))
+    return [*texts, None, "", "a b c " * 60, "z " * 130, texts[0]]
+
+
+def test_no_word_of_a_repeated_window_is_lost(spark):
+    texts = mixed_texts()
+    got = passages.paragraph_classes(table(spark, texts)).collect()
+    repeated, lost = uncovered(texts, got)
+    assert len(repeated) > 5000 and not lost
+    spans = Counter()
+    for r in got:
+        raw = texts[r.doc_id].encode()[r.start : r.end].split()
+        assert len(raw) == r.words
+        if r.words == passages.GRAM or r.grown_left or r.grown_right:
+            spans[tuple(raw)] += 1
+    joined = [" " + " ".join((t or "").split()) + " " for t in texts]
+    for span in spans:  # each exact row's words occur twice or more; one grown on both sides has either side elsewhere
+        text = " ".join(w.decode() for w in span)
+        if len(span) <= passages.GRAM + passages.EXTEND:
+            head, tail = " ".join(text.split()[: passages.GRAM]), " ".join(text.split()[-passages.GRAM :])
+            assert max(sum(t.count(f" {x} ") for t in joined) for x in (head, tail)) > 1
+    # every member of a class has a row
+    assert all(n == size for (_, size), n in Counter((r["class"], r.class_size) for r in got).items())
+
+
+def test_equal_real_paragraphs_of_any_size(spark):
+    texts = ["one\n" + prose(60, 7) + "\n" + prose(61, 20), prose(62, 20) + "\n" + prose(60, 7) + "\none"]
+    short = {texts[r.doc_id].encode()[r.start : r.end].decode() for r in passages.paragraph_classes(table(spark, texts), min_words=1).collect()}
+    assert short == {"one", prose(60, 7)}
+    assert {r.words for r in passages.paragraph_classes(table(spark, texts), min_words=7).collect()} == {7}
+    assert passages.paragraph_classes(table(spark, texts)).count() == 0
+
+
 @pytest.mark.parametrize("part", ["\n\n", "\n"])
 def test_a_paragraph_with_an_inner_word_changed_is_linked_whole(spark, part):
     base, short = prose(31, 60).split(), prose(32, 29).split()

@@ -1,15 +1,15 @@
 """Substring dedup: equal passages by content cuts; near paragraphs by MinHash banding, exact verification, components.
 
-Repeated passages rarely begin and end with a line, so paragraphs are cut by content: of each ``REACH`` consecutive word pairs the
-one with the least hash starts a paragraph, and so does a gram of ``GRAM`` words. Equal passages of ``REACH + GRAM - 1`` = 50 words or
-more, wherever they stand, have an equal window of ``REACH`` pairs at their start, thus the same cut in it and the same gram.
-Paragraphs of ``MIN_WORDS`` words or more count too. A passage is a run of repeated paragraphs and grams. Its outermost ones are extended word by
-word, by ``EXTEND`` words at most, as far as another occurrence of the same paragraph or gram has the same words; a run counts if it then
-has ``LEAST_RUN`` words or more.
-
-Near repeats are sought among the real paragraphs (``blocks``), whole: those of ``MIN_WORDS`` words or more, of which each has four
-five-word shingles at least; fewer cannot differ at a similarity of 0.8. They are classed as documents are in ``near``, by
-MinHash and exact Jaccard similarity, but over sets of shingles. The paragraphs cut by content are the exact path beside it.
+Repeated passages rarely begin and end with a line, so grams are placed by content: of each ``REACH`` consecutive word pairs the
+one with the least hash starts a gram of ``GRAM`` words. Equal passages of ``REACH + GRAM - 1`` = 50 words or more, wherever they stand,
+have the same grams: the first begins among their first ``REACH`` words, the last ends among their last ones, and between them no word is
+left out, since cuts are at most ``REACH`` words apart. So each word of a passage that no gram covers is within ``EXTEND`` words of one of its grams, at a
+gap between the text's repeated grams. All grams so near a gap are extended word by word towards it, as far as another occurrence of the same
+gram has the same words. Thus every passage of 50 words or more is found to its ends.
+
+Repeats and near repeats are also sought among the real paragraphs (``blocks``), whole: those of ``REPORTED`` words or more by default. One of fewer than eight
+words has fewer than four five-word shingles and cannot differ at a similarity of 0.8. They are classed as documents are in ``near``, by
+MinHash and exact Jaccard similarity, but over sets of shingles. The grams are the exact path beside it.
 """
 
 from __future__ import annotations
@@ -28,12 +28,12 @@ from . import kernels, near
 from .common import Scratch, id_key, text_or_empty, written
 
 REACH, MIN_WORDS, SHINGLE, SIMILARITY = 20, 8, 5, 0.8
+#: Least words of a real paragraph that the operator reports unless told otherwise: shorter lines are mostly formulas that clean texts share, and line dedup's matter.
+REPORTED = 12
 #: Words of the gram that starts at each cut. Equal passages of REACH + GRAM - 1 = 50 words share a cut among their first REACH words, so that gram.
 GRAM = 31
-#: Words by which the ends of a run may grow; the outermost grams of an equal passage of 50 words or more leave fewer than REACH on either side.
+#: Words by which a gram at a gap may grow; the outermost grams of an equal passage of 50 words or more leave fewer than REACH on either side.
 EXTEND = REACH - 1
-#: A repeated paragraph counts only in a run of repeated ones that spans so many words.
-LEAST_RUN = 12
 #: Longest paragraph that content cuts leave where a text has no lines; half of it on average.
 BLOCK = 200
 #: Recall of a pair at 0.8: 1 - (1 - 0.8 ** 3) ** 8 > 0.996.
@@ -62,27 +62,21 @@ class Words(NamedTuple):
         return kernels.mix64(self.hashes * np.uint64(0x9E3779B97F4A7C15) + np.append(self.hashes[1:], np.uint64(0)))
 
 
-def paragraphs(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first word, end word, hash) of all paragraphs cut by content, of MIN_WORDS words or more, and of all grams."""
+def grams(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first word, end word, hash) of the grams that start at content cuts, or at a text's first word, and fit in their text."""
     n = len(w.starts)
-    if not n:
-        return w.first[:0], w.first[:0], w.hashes
-    cut = np.zeros(n + 1, bool)
-    cut[np.flatnonzero(np.append(True, w.owner[1:] != w.owner[:-1]))] = True
-    cut[n] = True
-    if n >= REACH:
-        inside = w.owner[: n - REACH + 1] == w.owner[REACH - 1 :]
-        cut[np.unique(kernels.least_at(w.pairs(), REACH)[inside])] = True
-    edges = np.flatnonzero(cut)
-    a, b = edges[:-1], edges[1:]
-    long = b - a >= MIN_WORDS
-    gram = a[a + GRAM <= np.append(w.first[1:], n)[w.owner[a]]]
-    a, b = np.concatenate((a[long], gram)), np.concatenate((b[long], gram + GRAM))
-    return a, b, kernels.span_hash(w.sums, a, b)
-
-
-def real_paragraphs(data: np.ndarray, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first word, end word, hash) of the real paragraphs of MIN_WORDS words or more, in order.
+    if n < GRAM:
+        return w.first[:0], w.first[:0], w.hashes[:0]
+    cut = np.append(True, w.owner[1:] != w.owner[:-1])
+    inside = w.owner[: n - REACH + 1] == w.owner[REACH - 1 :]
+    cut[np.unique(kernels.least_at(w.pairs(), REACH)[inside])] = True
+    a = np.flatnonzero(cut)
+    a = a[a + GRAM <= np.append(w.first[1:], n)[w.owner[a]]]
+    return a, a + GRAM, kernels.span_hash(w.sums, a, a + GRAM)
+
+
+def real_paragraphs(data: np.ndarray, w: Words, min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first word, end word, hash) of the real paragraphs of ``min_words`` words or more, in order.
 
     Paragraphs are parted by blank lines, in a text without blank lines by line ends. A text without either, and also
     what lies within a paragraph of more than ``2 * BLOCK`` words, is cut by content, as above but over ``BLOCK`` words.
@@ -110,15 +104,15 @@ def real_paragraphs(data: np.ndarray, w: Words) -> tuple[np.ndarray, np.ndarray,
         a, b = np.concatenate((a, at[:-1][part])), np.concatenate((b, at[1:][part]))
         order = np.lexsort((b, a))
         a, b = a[order], b[order]
-    enough = b - a >= MIN_WORDS
+    enough = b - a >= min_words
     a, b = a[enough], b[enough]
     return a, b, kernels.mix64(kernels.span_hash(w.sums, a, b) + np.uint64(1))
 
 
-def blocks(data: np.ndarray, offsets: np.ndarray):
+def blocks(data: np.ndarray, offsets: np.ndarray, min_words: int = MIN_WORDS):
     """(text, start byte, end byte, hash, first word, end word) of the real paragraphs, and each text's first word."""
     w = Words.of(data, offsets)
-    a, b, unit = real_paragraphs(data, w)
+    a, b, unit = real_paragraphs(data, w, min_words)
     return w.owner[a], w.starts[a], w.ends[b - 1], unit, a, b, w.first
 
 
@@ -154,29 +148,31 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("doc_id", text).alias("doc"), text.alias("text"))
 
 
-def _units(keyed: DataFrame) -> DataFrame:
-    """A row for each paragraph and gram that content cuts leave, and for each real paragraph."""
-    schema = T.StructType([keyed.schema["doc_id"], keyed.schema["doc"]] + [T.StructField(c, T.IntegerType()) for c in ("start", "end", "word", "words")] + [T.StructField("unit", T.LongType())])
+def _units(keyed: DataFrame, min_words: int) -> DataFrame:
+    """A row for each gram and for each real paragraph."""
+    schema = T.StructType([keyed.schema["doc_id"], keyed.schema["doc"]] + [T.StructField(c, T.IntegerType()) for c in ("start", "end", "word", "words")] + [T.StructField("unit", T.LongType()), T.StructField("gram", T.BooleanType())])
 
     def task(batches):
         for batch, data, offsets in kernels.slices(batches, "text"):
             w = Words.of(data, offsets)
-            a, b, unit = (np.concatenate(x) for x in zip(paragraphs(w), real_paragraphs(data, w), strict=True))
+            exact = grams(w)
+            a, b, unit = (np.concatenate(x) for x in zip(exact, real_paragraphs(data, w, min_words), strict=True))
             text = w.owner[a]
             at = pa.array(text)
             whole = (w.starts[a] - offsets[text], w.ends[b - 1] - offsets[text], a - w.first[text], b - a)
-            yield pa.RecordBatch.from_arrays([batch.column(i).take(at) for i in range(2)] + [pa.array(x.astype(np.int32)) for x in whole] + [pa.array(unit.view(np.int64))], names=schema.names)
+            columns = [batch.column(i).take(at) for i in range(2)] + [pa.array(x.astype(np.int32)) for x in whole]
+            yield pa.RecordBatch.from_arrays(columns + [pa.array(unit.view(np.int64)), pa.array(np.arange(len(a)) < len(exact[0]))], names=schema.names)
 
     return keyed.select("doc_id", "doc", "text").mapInArrow(task, schema)
 
 
-def _sketches(keyed: DataFrame) -> DataFrame:
+def _sketches(keyed: DataFrame, min_words: int) -> DataFrame:
     """node and sketch of each real paragraph, straight from the documents."""
 
     def task(batches):
         for _, data, offsets in kernels.slices(batches, "text"):
             w = Words.of(data, offsets)
-            a, b, unit = real_paragraphs(data, w)
+            a, b, unit = real_paragraphs(data, w, min_words)
             at, whose = spread(a, b)
             shingle, owner = kernels.shingles(w.hashes[at], whose, SHINGLE)
             full, found = min_hashes(owner, shingle, shingle, len(a))
@@ -185,13 +181,13 @@ def _sketches(keyed: DataFrame) -> DataFrame:
     return keyed.select("text").mapInArrow(task, near.SKETCH_SCHEMA)
 
 
-def _blocks(keyed: DataFrame) -> DataFrame:
+def _blocks(keyed: DataFrame, min_words: int) -> DataFrame:
     """node, text of each real paragraph."""
     schema = T.StructType([T.StructField("node", T.LongType()), T.StructField("text", T.StringType())])
 
     def task(batches):
         for _, data, offsets in kernels.slices(batches, "text"):
-            _, start, end, unit, *_ = blocks(data, offsets)
+            _, start, end, unit, *_ = blocks(data, offsets, min_words)
             raw = pa.py_buffer(data[spread(start, end)[0]].tobytes())
             spans = pa.StringArray.from_buffers(len(start), pa.py_buffer(np.append(0, np.cumsum(end - start)).astype(np.int32).tobytes()), raw)
             yield pa.RecordBatch.from_arrays([pa.array(unit.view(np.int64)), spans], names=schema.names)
@@ -200,8 +196,8 @@ def _blocks(keyed: DataFrame) -> DataFrame:
 
 
 def _contexts(texts: DataFrame) -> DataFrame:
-    """(doc, text, wanted places) -> for each place and side the keys of its contexts of 1, 2, ... EXTEND words; at ends of runs (own) also the bytes by which each context is longer than the place."""
-    schema = T.StructType([T.StructField("doc", T.LongType())] + [T.StructField(c, T.IntegerType()) for c in ("word", "words")] + [T.StructField(c, T.BooleanType()) for c in ("left", "own")] + [T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("bytes", T.ArrayType(T.IntegerType()))])
+    """(doc, text, w: wanted grams) -> for each gram and side the hashes of the up to EXTEND words beside it, the nearest first; for grams at a gap (own) also the bytes of the text to which each of these words reaches."""
+    schema = T.StructType([T.StructField("doc", T.LongType()), T.StructField("word", T.IntegerType()), T.StructField("unit", T.LongType()), T.StructField("left", T.BooleanType()), T.StructField("own", T.BooleanType()), T.StructField("beside", T.ArrayType(T.LongType())), T.StructField("at", T.ArrayType(T.IntegerType()))])
 
     def task(batches):
         for batch, data, offsets in kernels.slices(batches, "text"):
@@ -211,52 +207,46 @@ def _contexts(texts: DataFrame) -> DataFrame:
             text = np.repeat(np.arange(batch.num_rows), pc.list_value_length(wanted).to_numpy(zero_copy_only=False))
             place = wanted.flatten()
             get = lambda c: place.field(c).to_numpy(zero_copy_only=False)  # noqa: B023, E731
+            k = np.arange(EXTEND)
             for side in ("left", "right"):
-                use = np.flatnonzero(get(side))
-                unit, word, words, own, row = get("unit")[use], get("word")[use], get("words")[use], get(f"own_{side}")[use], text[use]
-                begin, stop = first[row] + word, first[row] + word + words
-                at = (begin if side == "left" else stop)[:, None]
-                k = np.arange(1, EXTEND + 1)
-                a, b = (at - k, at + 0 * k) if side == "left" else (at + 0 * k, at + k)
-                inside = (a >= first[row][:, None]) & (b <= first[row + 1][:, None])
-                a, b = a[inside], b[inside]
-                whose = np.repeat(np.arange(len(use)), inside.sum(axis=1))
-                salt = unit.view(np.uint64)[whose] * np.uint64(0x9E3779B97F4A7C15) + np.uint64(side == "left")
-                keys = kernels.mix64(kernels.span_hash(w.sums, a, b) ^ kernels.mix64(salt)).view(np.int64)
-                more = w.starts[begin][whose] - w.starts[a] if side == "left" else w.ends[b - 1] - w.ends[stop - 1][whose]
+                use = np.flatnonzero(get(side).astype(bool))
+                unit, word, own, row = get("unit")[use], get("word")[use], get(f"own_{side}")[use].astype(bool), text[use]
+                begin = first[row] + word
+                at = begin[:, None] - 1 - k if side == "left" else begin[:, None] + GRAM + k
+                inside = (at >= first[row][:, None]) & (at < first[row + 1][:, None])
+                at, whose = at[inside], np.repeat(np.arange(len(use)), inside.sum(axis=1))
+                reach = (w.starts if side == "left" else w.ends)[at] - offsets[row[whose]]
                 listed = lambda of, x: pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.bincount(whose[of], minlength=len(use)))).astype(np.int32)), pa.array(x[of]))  # noqa: B023, E731
-                lists = [listed(np.ones(len(whose), bool), keys), listed(own[whose].astype(bool), more.astype(np.int32))]
-                columns = [batch.column(0).take(pa.array(row)), pa.array(word.astype(np.int32)), pa.array(words.astype(np.int32)), pa.array(np.full(len(use), side == "left")), pa.array(own.astype(bool))]
+                lists = [listed(np.ones(len(whose), bool), w.hashes[at].view(np.int64)), listed(own[whose], reach.astype(np.int32))]
+                columns = [batch.column(0).take(pa.array(row)), pa.array(word.astype(np.int32)), pa.array(unit), pa.array(np.full(len(use), side == "left")), pa.array(own)]
                 yield pa.RecordBatch.from_arrays(columns + lists, names=schema.names)
 
-    return texts.select("doc", "text", "w").mapInArrow(task, schema)
+    return texts.select("doc", "text", "w").mapInArrow(task, schema).where("size(beside) > 0")
 
 
-def _runs(doc: np.ndarray, word: np.ndarray, words: np.ndarray, exact: np.ndarray):
-    """(run within the text, at its left end, at its right end, covered by a gram) of rows in order of text and word."""
-    end = word.astype(np.int64) + words
+def _gaps(doc: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each gram, in order of text and word, is within EXTEND words of a gap between grams (or of the text's end) on its left and right."""
+    if not len(doc):
+        return np.zeros(0, bool), np.zeros(0, bool)
     new = np.append(True, doc[1:] != doc[:-1])
-    base = np.cumsum(new) << 32  # so that what lies before a text does not reach into it
-    reach = np.maximum.accumulate(base + end)
-    cut = new | np.append(True, (base + word)[1:] > reach[:-1] + MIN_WORDS)
-    at, run = np.flatnonzero(cut), np.cumsum(cut) - 1
-    gram = np.maximum.accumulate(np.where(words >= GRAM, base + end, -1))
-    tie = new | np.append(True, word[1:] != word[:-1])
-    gram = gram[np.append(np.flatnonzero(tie)[1:], len(doc))[np.cumsum(tie) - 1] - 1]
-    in_text = run - run[np.flatnonzero(new)][np.cumsum(new) - 1]
-    return in_text, word == word[at][run], end == np.maximum.reduceat(end, at)[run], (words < GRAM) & exact & (gram >= base + end)
+    word = word.astype(np.int64)
+    at = np.flatnonzero(new | np.append(True, word[1:] > word[:-1] + GRAM))
+    size = np.diff(np.append(at, len(word)))
+    begin, last = np.repeat(word[at], size), np.repeat(word[at + size - 1], size)
+    return (word - begin < EXTEND) & (begin > 0), last - word < EXTEND
 
 
 def _marked(repeated: DataFrame) -> DataFrame:
-    """``repeated`` by text and word, with run, own_left, own_right and covered."""
-    schema = T.StructType(repeated.schema.fields + [T.StructField("run", T.IntegerType())] + [T.StructField(c, T.BooleanType()) for c in ("own_left", "own_right", "covered")])
+    """``repeated`` by text and word, with own_left and own_right: the grams that may grow."""
+    schema = T.StructType(repeated.schema.fields + [T.StructField(c, T.BooleanType()) for c in ("own_left", "own_right")])
 
     def task(batches):
         def marks(t):
-            doc, word, words, unit, group = (t.column(c).to_numpy() for c in ("doc", "word", "words", "unit", "class"))
-            run, *rest = _runs(doc, word, words, unit == group)
-            for name, x in zip(schema.names[-4:], (run.astype(np.int32), *rest), strict=True):
-                t = t.append_column(name, pa.array(x))
+            gram = t.column("gram").to_numpy()
+            for name, x in zip(schema.names[-2:], _gaps(t.column("doc").to_numpy()[gram], t.column("word").to_numpy()[gram]), strict=True):
+                own = np.zeros(len(gram), bool)
+                own[gram] = x
+                t = t.append_column(name, pa.array(own))
             return t.to_batches()
 
         held = []  # rows of the last text seen, which may go on
@@ -280,52 +270,64 @@ def _marked(repeated: DataFrame) -> DataFrame:
 
 
 def _grown(marked: DataFrame, keyed: DataFrame, scratch: Scratch) -> DataFrame:
-    """doc, grown: for (word, words) of the outermost rows of runs the words and bytes (in one number) by which another occurrence lets them grow to the left and right."""
-    edge = marked.where("not covered and (own_left or own_right)").groupBy("unit").agg(F.max("own_left").alias("left"), F.max("own_right").alias("right"))
-    places = marked.join(edge, "unit").groupBy("doc").agg(F.collect_set(F.struct("unit", "word", "words", "left", "right", "own_left", "own_right")).alias("w"))
-    contexts = scratch.keep(_contexts(keyed.select("doc", "text").join(places, "doc")))
-    shared = contexts.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-    own = contexts.where("own").select("doc", "word", "words", "left", F.posexplode(F.arrays_zip("keys", "bytes")).alias("k", "x"))
-    own = own.select("doc", "word", "words", "left", F.col("x.keys").alias("key"), F.expr("shiftleft(cast(k + 1 as bigint), 32) + x.bytes").alias("by"))
-    side = lambda left: F.coalesce(F.max(F.when(F.col("left") == left, F.col("by"))), F.lit(0))
-    rows = own.join(shared, "key").groupBy("doc", "word", "words").agg(side(True).alias("l"), side(False).alias("r"))
-    return rows.groupBy("doc").agg(F.map_from_entries(F.collect_list(F.struct(F.struct("word", "words"), F.struct("l", "r")))).alias("grown"))
-
+    """doc, word, and for each side by how many words the gram there grows (l, r) and to which byte (l_at, r_at); only grams that grow.
 
-def paragraph_classes(docs: DataFrame, similarity: float = SIMILARITY, least_run: int = LEAST_RUN) -> DataFrame:
-    """A row for each paragraph or gram that has a near or equal one: doc_id, doc, start, end, words, unit, class, class_size, removed.
-
-    start and end are bytes of the UTF-8 text, after extension at the ends of a run. ``removed`` is false for the first of each class (by id, null last, then text and place).
-    A paragraph of fewer than GRAM words that is only repeated word for word and lies within a repeated gram of its text has no row, since the gram's says as much; it counts in class_size.
+    Words beside a gram that stand beside another occurrence too are found by order: of all different contexts of a gram the one with the longest common start is next to it.
+    """
+    own = marked.where("own_left or own_right")
+    edge = own.groupBy("unit").agg(F.max("own_left").alias("left"), F.max("own_right").alias("right"))
+    flags = ("left", "right", "own_left", "own_right")
+    places = marked.where("gram").select("doc", "word", "unit", "own_left", "own_right").join(edge, "unit").repartition("doc")
+    places = places.groupBy("doc", "word", "unit").agg(*(F.max(c).alias(c) for c in flags)).groupBy("doc").agg(F.collect_list(F.struct("unit", "word", *flags)).alias("w"))
+    contexts = scratch.keep(_contexts(keyed.select("doc", "text").join(places, "doc")))
+    key = ["unit", "left", "beside"]
+    order = W.partitionBy("unit", "left", F.col("beside")[0]).orderBy("beside")
+    # the place of the first word that differs, or all of the shorter one
+    common = lambda other: F.coalesce(F.array_position(F.zip_with("beside", other, lambda x, y: x.eqNullSafe(y)), False) - 1, F.lit(0))
+    length = contexts.groupBy(*key).agg(F.count("*").alias("c")).withColumns({"before": F.lag("beside").over(order), "after": F.lead("beside").over(order)})
+    length = length.withColumn("by", F.when(F.col("c") > 1, F.size("beside")).otherwise(F.greatest(common("before"), common("after"))).cast("int")).where("by > 0").select(*key, "by")
+    rows = contexts.where("own").join(length, key).select("doc", "word", "left", F.struct("by", F.element_at("at", F.col("by")).alias("at")).alias("x"))
+    sides = rows.groupBy("doc", "word").agg(F.max(F.when(F.col("left"), F.col("x"))).alias("l"), F.max(F.when(~F.col("left"), F.col("x"))).alias("r"))
+    return sides.select("doc", "word", F.col("l.by").alias("l"), F.col("l.at").alias("l_at"), F.col("r.by").alias("r"), F.col("r.at").alias("r_at"))
+
+
+def paragraph_classes(docs: DataFrame, similarity: float = SIMILARITY, min_words: int = REPORTED) -> DataFrame:
+    """A row for each gram or real paragraph that has an equal or near one: doc_id, doc, start, end, words, unit, class, class_size, removed, grown_left, grown_right.
+
+    Every member of a class has a row. start and end are bytes of the UTF-8 text; grams at a gap are extended, by the bytes in grown_left and grown_right. ``removed`` is false for the first of
+    each class (by id, null last, then text and place). The words of all rows of a text hold those of every passage of 50 words or more that occurs again anywhere, the same text included.
+    ``min_words`` is the least size of a real paragraph, 1 or more; one of fewer than five words has only equals.
     Null, empty and short texts have no paragraph; rows that repeat an id and a text have the same places twice. Ids may be of any type. Other columns
     are ignored. Texts are read whole, however long. An empty table gives an empty table.
     """
     keyed = _keyed(docs)
     # one node for each text of a paragraph, its words parted by whatever blanks
-    found = near.classes_of(_sketches(keyed), _blocks(keyed), similarity, how=SKETCHING).select(F.col("node").alias("unit"), "component")
-    every = _units(keyed)
+    found = near.classes_of(_sketches(keyed, min_words), _blocks(keyed, min_words), similarity, how=SKETCHING).select(F.col("node").alias("unit"), "component")
+    every = _units(keyed, min_words)
     scratch = Scratch(docs.sparkSession)
-    kept = scratch.keep(every.groupBy("unit").agg(F.count("*").alias("n")).join(found, "unit", "left").where("n > 1 or component is not null").select("unit", F.coalesce("component", "unit").alias("class"), "n"))
-    sizes = written(kept.groupBy("class").agg(F.sum("n").alias("class_size")))
-    marked = written(_marked(scratch.keep(every.join(kept.select("unit", "class"), "unit"))))
+    rank = id_key(every)
+    units = every.groupBy("unit").agg(F.count("*").alias("n"), F.min(F.struct(rank.alias("rank"), "doc", "start")).alias("first"))
+    units = scratch.keep(units.join(found, "unit", "left").where("n > 1 or component is not null"))
+    classes = units.where("component is not null").groupBy("component").agg(F.sum("n").alias("class_size"), F.min("first").alias("first"))
+    kept = units.where("component is not null").select("unit", "component").join(classes, "component").select("unit", F.col("component").alias("class"), "class_size", "first")
+    kept = kept.unionByName(units.where("component is null").select("unit", F.col("unit").alias("class"), F.col("n").alias("class_size"), "first"))
+    same = (F.col("first.rank") == rank) & (F.col("first.doc") == F.col("doc")) & (F.col("first.start") == F.col("start"))
+    marked = written(_marked(every.join(kept, "unit").withColumn("removed", ~same).drop("first")))
     scratch.drop()
     grown = written(_grown(marked, keyed, scratch))
     scratch.drop()
-    rank = id_key(marked)
-    first = marked.groupBy("class").agg(F.min(F.struct(rank.alias("rank"), "doc", "start", "end")).alias("first"))
-    out = marked.where("not covered").join(sizes.join(first, "class"), "class")
-    same = (F.col("first.rank") == rank) & (F.col("first.doc") == F.col("doc")) & (F.col("first.start") == F.col("start"))
-    out = out.withColumn("removed", ~same).drop("first").join(grown, "doc", "left").withColumn("by", F.col("grown")[F.struct("word", "words")]).drop("grown")
-    end, run = F.col("word") + F.col("words"), W.partitionBy("doc", "run")
-    size, by = lambda c: F.coalesce(F.shiftright(f"by.{c}", 32), F.lit(0)).cast("int"), lambda c: F.coalesce(F.col(f"by.{c}").bitwiseAND(F.lit(0xFFFFFFFF)), F.lit(0))
-    left, right = F.col("own_left").cast("int"), F.col("own_right").cast("int")
-    out = out.withColumns({"start": F.col("start") - left * by("l"), "end": F.col("end") + right * by("r"), "word": F.col("word") - left * size("l"), "words": F.col("words") + left * size("l") + right * size("r")})
-    out = out.withColumn("span", F.max(end).over(run) - F.min("word").over(run)).where(F.col("span") >= least_run)
-    return out.select("doc_id", "doc", *(F.col(c).cast("long").alias(c) for c in ("start", "end", "words")), "unit", "class", "class_size", "removed")
+    own = F.col("own_left") | F.col("own_right")
+    out = marked.where(~own).unionByName(marked.where(own).join(grown, ["doc", "word"], "left"), allowMissingColumns=True)
+    left, right = (F.col("own_left") & F.col("l").isNotNull()), (F.col("own_right") & F.col("r").isNotNull())
+    start, end = F.when(left, F.col("l_at")).otherwise(F.col("start")), F.when(right, F.col("r_at")).otherwise(F.col("end"))
+    more = F.when(left, F.col("l")).otherwise(0) + F.when(right, F.col("r")).otherwise(0)
+    places = {"grown_left": F.col("start") - start, "grown_right": end - F.col("end"), "start": start, "end": end, "words": F.col("words") + F.when(F.col("gram"), more).otherwise(0)}
+    out = out.select("doc_id", "doc", "unit", "class", "class_size", "removed", *(x.cast("long").alias(c) for c, x in places.items()))
+    return out.select("doc_id", "doc", "start", "end", "words", "unit", "class", "class_size", "removed", "grown_left", "grown_right")
 
 
 def op1_passages(spark, sf_dir):
-    """Every paragraph of all documents that is in a class of two or more."""
+    """Every gram and real paragraph of all documents that is in a class of two or more."""
     from .common import documents
 
     return paragraph_classes(documents(spark, sf_dir)).select("doc_id", "start", "end", "words", F.col("class").alias("class_id"), "class_size", "removed")
