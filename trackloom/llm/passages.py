@@ -28,7 +28,7 @@ from . import kernels, near
 from .common import Scratch, id_key, text_or_empty, written
 
 REACH, MIN_WORDS, SHINGLE, SIMILARITY = 20, 8, 5, 0.8
-#: Least words of a real paragraph that the operator reports unless told otherwise: shorter lines are mostly formulas that clean texts share, and line dedup's matter.
+#: Least words of a real paragraph that the operator reports unless told otherwise: shorter lines repeat in texts that share nothing else, and are line dedup's matter.
 REPORTED = 12
 #: Words of the gram that starts at each cut. Equal passages of REACH + GRAM - 1 = 50 words share a cut among their first REACH words, so that gram.
 GRAM = 31
