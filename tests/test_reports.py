@@ -15,7 +15,7 @@ def noisy(spark, tmp_path_factory):
     return str(folder)
 
 
-@pytest.mark.parametrize("name", ["reprojection_stats"])
+@pytest.mark.parametrize("name", ["reprojection_stats", "recording_report"])
 def test_all_moments_are_triangulated_and_equal_the_sql(spark, noisy, monkeypatch, name):
     real, taken = queries.reconstruction.triangulated, []
 
