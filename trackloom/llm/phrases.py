@@ -7,6 +7,10 @@ first place (block and number in it) where it stands; names are therefore exact,
 without the last and without the first word. All cuts of a phrase, and all phrases within it, are found by following
 those. A block sees a pair once however often it holds it, so the commonest pair has a row for each block and no more.
 
+Most pairs are rare, and a larger text has ever more frequent words that make them. So pairs are first counted by hash: each block sends the hashes of its pairs as packed bytes, a
+range of hashes is summed over all blocks in a task, and a bit for each comes back. A pair whose hash falls short of the least number falls short itself and gets no row; the
+others are counted exactly and named in a task for each range, whose arrays, too, come packed from the blocks and go back packed. There are twice as many hashes as words, or more, so this keeps its worth however large the text.
+
 A phrase of k words occurs as often as needed only if both phrases of k - 1 words in it do, so nothing is lost by pairing frequent ones alone.
 """
 
@@ -29,6 +33,8 @@ LEAST, LONGEST, COVERED, MOST = 30, 4, 80, 2000
 BLOCK_WORDS = 1 << 22
 #: A place is block * 2 ** 31 + number; a block is partition * 2 ** 12 + turn.
 _NUMBERS, _TURNS = 31, 12
+#: A task counts ranges of 2 ** 22 hashes.
+_RANGE = 22
 
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[ord(c) for c in ".,;:!?"] + [10, 11, 12, 13]] = True
@@ -36,7 +42,31 @@ _BETWEEN = _SEPARATOR.copy()
 _BETWEEN[[9, 32]] = True
 
 _FIRST = T.StructType([T.StructField("block", T.LongType()), T.StructField("code", T.IntegerType()), T.StructField("lang", T.StringType()), T.StructField("word", T.StringType()), T.StructField("n", T.LongType()), T.StructField("codes", T.BinaryType())])
-_LATER = T.StructType([T.StructField("block", T.LongType()), T.StructField("code", T.IntegerType()), T.StructField("left", T.LongType()), T.StructField("right", T.LongType()), T.StructField("n", T.LongType()), T.StructField("codes", T.BinaryType())])
+def _schema(longs: str, binaries: str) -> T.StructType:
+    return T.StructType([*(T.StructField(c, T.LongType()) for c in longs.split()), *(T.StructField(c, T.BinaryType()) for c in binaries.split())])
+
+
+_HASHED, _MASK = _schema("block part", "codes names gaps counts"), _schema("block part", "mask")
+_PAIRS, _NAMED = _schema("block part first", "codes lefts rights counts"), _schema("block part id left right f", "codes ids")
+
+
+def _packed(values: np.ndarray) -> bytes:
+    """The values' first bytes, then their second ones and so on, compressed."""
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.itemsize).T.tobytes()
+    return len(planes).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
+
+
+def _unpacked(data, kind) -> np.ndarray:
+    data, size = memoryview(data), np.dtype(kind).itemsize
+    length = int.from_bytes(data[:8], "little")
+    planes = np.frombuffer(pa.decompress(data[8:], decompressed_size=length, codec="zstd"), np.uint8)
+    return np.ascontiguousarray(planes.reshape(size, -1).T).view(kind).ravel()
+
+
+def _table(schema: T.StructType, n: int, **columns) -> pa.Table:
+    """``n`` rows with nulls in the other columns."""
+    kinds = {f.name: f.type for f in _arrow(schema)}
+    return pa.Table.from_arrays([pa.array(columns[c], k) if c in columns else pa.nulls(n, k) for c, k in kinds.items()], schema=_arrow(schema))
 
 
 def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -75,7 +105,7 @@ def _block(number: int, parts: list[tuple[pa.Array, pa.Array, np.ndarray]]) -> l
 
 def _codes_row(number: int, codes: np.ndarray, schema: T.StructType) -> pa.RecordBatch:
     kinds = {T.LongType(): pa.int64(), T.IntegerType(): pa.int32(), T.StringType(): pa.string()}
-    own = {"block": pa.array([number]), "codes": pa.array([codes.astype(np.int32).tobytes()], pa.binary())}
+    own = {"block": pa.array([number]), "codes": pa.array([_packed(codes.astype(np.int32))], pa.binary())}
     return pa.RecordBatch.from_arrays([own[f.name] if f.name in own else pa.nulls(1, kinds[f.dataType]) for f in schema], names=schema.names)
 
 
@@ -98,6 +128,8 @@ def _blocks(docs: DataFrame, block_words: int) -> DataFrame:
                 turn, parts, held = turn + 1, [], 0
         if held:
             yield from out()
+        parts.clear()
+        pa.default_memory_pool().release_unused()  # the worker goes on to other tasks
 
     return docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).mapInArrow(task, _FIRST)
 
@@ -109,42 +141,160 @@ def _named(found: DataFrame, keys: list[str], least: int) -> DataFrame:
     return found.where("codes is null").drop("codes").withColumn("f", F.sum("n").over(own)).withColumn("id", F.min(place).over(own)).where(F.col("f") >= least).select("block", "code", *keys, "id", "f")
 
 
-def _pairs(blocks: DataFrame, named: DataFrame) -> DataFrame:
-    """The blocks' pairs of adjacent named phrases, and their new arrays."""
+def _adjacent(codes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where two phrases are adjacent, and those pairs."""
+    whole = (codes[:-1] >= 0) & (codes[1:] >= 0)
+    pair = codes[:-1][whole].astype(np.int64)
+    pair *= size
+    pair += codes[1:][whole]
+    return whole, pair
+
+
+def _starts(pair: np.ndarray) -> np.ndarray:
+    out = np.ones(len(pair), bool)
+    np.not_equal(pair[1:], pair[:-1], out=out[1:])
+    return out
+
+
+def _hashes(kinds: np.ndarray, names: np.ndarray, bits: int) -> np.ndarray:
+    """A hash of ``bits`` bits of the names of each pair."""
+    h = names[kinds // len(names)].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    h ^= h >> np.uint64(29)
+    h += names[kinds % len(names)].astype(np.uint64)
+    for odd, shift in ((0xBF58476D1CE4E5B9, 32), (0x94D049BB133111EB, 31)):
+        h *= np.uint64(odd)
+        h ^= h >> np.uint64(shift)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    return h >> np.uint64(64 - bits)
+
+
+def _without_marks(codes: np.ndarray) -> np.ndarray:
+    """One mark between pieces is enough."""
+    kept = np.ones(len(codes), bool)
+    kept[1:] = (codes[1:] >= 0) | (codes[:-1] >= 0)
+    return codes[kept]
+
+
+def _hashed(blocks: DataFrame, named: DataFrame, least: int, bits: int) -> DataFrame:
+    """A row for each block with its named phrases alone, and a row for each range of hashes: steps from hash to hash of its pairs, and counts up to ``least``."""
+    small = np.min_scalar_type(least)
 
     def task(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
-            return pa.Table.from_batches([], schema=_arrow(_LATER))
-        number = left.column("block")[0].as_py()
-        codes = np.frombuffer(left.column("codes")[0].as_buffer(), np.int32)
-        code, name = right.column("code").to_numpy(), right.column("id").to_numpy()
-        order = np.argsort(code)
-        code, name = code[order], name[order]
-        at = np.full(int(max(codes.max(initial=-1), code[-1])) + 2, -1, np.int32)  # the last place is that of the mark, -1
+            return _table(_HASHED, 0)
+        number, codes = left.column("block")[0].as_py(), _unpacked(left.column("codes")[0].as_buffer(), np.int32)
+        if "ids" in right.column_names:
+            code, names = (np.concatenate([_unpacked(x.as_buffer(), kind) for x in right.column(c)]) for c, kind in (("codes", np.int32), ("ids", np.int64)))
+        else:
+            code, names = right.column("code").to_numpy(), right.column("id").to_numpy()
+        top = int(max(codes.max(initial=-1), code.max()))
+        times = np.bincount(codes[codes >= 0], minlength=top + 1)[code]
+        order = np.lexsort((code, -times))  # small numbers for what is common
+        code, names = code[order], names[order]
+        at = np.full(top + 2, -1, np.int32)  # the last place is that of the mark, -1
         at[code] = np.arange(len(code))
-        own = at[codes]
-        whole = (own[:-1] >= 0) & (own[1:] >= 0)
-        pair = own[:-1][whole].astype(np.int64)
-        pair *= len(code)
-        pair += own[1:][whole]
-        del own, codes
+        codes = _without_marks(at[codes])
+        pair = np.sort(_adjacent(codes, len(names))[1])
+        if not len(pair):
+            return _table(_HASHED, 0)
+        start = np.flatnonzero(_starts(pair))
+        kinds, n = pair[start], np.diff(np.append(start, len(pair)))
+        del pair, start, at, times
+        h = _hashes(kinds, names, bits)
+        order = np.argsort(h, kind="stable")
+        h, n = h[order].astype(np.int64), np.minimum(n[order], least).astype(small)
+        part, gap = h >> _RANGE, h & ((1 << _RANGE) - 1)
+        first = np.flatnonzero(_starts(part))
+        cuts = list(zip(first, np.append(first[1:], len(part)), strict=True))
+        before = np.append(0, gap[:-1])
+        before[first] = 0
+        gap = (gap - before).astype(np.uint32)
+        own = _table(_HASHED, 1, block=[number], codes=[_packed(codes)], names=[_packed(names.astype(np.int64))])
+        parts = _table(_HASHED, len(first), block=np.full(len(first), number), part=part[first], gaps=[_packed(gap[i:j]) for i, j in cuts], counts=[_packed(n[i:j]) for i, j in cuts])
+        return pa.concat_tables([own, parts])
+
+    return blocks.groupBy("block").cogroup(named.groupBy("block")).applyInArrow(task, _HASHED)
+
+
+def _masks(hashed: DataFrame, least: int) -> DataFrame:
+    """block, part, mask: a bit for each of the block's pairs in the range, whether its hash comes ``least`` times or more in all blocks."""
+    small = np.min_scalar_type(least)
+
+    def task(rows: pa.Table) -> pa.Table:
+        places = [np.cumsum(_unpacked(x.as_buffer(), np.uint32), dtype=np.int64) for x in rows.column("gaps")]
+        counts = np.concatenate([_unpacked(x.as_buffer(), small) for x in rows.column("counts")])
+        often = np.bincount(np.concatenate(places), weights=counts, minlength=1) >= least
+        return _table(_MASK, len(places), block=rows.column("block").to_numpy(), part=rows.column("part").to_numpy(), mask=[np.packbits(often[p]).tobytes() for p in places])
+
+    return hashed.where("part is not null").select("block", "part", "gaps", "counts").groupBy("part").applyInArrow(task, _MASK)
+
+
+def _pairs(hashed: DataFrame, masks: DataFrame, bits: int) -> DataFrame:
+    """A row for each block with its new array, and a row for each range with the block's pairs that may be frequent, in the order of their numbers from ``first`` on."""
+
+    def task(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return _table(_PAIRS, 0)
+        number = left.column("block")[0].as_py()
+        codes, names = _unpacked(left.column("codes")[0].as_buffer(), np.int32), _unpacked(left.column("names")[0].as_buffer(), np.int64)
+        whole, pair = _adjacent(codes, len(names))
         order = np.argsort(pair)
         pair = pair[order]
-        start = np.ones(len(pair), bool)
-        np.not_equal(pair[1:], pair[:-1], out=start[1:])
+        start = _starts(pair)
         kinds, n = pair[start], np.diff(np.append(np.flatnonzero(start), len(pair)))
-        del pair
+        del pair, codes
         new = np.empty(len(order), np.int32)
         new[order] = np.cumsum(start, dtype=np.int32) - 1
-        del order
+        del start
+        h = _hashes(kinds, names, bits)
+        order = np.argsort(h, kind="stable")
+        part = (h[order] >> np.uint64(_RANGE)).astype(np.int64)
+        del h
+        sizes = np.diff(np.append(np.flatnonzero(_starts(part)), len(part)))
+        masks = [np.unpackbits(np.frombuffer(m.as_buffer(), np.uint8), count=k) for m, k in zip(right.sort_by("part").column("mask"), sizes.tolist(), strict=True)]
+        may = np.concatenate(masks).astype(bool)
+        order, part = order[may], part[may]
+        code = np.full(len(kinds), -1, np.int32)
+        code[order] = np.arange(len(order))
         seq = np.full(len(whole), -1, np.int32)
-        seq[whole] = new
-        kept = np.ones(len(seq), bool)
-        kept[1:] = (seq[1:] >= 0) | (seq[:-1] >= 0)  # one mark is enough
-        rows = pa.RecordBatch.from_arrays([pa.array(np.full(len(kinds), number)), pa.array(np.arange(len(kinds), dtype=np.int32)), pa.array(name[kinds // len(code)]), pa.array(name[kinds % len(code)]), pa.array(n.astype(np.int64)), pa.nulls(len(kinds), pa.binary())], schema=_arrow(_LATER))
-        return pa.Table.from_batches([rows, _codes_row(number, seq[kept], _LATER).cast(_arrow(_LATER))])
-
-    return blocks.groupBy("block").cogroup(named.groupBy("block")).applyInArrow(task, _LATER)
+        seq[whole] = code[new]
+        kinds, n = kinds[order], n[order].astype(np.int64)
+        first = np.flatnonzero(_starts(part))
+        cuts = list(zip(first, np.append(first[1:], len(part)), strict=False))
+        own = _table(_PAIRS, 1, block=[number], codes=[_packed(_without_marks(seq))])
+        arrays = {"lefts": names[kinds // len(names)], "rights": names[kinds % len(names)], "counts": n}
+        return pa.concat_tables([own, _table(_PAIRS, len(first), block=np.full(len(first), number), part=part[first], first=first, **{c: [_packed(x[i:j]) for i, j in cuts] for c, x in arrays.items()})])
+
+    return hashed.where("part is null").select("block", "codes", "names").groupBy("block").cogroup(masks.groupBy("block")).applyInArrow(task, _PAIRS)
+
+
+def _named_pairs(found: DataFrame, least: int) -> DataFrame:
+    """Of the pairs that occur ``least`` times or more in all blocks: a row each (id, left, right, f), and for the blocks (block, part) their numbers and ids."""
+
+    def task(rows: pa.Table) -> pa.Table:
+        left, right, n = ([_unpacked(x.as_buffer(), np.int64) for x in rows.column(c)] for c in ("lefts", "rights", "counts"))
+        block, first = rows.column("block").to_numpy(), rows.column("first").to_numpy()
+        sizes = [len(x) for x in n]
+        ends = np.cumsum(sizes)
+        code = np.concatenate([np.arange(f, f + k) for f, k in zip(first, sizes, strict=True)])
+        place = np.repeat(block, sizes) * (1 << _NUMBERS) + code
+        left, right, n = map(np.concatenate, (left, right, n))
+        order = np.lexsort((right, left))
+        start = _starts(left[order]) | _starts(right[order])
+        at = np.flatnonzero(start)
+        f, name = np.add.reduceat(n[order], at), np.minimum.reduceat(place[order], at)
+        group = np.empty(len(order), np.int64)
+        group[order] = np.cumsum(start) - 1
+        whole = f >= least
+        one = order[at[whole]]
+        kept, names = whole[group], name[group]
+        cuts = [(e - k, e) for e, k in zip(ends, sizes, strict=True)]
+        some = [i for i, (a, e) in enumerate(cuts) if kept[a:e].any()]
+        packed = {c: [_packed(x[a:e][kept[a:e]]) for a, e in (cuts[i] for i in some)] for c, x in (("codes", code.astype(np.int32)), ("ids", names))}
+        pairs = _table(_NAMED, len(one), id=name[whole], left=left[one], right=right[one], f=f[whole])
+        return pa.concat_tables([pairs, _table(_NAMED, len(some), block=block[some], part=rows.column("part").to_numpy()[some], **packed)])
+
+    return found.where("part is not null").select("block", "part", "first", "lefts", "rights", "counts").groupBy("part").applyInArrow(task, _NAMED)
 
 
 def _arrow(schema: T.StructType) -> pa.Schema:
@@ -164,14 +314,20 @@ def phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, block_w
     found = now.keep(_blocks(docs, block_words))
     totals = written(found.where("codes is null").groupBy("lang").agg(F.sum("n").alias("n")))
     named = now.keep(_named(found, ["lang", "word"], least))
+    words = totals.agg(F.sum("n")).head()[0] or 0
+    bits = max(_RANGE, words.bit_length() + 1)
     first = F.col("block") * (1 << _NUMBERS) + F.col("code") == F.col("id")
     level = [scratch.keep(named.where(first).select("id", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "f", F.expr("cast(array() as array<bigint>)").alias("heads"), F.expr("cast(array() as array<bigint>)").alias("tails")))]
     for _ in range(2, longest + 1):
-        past, now = now, Scratch(spark)
-        found = now.keep(_pairs(found.where("codes is not null").select("block", "codes"), named.select("block", "code", "id")))
-        past.drop()
-        named = now.keep(_named(found, ["left", "right"], least))
-        pairs = named.where(first).select("id", "left", "right", "f")
+        step = Scratch(spark)
+        own = named.select("block", "code", "id") if "code" in named.columns else named.where("block is not null").select("block", "codes", "ids")
+        hashed = step.keep(_hashed(found.where("codes is not null").select("block", "codes"), own, least, bits))
+        now.drop()
+        now = Scratch(spark)
+        found = now.keep(_pairs(hashed, _masks(hashed, least), bits))
+        step.drop()
+        named = now.keep(_named_pairs(found, least))
+        pairs = named.where("block is null").select("id", "left", "right", "f")
         a = level[-1].select(F.col("id").alias("left"), "lang", F.col("phrase").alias("__a"), F.col("f").alias("__fa"), F.col("heads").alias("__ha"))
         b = level[-1].select(F.col("id").alias("right"), F.col("last").alias("__b"), F.col("f").alias("__fb"), F.col("tails").alias("__tb"))
         joined = pairs.join(a, "left").join(b, "right")
