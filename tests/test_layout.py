@@ -47,3 +47,26 @@ def test_linear_triangulation_is_the_least_singular_vector(noise):
         x = np.linalg.svd(np.array(rows))[2][-1]
         assert np.allclose(got[k], x[:3] / x[3], rtol=1e-7, atol=1e-9)
     assert np.isnan(got[(weight > 0).sum(axis=0) < 2]).all()
+
+
+def test_blocks_of_pairs_are_dealt_without_a_shuffle_and_lose_none(spark, small, monkeypatch):
+    from trackloom.operators import selfcalib
+
+    rays = queries.studio_rays(spark, small)
+    monkeypatch.setattr(selfcalib, "kept", lambda df: df)
+    blocks = selfcalib.pair_blocks(rays, 23, 0.6, block=500)
+    assert not exchanged(blocks)
+    sure = lambda k: F.get("conf", F.lit(k) * 23 + F.col("j")) >= 0.6
+    want = {k: rays.select("*", F.explode(F.sequence(F.lit(0), F.lit(22))).alias("j")).where(sure(0) & sure(k)).select(F.xxhash64("recording", "tau", "j").alias("h")) for k in (1, 2)}
+    for k, rows in want.items():
+        got = blocks.where(F.col("b") == k).select(F.explode("h").alias("h"))
+        assert got.exceptAll(rows).count() == rows.exceptAll(got).count() == 0 and rows.count() > 5000
+    assert blocks.where(F.size("h") > 500).count() == 0
+
+
+def test_votes_for_many_matrices_are_those_of_each():
+    from trackloom.operators import selfcalib
+
+    rng = np.random.default_rng(2)
+    es, x = rng.normal(0, 1, (30, 3, 3)), rng.normal(0, 1, (3000, 4))
+    assert selfcalib._votes(es, x, 0.05).tolist() == [(selfcalib._distance(e, x) < 0.05).sum() for e in es]
