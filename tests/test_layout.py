@@ -70,3 +70,18 @@ def test_votes_for_many_matrices_are_those_of_each():
     rng = np.random.default_rng(2)
     es, x = rng.normal(0, 1, (30, 3, 3)), rng.normal(0, 1, (3000, 4))
     assert selfcalib._votes(es, x, 0.05).tolist() == [(selfcalib._distance(e, x) < 0.05).sum() for e in es]
+
+
+def test_the_report_triangulates_once(spark, small):
+    plan = queries.recording_report(spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"MapInArrow work\(recording#\w+, tau#\w+, u#", plan)) == 2  # the damage and the triangulation
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 7])
+def test_quantiles_are_those_of_percentile(spark, n):
+    from trackloom.operators import report
+
+    values = np.random.default_rng(n).normal(size=n)
+    rows = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "v double")
+    for share in (0.1, 0.5):
+        assert report._quantile(np.append(values, np.nan), share) == rows.agg(F.percentile("v", F.lit(share))).head()[0]
