@@ -107,3 +107,28 @@ def test_clock_refinement_shuffles_sketches_only(spark, small):
             px = rig.sampson_px(rig.pair_points(rays, 0, cam, 23, 0.6), *rig.relative_pose(one, two), (one.k[0, 0] + two.k[0, 0]) / 2)
             want = px.agg(F.percentile("px", F.lit(0.5)).alias("m"), F.count("*").alias("n")).head()
             assert got[cam, k][1] == want.n and abs(got[cam, k][0] / want.m - 1) < 0.003
+
+
+def test_the_filter_in_blocks_is_the_recursion():
+    b, a = G.butterworth(4, 0.5)
+    x = np.random.default_rng(3).normal(0, 1, (333, 3))
+    state = np.zeros((4, 3))
+    assert np.allclose(G._filter(b, a, x, state, 32), G._filter(b, a, x, state, 1000), rtol=0, atol=1e-12)
+
+
+def test_smoothing_reads_its_rows_once(spark):
+    from trackloom.operators import cleaning
+
+    df = spark.range(40).selectExpr("1L as recording", "id / 15D as t", "0 as joint", "if(id % 7 = 0, null, id * 1D) as x", "1D as y", "2D as z", "3 as views")
+    out = cleaning.clean_and_smooth(df, 0.01)
+    assert "Union" not in out._jdf.queryExecution().executedPlan().toString()
+    assert out.count() == 40 and out.where("x is null").count() == 6
+
+
+def test_bundle_adjustment_leaves_no_points_of_its_rounds(spark, small, monkeypatch, tmp_path):
+    from trackloom.operators import bundle
+
+    monkeypatch.setattr(bundle, "shared_folder", lambda spark: str(tmp_path / "rounds"))
+    found = bundle.refine_rig(queries.clean_synced(spark, small).limit(50), X.camera_rows(), rounds=3)
+    kept = [d for d in (tmp_path / "rounds").iterdir() if "x_new" in spark.read.parquet(str(d)).columns]
+    assert len(found) == 3 and not kept
