@@ -132,3 +132,11 @@ def test_bundle_adjustment_leaves_no_points_of_its_rounds(spark, small, monkeypa
     found = bundle.refine_rig(queries.clean_synced(spark, small).limit(50), X.camera_rows(), rounds=3)
     kept = [d for d in (tmp_path / "rounds").iterdir() if "x_new" in spark.read.parquet(str(d)).columns]
     assert len(found) == 3 and not kept
+
+
+def test_agreement_of_models_shuffles_sketches_only_and_counts_repeated_moments(spark, small):
+    plan = exchanged(queries.backend_agreement(spark, small))
+    assert sum("joint" in e for e in plan) == 1 and all("joint" in e or re.match(r"hashpartitioning\(recording#\w+, \d+\)?$", e) for e in plan)
+    a = spark.createDataFrame([("r", 0, 1.0, [0.0], [0.0]), ("r", 0, 1.00001, [9.0], [0.0]), ("r", 0, 2.0, [0.0], [0.0]), (None, 0, 1.0, [0.0], [0.0])], "recording string, cam int, t double, u array<double>, v array<double>")
+    b = a.where("t < 2").selectExpr("recording", "cam", "t", "transform(u, x -> x + 3) as u", "transform(v, x -> x + 4) as v")
+    assert [tuple(r) for r in queries.pose.backend_agreement(a, b).collect()] == [(0, 0, 5.0)]  # of 5, 5, 12.6 and 7.2

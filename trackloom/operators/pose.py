@@ -53,7 +53,12 @@ def backend_agreement(a: DataFrame, b: DataFrame, k: int = 4096) -> DataFrame:
     The median is over all recordings, so it comes from a mergeable KLL sketch of size ``k``: its rank is off by less than 0.1 %.
     """
     key = F.round(F.col("t") * 10000).cast("long").alias("k")
-    left = a.select("recording", "cam", key, F.col("u").alias("ua"), F.col("v").alias("va"))
-    right = b.select("recording", "cam", key, F.col("u").alias("ub"), F.col("v").alias("vb"))
-    rows = left.join(right, ["recording", "cam", "k"]).select("cam", F.posexplode(F.arrays_zip("ua", "va", "ub", "vb")).alias("joint", "o"))
+    def side(df: DataFrame, name: str) -> DataFrame:
+        own, other = F.struct("u", "v"), F.lit(None).cast("struct<u:array<double>,v:array<double>>")
+        return df.select(F.col("recording").alias("__r"), "cam", key, *[(own if c == name else other).alias(c) for c in "ab"]).where("__r is not null and cam is not null and k is not null")
+
+    # a union in place of a join: tables that are dealt by recording already are not shuffled
+    both = side(a, "a").unionByName(side(b, "b")).groupBy("__r", "cam", "k").agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b"))
+    pairs = both.select("cam", F.explode("a").alias("a"), "b").select("cam", "a", F.explode("b").alias("b"))
+    rows = pairs.select("cam", F.posexplode(F.arrays_zip(F.col("a.u").alias("ua"), F.col("a.v").alias("va"), F.col("b.u").alias("ub"), F.col("b.v").alias("vb"))).alias("joint", "o"))
     return rows.groupBy("cam", "joint").agg(F.kll_sketch_agg_double(F.hypot(F.col("o.ua") - F.col("o.ub"), F.col("o.va") - F.col("o.vb")), k).alias("s")).select("cam", "joint", F.kll_sketch_get_quantile_double("s", F.lit(0.5)).alias("median_px"))
